@@ -1,10 +1,12 @@
-"""Exact discrete tests as Column expressions.
+"""Exact discrete tests as SQL expressions over column names.
 
 Probabilities are taken relative to the mode of the distribution: ratios of neighbouring terms
 are multiplied outward, tails are nested sums of such ratios, and everything is divided by the
-total mass in the same units. No factorials are needed and small tails keep full
-relative precision. `_reach` ends each walk where terms drop below the smallest double, so
-the work follows the standard deviation and not the counts.
+total mass in the same units. No factorials are needed and small tails keep full relative
+precision. Walks end where terms drop below the smallest double, so the work follows the standard
+deviation and not the counts.
+
+Arguments are SQL expressions, usually column names. Intermediate values are bound once per row.
 """
 
 from __future__ import annotations
@@ -16,107 +18,104 @@ from pyspark.sql import functions as F
 
 TIE_TOLERANCE = 1e-7  # relative: outcomes this close to the observed one count as equally likely
 
-Ratio = Callable[[Column], Column]
+Ratio = Callable[[str], str]
+
+
+def _let(name: str, values: dict[str, str], body: str) -> str:
+    fields = ", ".join(f"{v} AS {k}" for k, v in values.items())
+    return f"element_at(transform(array(struct({fields})), {name} -> {body}), 1)"
 
 
-def _d(x) -> Column:
-    return (x if isinstance(x, Column) else F.lit(x)).cast("double")
+def _fold(first: str, last: str, step: int, start: str, body: str) -> str:
+    """Fold `body` (over accumulator a and index i) from first to last; start if the range is empty."""
+    ahead = f"{last} >= {first}" if step > 0 else f"{last} <= {first}"
+    return (f"CASE WHEN {ahead} THEN aggregate(sequence({first}, {last}, {step}L), {start}, (a, i) -> {body}) "
+            f"ELSE {start} END")
 
 
-def _l(x) -> Column:
-    return (x if isinstance(x, Column) else F.lit(x)).cast("long")
+def _height(k: str, up: Ratio) -> str:
+    """mass(k) / mass(mode)."""
+    rise = _fold("s.mode + 1", f"least({k}, s.high)", 1, "1D", f"a * {up('i')}")
+    fall = _fold("s.mode", f"greatest({k}, s.low) + 1", -1, "1D", f"a / ({up('i')})")
+    return f"CASE WHEN {k} > s.high OR {k} < s.low THEN 0D WHEN {k} >= s.mode THEN {rise} ELSE {fall} END"
 
 
-def _span(first: Column, last: Column, step: int) -> Column:
-    ahead = (last >= first) if step > 0 else (last <= first)
-    return F.when(ahead, F.sequence(first, last, F.lit(step).cast("long"))).otherwise(
-        F.array().cast("array<bigint>"))
+def _above(k: str, up: Ratio) -> str:
+    """Sum of mass(i) / mass(k) over i > k, for k at or above the mode."""
+    return _fold("s.high", f"{k} + 1", -1, "0D", f"{up('i')} * (1 + a)")
 
 
-def _reach(variance: Column) -> Column:
-    return F.ceil(480 + 38 * F.sqrt(F.greatest(variance, F.lit(0.0)))).cast("long")
+def _below(k: str, up: Ratio) -> str:
+    """Sum of mass(i) / mass(k) over i < k, for k at or below the mode."""
+    return _fold("s.low", f"{k} - 1", 1, "0D", f"(1 + a) / ({up('(i + 1)')})")
 
 
-class _Unimodal:
-    """A distribution on low..high given by up(i) = mass(i) / mass(i-1)."""
+def _total(up: Ratio) -> str:
+    return f"(1 + {_above('s.mode', up)} + {_below('s.mode', up)})"
 
-    def __init__(self, low: Column, high: Column, mode: Column, variance: Column, up: Ratio):
-        self.mode = F.least(F.greatest(_l(mode), low), high)
-        self.low = F.greatest(low, self.mode - _reach(variance))
-        self.high = F.least(high, self.mode + _reach(variance))
-        self.up = lambda i: up(i.cast("double"))
 
-    def height(self, k: Column) -> Column:
-        """mass(k) / mass(mode)."""
-        rise = F.aggregate(_span(self.mode + 1, F.least(k, self.high), 1), F.lit(1.0), lambda a, i: a * self.up(i))
-        fall = F.aggregate(_span(self.mode, F.greatest(k, self.low) + 1, -1), F.lit(1.0), lambda a, i: a / self.up(i))
-        return F.when(k > self.high, 0.0).when(k < self.low, 0.0).when(k >= self.mode, rise).otherwise(fall)
+def _bounded(values: dict[str, str], body: str) -> str:
+    """Bind the ends of the walk around the mode; values give N-like parameters, lo, hi, peak and spread as s0.*."""
+    reach = "CAST(ceil(480 + 38 * sqrt(greatest(s0.spread, 0D))) AS BIGINT)"
+    mode = "least(greatest(CAST(s0.peak AS BIGINT), s0.lo), s0.hi)"
+    params = {k: f"s1.s0.{k}" for k in values if k not in ("lo", "hi", "peak", "spread")}
+    inner = {**params, "low": "greatest(s1.s0.lo, s1.mode - s1.reach)", "high": "least(s1.s0.hi, s1.mode + s1.reach)",
+             "mode": "s1.mode"}
+    return _let("s0", values, _let("s1", {"s0": "s0", "mode": mode, "reach": reach}, _let("s", inner, body)))
 
-    def above(self, k: Column) -> Column:
-        """Sum of mass(i) / mass(k) over i > k, for k at or above the mode."""
-        return F.aggregate(_span(self.high, k + 1, -1), F.lit(0.0), lambda s, i: self.up(i) * (1.0 + s))
 
-    def below(self, k: Column) -> Column:
-        """Sum of mass(i) / mass(k) over i < k, for k at or below the mode."""
-        return F.aggregate(_span(self.low, k - 1, 1), F.lit(0.0), lambda s, i: (1.0 + s) / self.up(i + 1))
+def _at_least(values: dict[str, str], up: Ratio) -> str:
+    upper = f"({_height('s.k', up)}) * (1 + {_above('s.k', up)}) / {_total(up)}"
+    lower = f"1 - ({_height('(s.k - 1)', up)}) * (1 + {_below('(s.k - 1)', up)}) / {_total(up)}"
+    return _bounded(values, f"CASE WHEN s.k <= s.low THEN 1D WHEN s.k > s.high THEN 0D WHEN s.k > s.mode THEN {upper} "
+                            f"ELSE {lower} END")
 
-    def total(self) -> Column:
-        return 1.0 + self.above(self.mode) + self.below(self.mode)
 
-    def _no_higher(self, indices: Column, ratio: Ratio, bar: Column) -> Column:
-        """Mass on one side of the mode held by outcomes no likelier than `bar`."""
-        def add(a, i):
-            r = a["r"] * ratio(i)
-            return F.struct(r.alias("r"), (a["sum"] + F.when(r <= a["bar"], r).otherwise(0.0)).alias("sum"),
-                            a["bar"].alias("bar"))
-        start = F.struct(F.lit(1.0).alias("r"), F.lit(0.0).alias("sum"), bar.alias("bar"))
-        return F.aggregate(indices, start, add, lambda a: a["sum"])
+def _two_sided(values: dict[str, str], up: Ratio) -> str:
+    """Mass of all outcomes no likelier than k; rounding noise just below 1 is taken as 1."""
+    def side(first, last, step, ratio):
+        add = _let("r", {"v": f"a.r * {ratio}"}, "named_struct('r', r.v, 'sum', a.sum + IF(r.v <= t.bar, r.v, 0D))")
+        return f"({_fold(first, last, step, _START, add)}).sum"
+    down = side("s.mode", "s.low + 1", -1, f"(1 / ({up('i')}))")
+    rise = side("s.mode + 1", "s.high", 1, f"({up('i')})")
+    share = f"({down} + {rise} + IF(t.bar >= 1, 1D, 0D)) / {_total(up)}"
+    p = _bounded(values, _let("t", {"bar": f"({_height('s.k', up)}) * (1 + {TIE_TOLERANCE}D)"}, share))
+    return _let("q", {"p": p}, "IF(q.p > 1 - 1e-12D, 1D, q.p)")
 
-    def at_least(self, k: Column) -> Column:
-        upper = self.height(k) * (1.0 + self.above(k)) / self.total()
-        lower = 1.0 - self.height(k - 1) * (1.0 + self.below(k - 1)) / self.total()
-        return F.when(k <= self.low, 1.0).when(k > self.high, 0.0).when(k > self.mode, upper).otherwise(lower)
 
-    def two_sided(self, k: Column) -> Column:
-        """Mass of all outcomes no likelier than k."""
-        bar = self.height(k) * (1.0 + TIE_TOLERANCE)
-        far_low = self._no_higher(_span(self.mode, self.low + 1, -1), lambda i: 1.0 / self.up(i), bar)
-        far_high = self._no_higher(_span(self.mode + 1, self.high, 1), self.up, bar)
-        at_mode = F.when(bar >= 1.0, 1.0).otherwise(0.0)
-        return F.least(F.lit(1.0), (far_low + far_high + at_mode) / self.total())
+_START = "named_struct('r', 1D, 'sum', 0D)"
 
 
-def _hypergeometric(N: Column, K: Column, n: Column) -> _Unimodal:
-    N, K, n = _l(N), _l(K), _l(n)
-    Nd, Kd, nd = _d(N), _d(K), _d(n)
-    share = Kd / F.greatest(Nd, F.lit(1.0))
-    variance = nd * share * (1 - share) * (Nd - nd) / F.greatest(Nd - 1, F.lit(1.0))
-    return _Unimodal(
-        F.greatest(F.lit(0).cast("long"), n + K - N), F.least(K, n),
-        F.floor((nd + 1) * (Kd + 1) / (Nd + 2)), variance,
-        lambda i: (Kd - i + 1) * (nd - i + 1) / (i * (Nd - Kd - nd + i)))
+def _hypergeometric(k: str, N: str, K: str, n: str) -> tuple[dict[str, str], Ratio]:
+    N, K, n = (f"CAST({x} AS BIGINT)" for x in (N, K, n))
+    spread = (f"CAST({n} AS DOUBLE) * {K} / greatest({N}, 1) * (1 - {K} / greatest({N}, 1)) "
+              f"* ({N} - {n}) / greatest({N} - 1, 1)")
+    values = {"all": f"CAST({N} AS DOUBLE)", "held": f"CAST({K} AS DOUBLE)", "drawn": f"CAST({n} AS DOUBLE)",
+              "k": f"CAST({k} AS BIGINT)", "lo": f"greatest(0L, {n} + {K} - {N})", "hi": f"least({K}, {n})",
+              "peak": f"floor(({n} + 1D) * ({K} + 1D) / ({N} + 2D))", "spread": spread}
+    return values, lambda i: f"((s.held - {i} + 1) * (s.drawn - {i} + 1) / ({i} * (s.all - s.held - s.drawn + {i})))"
 
 
-def _binomial(n: Column, p: Column) -> _Unimodal:
-    n, p = _l(n), _d(p)
-    nd = _d(n)
-    return _Unimodal(F.lit(0).cast("long"), n, F.floor((nd + 1) * p), nd * p * (1 - p),
-                     lambda i: (nd - i + 1) / i * (p / (1 - p)))
+def _binomial(k: str, n: str, p: str) -> tuple[dict[str, str], Ratio]:
+    n, p = f"CAST({n} AS BIGINT)", f"CAST({p} AS DOUBLE)"
+    values = {"trials": f"CAST({n} AS DOUBLE)", "odds": f"{p} / (1 - {p})", "k": f"CAST({k} AS BIGINT)", "lo": "0L", "hi": n,
+              "peak": f"floor(({n} + 1) * {p})", "spread": f"{n} * {p} * (1 - {p})"}
+    return values, lambda i: f"((s.trials - {i} + 1) / {i} * s.odds)"
 
 
-def hypergeometric_tail(k: Column, N: Column, K: Column, n: Column) -> Column:
+def hypergeometric_tail(k: str, N: str, K: str, n: str) -> Column:
     """P(X >= k) when n items are drawn from N of which K carry the term."""
-    return _hypergeometric(N, K, n).at_least(_l(k))
+    return F.expr(_at_least(*_hypergeometric(k, N, K, n)))
 
 
-def fisher_two_sided(a: Column, b: Column, P: Column, N: Column) -> Column:
+def fisher_two_sided(a: str, b: str, P: str, N: str) -> Column:
     """Two-sided exact p of the table [[a, P-a], [b, N-b]]."""
-    return _hypergeometric(_l(P) + _l(N), _l(a) + _l(b), P).two_sided(_l(a))
+    return F.expr(_two_sided(*_hypergeometric(a, f"({P} + {N})", f"({a} + {b})", P)))
 
 
-def binomial_two_sided(k: Column, n: Column, p: Column) -> Column:
+def binomial_two_sided(k: str, n: str, p: str) -> Column:
     """Two-sided exact p of k successes in n trials with success rate 0 < p < 1."""
-    return _binomial(n, p).two_sided(_l(k))
+    return F.expr(_two_sided(*_binomial(k, n, p)))
 
 
 def neg_log10(p: Column, cap: float = 300.0) -> Column:

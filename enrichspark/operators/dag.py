@@ -122,13 +122,12 @@ def related_pairs(vocabulary: DataFrame, closed: DataFrame) -> DataFrame:
             .select(F.least("src", "anc").alias("term_a"), F.greatest("src", "anc").alias("term_b")).distinct())
 
 
-def resnik(pairs: DataFrame, closed: DataFrame, ic: DataFrame) -> DataFrame:
-    """Largest information content among shared ancestors of pairs(term_a, term_b); 0 if none."""
-    a = closed.select(F.col("src").alias("term_a"), F.col("anc").alias("term"))
-    b = closed.select(F.col("src").alias("term_b"), F.col("anc").alias("term"))
-    shared = pairs.join(a, "term_a").join(b, ["term_b", "term"]).join(ic, "term")
-    best = shared.groupBy("term_a", "term_b").agg(F.max("ic").alias("resnik"))
-    return pairs.join(best, ["term_a", "term_b"], "left").withColumn("resnik", F.coalesce("resnik", F.lit(0.0)))
+def resnik(a: DataFrame, b: DataFrame, closed: DataFrame, ic: DataFrame) -> DataFrame:
+    """(key, resnik): largest IC among the ancestors shared by two term sets a(key, term) and b(key, term); 0 if none."""
+    shared = (propagate(a, closed, ["key"]).join(propagate(b, closed, ["key"]), ["key", "term"]).join(ic, "term")
+              .groupBy("key").agg(F.max("ic").alias("resnik")))
+    keys = a.select("key").union(b.select("key")).distinct()
+    return keys.join(shared, "key", "left").withColumn("resnik", F.coalesce("resnik", F.lit(0.0)))
 
 
 def coverage_curve(items: DataFrame, closed: DataFrame, capable: DataFrame, depths: tuple[int, ...]) -> DataFrame:

@@ -33,7 +33,7 @@ def fisher_enrichment(obs: DataFrame, features: DataFrame, min_feature_count: in
     empty_margin = (P == 0) | (N == 0) | (a + b == 0) | (a + b == P + N)
     odds = (F.when(empty_margin, F.lit(None).cast("double"))
             .when((b > 0) & (P - a > 0), a * (N - b) / (b * (P - a))).otherwise(float("inf")))
-    p = F.when(empty_margin, 1.0).otherwise(fisher_two_sided(a, b, P, N))
+    p = F.when(empty_margin, 1.0).otherwise(fisher_two_sided("n_pos", "n_neg", "all_pos", "all_neg"))
     rows = tested.select("gene", "kind", "term", "n_pos", "n_neg", odds.alias("odds_ratio"), p.alias("p"))
     return benjamini_hochberg(rows, "p", ["gene"], "q")
 
@@ -63,7 +63,7 @@ def two_factor_enrichment(obs: DataFrame, features: DataFrame, baselines: DataFr
             .when(F.col("observed") <= 0, 0.0).otherwise(obs_odds / exp_odds))
     rows = rows.select("gene", "kind", "term", "n_pos", "n_neg", "tested", "baseline", "expected",
                        (F.col("observed") - F.col("expected")).alias("excess"), odds.alias("odds_ratio"),
-                       F.when(F.col("tested"), binomial_two_sided(a, n, F.col("expected"))).alias("p"))
+                       F.when(F.col("tested"), binomial_two_sided("n_pos", "n_pos + n_neg", "expected")).alias("p"))
     return benjamini_hochberg(rows, "p", ["gene"], "q")
 
 
@@ -104,7 +104,7 @@ def over_representation(units: DataFrame, carriers: DataFrame, min_term_size: in
     rows = (terms.join(sizes, ["unit", "gene"]).filter(n > 0)
             .withColumn("expected", n * K / N).withColumn("fold", k / F.col("expected"))
             .withColumn("precision", k / n).withColumn("recall", k / K)
-            .withColumn("p", hypergeometric_tail(k, N, K, n)))
+            .withColumn("p", hypergeometric_tail("intersection", "n_background", "term_size", "query_size")))
     rows = bonferroni(rows, "p", ["unit", "gene"], "p_bonferroni")
     return benjamini_hochberg(rows, "p", ["unit", "gene"], "p_bh")
 

@@ -68,7 +68,7 @@ def corrected_stats(evidence: DataFrame, rates: DataFrame, baselines: DataFrame,
     observed = F.when(F.col("size") > 0, F.col("hits") / F.col("size")).otherwise(0.0)
     rows = (rows.withColumn("observed", observed).withColumn("expected", F.when(F.col("tested"), expected))
             .withColumn("excess", F.col("observed") - F.col("expected"))
-            .withColumn("_p", F.when(F.col("tested"), binomial_two_sided(F.col("hits"), F.col("size"), F.col("expected")))))
+            .withColumn("_p", F.when(F.col("tested"), binomial_two_sided("hits", "size", "expected"))))
     rows = benjamini_hochberg(rows, "_p", ["unit", "gene"], "_q")
     return rows.select("unit", "gene", "term", "size", "hits", "observed", "expected", "excess", "tested",
                        F.coalesce("_p", F.lit(1.0)).alias("p"),

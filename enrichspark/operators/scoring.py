@@ -194,9 +194,9 @@ def constant_prior(propagated: DataFrame, dev: DataFrame, vocabulary: DataFrame,
     chosen: list = []
     have, best = F.array().cast(sets.schema["anc_set"].dataType), -1.0
     for _ in range(k):
-        union = F.array_union(F.col("v.anc_set"), have)
+        union = F.array_union(F.col("v.anc_set"), F.col("have"))
         f = f1(_mass(F.array_intersect(union, F.col("own"))), _mass(union), F.col("truth_mass"))
-        top = (genes.withColumn("v", F.explode(every))
+        top = (genes.withColumn("have", have).withColumn("v", F.explode(every))
                .groupBy(F.col("v.term").alias("term")).agg(F.avg(f).alias("score"))
                .orderBy(F.round("score", 10).desc(), "term").first())
         if top is None or top["score"] <= best + 1e-12:

@@ -47,7 +47,7 @@ def null_thresholds(genes: DataFrame, items: DataFrame, carriers: DataFrame, min
               .withColumn("k", F.size(F.filter("places", lambda p: p <= F.col("n")))))
     # equal counts give equal p: test each distinct combination once
     combos = (places.select("universe", "term_size", "n", "k").distinct().join(sizes, "universe")
-              .withColumn("p", hypergeometric_tail(F.col("k"), F.col("n_items"), F.col("term_size"), F.col("n"))))
+              .withColumn("p", hypergeometric_tail("k", "n_items", "term_size", "n")))
     smallest = (places.join(combos, ["universe", "term_size", "n", "k"]).groupBy("universe", "n", "sim")
                 .agg(F.min("p").alias("min_p")))
     q = smallest.groupBy("universe", "n").agg(F.percentile("min_p", F.lit(alpha)).alias("threshold"))
@@ -58,8 +58,7 @@ def null_thresholds(genes: DataFrame, items: DataFrame, carriers: DataFrame, min
 def apply_thresholds(rows: DataFrame, genes: DataFrame, thresholds: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Add threshold, p_gscs, p_floor and reachable to over-representation rows."""
     per_gene = genes.join(thresholds, ["universe", "n"], "left").select("gene", F.coalesce("threshold", F.lit(alpha)).alias("threshold"))
-    full = F.least("term_size", "query_size")
-    floor = hypergeometric_tail(full, F.col("n_background"), F.col("term_size"), F.col("query_size"))
+    floor = hypergeometric_tail("least(term_size, query_size)", "n_background", "term_size", "query_size")
     return (rows.join(per_gene, "gene").withColumn("p_gscs", F.least(F.lit(1.0), F.col("p") * (alpha / F.col("threshold"))))
             .withColumn("p_floor", floor)
             .withColumn("reachable", F.col("p_floor") <= F.col("threshold") * (1 + 1e-9)))

@@ -28,7 +28,7 @@ def associations(propagated: DataFrame, ic: DataFrame, candidates: DataFrame, ro
 
     def strength(dj, dc, dt, dm):
         j, c, t, m = F.col("joint") - dj, F.col("n_c") - dc, F.col("n_t") - dt, F.col("m") - dm
-        tail = hypergeometric_tail(j, m, t, c)
+        tail = hypergeometric_tail(f"joint - {dj}", f"m - {dm}", f"n_t - {dt}", f"n_c - {dc}")
         return F.when(j > c * t / m, F.least(F.lit(MAX_ASSOCIATION), neg_log10(tail, MAX_ASSOCIATION))).otherwise(0.0)
 
     return rows.select("c", "term", "n_c", "n_t", "joint", strength(0, 0, 0, 0).alias("s"),

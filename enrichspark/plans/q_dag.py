@@ -106,17 +106,17 @@ def _(m):
 
 
 @query("resnik_similarity", """
-WITH pairs AS (SELECT DISTINCT least(a.term, b.term) term_a, greatest(a.term, b.term) term_b
-               FROM t_truth a JOIN t_truth b ON a.gene = b.gene AND a.term < b.term)
-SELECT CAST(term_a AS BIGINT) term_a, CAST(term_b AS BIGINT) term_b, round(coalesce(max(ic), 0.0), 6) resnik
-FROM pairs LEFT JOIN (SELECT x.src a, y.src b, ic FROM t_closed x JOIN t_closed y ON x.anc = y.anc
-                      JOIN t_ic ON term = x.anc) ON a = term_a AND b = term_b
-GROUP BY 1, 2""")
+WITH late AS (SELECT DISTINCT l_suppkey k, CAST(p_size AS INT) term FROM lineitem JOIN part ON l_partkey = p_partkey
+              WHERE l_quantity = 49 AND l_discount = 0.1),
+ks AS (SELECT gene k FROM t_truth UNION SELECT k FROM late)
+SELECT ks.k AS key, round(coalesce(max(ic), 0.0), 6) resnik FROM ks
+LEFT JOIN (SELECT p.gene k, ic FROM t_prop p JOIN (SELECT DISTINCT k, anc FROM late JOIN t_closed ON src = term) q
+           ON q.k = p.gene AND q.anc = p.term JOIN t_ic i ON i.term = p.term) s ON s.k = ks.k GROUP BY 1""")
 def _(m):
-    a, b = m.truths.alias("a"), m.truths.alias("b")
-    pairs = (a.join(b, (F.col("a.gene") == F.col("b.gene")) & (F.col("a.term") < F.col("b.term")))
-             .select(F.col("a.term").alias("term_a"), F.col("b.term").alias("term_b")).distinct())
-    return rounded(dag.resnik(pairs, m.closed, m.ic))
+    part = m.table("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("int").alias("term"))
+    late = (m.table("lineitem").filter("l_quantity = 49 AND l_discount = 0.1").join(part, "l_partkey")
+            .select(F.col("l_suppkey").alias("key"), "term").distinct())
+    return rounded(dag.resnik(m.truths.withColumnRenamed("gene", "key"), late, m.closed, m.ic))
 
 
 @query("ontology_related_pairs", """
@@ -133,19 +133,19 @@ DEPTHS = (0, 1, 2, 3, 4, 6, 8)
 WITH RECURSIVE walk AS (
   SELECT node src, node anc, 0 depth FROM p_starts
   UNION SELECT w.src, e.parent, w.depth + 1 FROM walk w JOIN p_edges e ON e.child = w.anc AND rel = 'is_a' WHERE w.depth < 8),
-items AS (SELECT l_partkey ct, count(*) AS rows FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) GROUP BY 1),
-held AS (SELECT d AS at, src, p_size process, any_value(i.rows) AS rows
+items AS (SELECT l_partkey ct, count(*) AS nr FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) GROUP BY 1),
+held AS (SELECT d AS lvl, src, p_size process, any_value(i.nr) AS nr
   FROM walk JOIN (SELECT p_partkey, p_size FROM part WHERE p_partkey % 50 = 7) ON anc = p_partkey
   JOIN items i ON i.ct = src JOIN (SELECT unnest([0, 1, 2, 3, 4, 6, 8]) d) ON depth <= d GROUP BY 1, 2, 3),
-per_type AS (SELECT at, src, count(*) n, max(rows) AS rows FROM held GROUP BY 1, 2),
-per_process AS (SELECT at, process, count(*) n FROM held GROUP BY 1, 2),
-top AS (SELECT at, count(*) n_unique_terms, max(n) most_common_n,
+per_type AS (SELECT lvl, src, count(*) n, max(nr) AS nr FROM held GROUP BY 1, 2),
+per_process AS (SELECT lvl, process, count(*) n FROM held GROUP BY 1, 2),
+top AS (SELECT lvl, count(*) n_unique_terms, max(n) most_common_n,
         arg_min(process, -n * 1000 + process) most_common_term FROM per_process GROUP BY 1)
-SELECT CAST(at AS BIGINT) AS depth, round(count(*) / (SELECT count(*) FROM items), 6) frac_cell_types,
-  round(sum(rows) / (SELECT sum(rows) FROM items), 6) frac_rows, any_value(n_unique_terms) n_unique_terms,
+SELECT CAST(lvl AS BIGINT) AS depth, round(count(*) / (SELECT count(*) FROM items), 6) frac_cell_types,
+  round(sum(nr) / (SELECT sum(nr) FROM items), 6) frac_rows, any_value(n_unique_terms) n_unique_terms,
   list_sort(list(n))[CAST(floor(count(*) / 2) AS INT) + 1] median_per_annotated,
   CAST(any_value(most_common_term) AS BIGINT) most_common_term, any_value(most_common_n) most_common_n
-FROM per_type JOIN top USING (at) GROUP BY 1""")
+FROM per_type JOIN top USING (lvl) GROUP BY 1""")
 def _(m):
     capable = (m.table("part").filter("p_partkey % 50 = 7")
                .select(F.col("p_partkey").alias("node"), F.col("p_size").alias("process")))

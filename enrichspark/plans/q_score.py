@@ -310,7 +310,7 @@ JOIN (SELECT term c, count(*) n_c FROM t_prop GROUP BY 1) USING (c)
 JOIN (SELECT term, count(*) n_t FROM t_prop GROUP BY 1) USING (term)""")
 fragment("t_assoc", f"SELECT *, {_assoc_sql('joint', 'n_c', 'n_t', 'mm')} s FROM t_joint")
 fragment("t_weights", """
-SELECT unit, gene, term c, -log10(greatest(p, 1e-300)) w FROM t_corrected WHERE tested AND excess > 0 AND p < 1""")
+SELECT unit, gene, term c, -log10(greatest(p, 1e-300)) w FROM t_corrected WHERE tested AND excess > 0 AND p < 1 - 1e-12""")
 # leave one out by recomputing every count without the target
 fragment("t_loo", f"""
 SELECT unit, gene, c, w, term, {_assoc_sql('j1', 'c1', 't1', 'm1')} s FROM (

@@ -164,7 +164,7 @@ def _(m):
     called = m.obs.filter("value IS NOT NULL")
     per = called.groupBy("gene", "ct").agg(F.count_if(F.col("value") == 1).alias("k"), F.count("*").alias("K2"))
     tot = called.groupBy("gene").agg(F.count("*").alias("nn"), F.count_if(F.col("value") == 1).alias("n0"))
-    p = hypergeometric_tail(F.col("k"), F.col("nn"), F.col("K2"), F.col("n0"))
+    p = hypergeometric_tail("k", "nn", "K2", "n0")
     return rounded(per.join(tot, "gene").select("gene", "ct", "k", "K2", p.alias("p")))
 
 
