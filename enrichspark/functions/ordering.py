@@ -56,6 +56,30 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str]
     return at.groupBy(*by).agg(*[pick(p).alias(name) for name, p in probs.items()])
 
 
+def cumulative(counts: DataFrame, order: list[str], sums: list[str]) -> DataFrame:
+    """Add <name>_upto, the running total in `order`, and <name>_total to each row of a counted table.
+
+    order must identify a row. Partitions are summed on their own and shifted by those before them.
+    """
+    parts = materialize(counts.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()), "cumulative")
+    sizes = parts.groupBy("_pid").agg(*[F.sum(c).alias(c) for c in sums])
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = sizes.select("_pid", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_s_{c}") for c in sums])
+    totals = sizes.agg(F.struct(*[F.sum(c).alias(c) for c in sums]).alias("t")).scalar()
+    w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = parts.join(starts, "_pid").withColumn("_t", totals)
+    for c in sums:
+        out = out.withColumn(f"{c}_upto", F.col(f"_s_{c}") + F.sum(c).over(w)).withColumn(f"{c}_total", F.col(f"_t.{c}"))
+    return out.drop("_pid", "_t", *[f"_s_{c}" for c in sums])
+
+
+def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Add the rank of `value` with ties sharing their mean rank."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    ranks = cumulative(counts, ["_v"], ["_c"]).select("_v", (F.col("_c_upto") - (F.col("_c") - 1) / 2).alias(out))
+    return df.join(ranks, F.col(value) == F.col("_v")).drop("_v")
+
+
 def _match(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     if not keys:  # right is a single row
         name = right.columns[0]

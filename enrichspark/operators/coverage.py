@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from enrichspark.functions.draws import hash32, mix, poisson_weight
-from enrichspark.functions.ordering import global_rank, quantiles
+from enrichspark.functions.ordering import cumulative, global_rank, quantiles
 
 
 def quantile_edges(values: DataFrame, value: str, q: int) -> list[float]:
@@ -87,20 +87,11 @@ def ks_two_sample(rows: DataFrame, value: str) -> DataFrame:
     Counts per distinct value are ranked by range, so no task sees the whole column. The exact p of small
     samples is not computed.
     """
-    from enrichspark.session import materialize
     per = (rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v"))
            .agg(F.count_if("done").alias("a"), F.count_if(~F.col("done")).alias("b")))
-    parts = materialize(per.repartitionByRange("v").withColumn("_pid", F.spark_partition_id()), "ks")
-    sizes = parts.groupBy("_pid").agg(F.sum("a").alias("_a"), F.sum("b").alias("_b"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    starts = sizes.select("_pid", F.coalesce(F.sum("_a").over(before), F.lit(0)).alias("_sa"),
-                          F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_sb"))
-    n = sizes.agg(F.struct(F.sum("_a").alias("a"), F.sum("_b").alias("b"))).scalar()
-    w = Window.partitionBy("_pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = (parts.withColumn("_ca", F.sum("a").over(w)).withColumn("_cb", F.sum("b").over(w)).join(starts, "_pid")
-           .withColumn("_n", n))
-    gap = F.abs((F.col("_sa") + F.col("_ca")) / F.col("_n.a") - (F.col("_sb") + F.col("_cb")) / F.col("_n.b"))
-    stat = cum.agg(F.max(gap).alias("statistic"), F.first("_n.a").alias("n_done"), F.first("_n.b").alias("n_missing"))
+    gap = F.abs(F.col("a_upto") / F.col("a_total") - F.col("b_upto") / F.col("b_total"))
+    stat = cumulative(per, ["v"], ["a", "b"]).agg(
+        F.max(gap).alias("statistic"), F.first("a_total").alias("n_done"), F.first("b_total").alias("n_missing"))
     root = F.sqrt(F.col("n_done") * F.col("n_missing") / (F.col("n_done") + F.col("n_missing")))
     lam = F.col("statistic") * root
     terms = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, j: s + F.when(j % 2 == 1, 2.0).otherwise(-2.0)

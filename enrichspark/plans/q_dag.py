@@ -57,10 +57,10 @@ def _(m):
 
 @query("inherit_processes", """
 SELECT src, CAST(process AS BIGINT) process, CAST(min(depth) AS BIGINT) AS depth FROM p_walk_isa
-JOIN (SELECT p_partkey node, p_size process FROM part WHERE p_partkey % 5 = 0) ON anc = node WHERE depth <= 3
+JOIN (SELECT p_partkey node, p_size process FROM part WHERE p_type = 'ECONOMY') ON anc = node WHERE depth <= 3
 GROUP BY 1, 2""")
 def _(m):
-    capable = (m.table("part").filter("p_partkey % 5 = 0")
+    capable = (m.table("part").filter("p_type = 'ECONOMY'")
                .select(F.col("p_partkey").alias("node"), F.col("p_size").alias("process")))
     return rounded(dag.inherit_processes(dag.closure(m.part_edges, ("is_a",), 3), capable))
 
@@ -135,7 +135,7 @@ WITH RECURSIVE walk AS (
   UNION SELECT w.src, e.parent, w.depth + 1 FROM walk w JOIN p_edges e ON e.child = w.anc AND rel = 'is_a' WHERE w.depth < 8),
 items AS (SELECT l_partkey ct, count(*) AS nr FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) GROUP BY 1),
 held AS (SELECT d AS lvl, src, p_size process, any_value(i.nr) AS nr
-  FROM walk JOIN (SELECT p_partkey, p_size FROM part WHERE p_partkey % 50 = 7) ON anc = p_partkey
+  FROM walk JOIN (SELECT p_partkey, p_size FROM part WHERE p_brand = 'Brand#7') ON anc = p_partkey
   JOIN items i ON i.ct = src JOIN (SELECT unnest([0, 1, 2, 3, 4, 6, 8]) d) ON depth <= d GROUP BY 1, 2, 3),
 per_type AS (SELECT lvl, src, count(*) n, max(nr) AS nr FROM held GROUP BY 1, 2),
 per_process AS (SELECT lvl, process, count(*) n FROM held GROUP BY 1, 2),
@@ -147,7 +147,7 @@ SELECT CAST(lvl AS BIGINT) AS depth, round(count(*) / (SELECT count(*) FROM item
   CAST(any_value(most_common_term) AS BIGINT) most_common_term, any_value(most_common_n) most_common_n
 FROM per_type JOIN top USING (lvl) GROUP BY 1""")
 def _(m):
-    capable = (m.table("part").filter("p_partkey % 50 = 7")
+    capable = (m.table("part").filter("p_brand = 'Brand#7'")
                .select(F.col("p_partkey").alias("node"), F.col("p_size").alias("process")))
     items = m.table("lineitem").select(F.col("l_partkey").alias("ct"), F.col("l_suppkey").alias("item")).distinct()
     return rounded(dag.coverage_curve(items, dag.closure(m.part_edges, ("is_a",), max(DEPTHS)), capable, DEPTHS))
