@@ -11,13 +11,28 @@ def normalise(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
-def content_tokens(text: Column, stop_words: list[str], min_length: int = 3) -> Column:
-    """Distinct words of at least min_length letters that are not stop words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
-    stops = F.array(*[F.lit(w) for w in stop_words]).cast("array<string>")
+# fixed values: words too common to count as content
+STOP_WORDS = ("cell", "cells", "of", "the", "and", "in", "a", "an", "type", "types", "positive", "negative")
+
+
+def content_tokens(text: Column, stop_words: tuple[str, ...] = STOP_WORDS, min_length: int = 3) -> Column:
+    """Distinct words of at least min_length characters that are not stop words."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    stops = F.array(*[F.lit(w) for w in stop_words])
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= min_length) & ~F.array_contains(stops, w)))
 
 
+def whole_word(term: Column) -> Column:
+    """Pattern that finds a literal term, in any case, not inside a longer run of letters and digits."""
+    return F.concat(F.lit("(?iu)(?<![A-Za-z0-9])\\Q"), term, F.lit("\\E(?![A-Za-z0-9])"))
+
+
+def json_payload(text: Column) -> Column:
+    """The body of the first fenced block, or the whole text."""
+    fenced = F.regexp_extract(text, "(?is)```(?:json)?\\s*(.*?)```", 1)
+    return F.trim(F.when(text.rlike("(?is)```(?:json)?\\s*.*?```"), fenced).otherwise(text))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Share of common elements of two arrays of distinct values."""
     common = F.size(F.array_intersect(a, b))
