@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from enrichspark.functions.corrections import benjamini_hochberg, bonferroni
 from enrichspark.functions.exact import binomial_two_sided, fisher_two_sided, hypergeometric_tail
+from enrichspark.session import spread
 
 MIN_FEATURE_COUNT = 20
 MIN_EXCESS = 0.10
@@ -29,7 +30,7 @@ def _totals(obs: DataFrame) -> DataFrame:
 def fisher_enrichment(obs: DataFrame, features: DataFrame, min_feature_count: int = MIN_FEATURE_COUNT) -> DataFrame:
     """Two-sided exact test of each feature's positive and negative counts against the set sizes."""
     a, b, P, N = (F.col(c) for c in ("n_pos", "n_neg", "all_pos", "all_neg"))
-    tested = (feature_counts(obs, features).filter(a + b >= min_feature_count).join(_totals(obs), "gene"))
+    tested = spread(feature_counts(obs, features).filter(a + b >= min_feature_count).join(_totals(obs), "gene"), "gene")
     empty_margin = (P == 0) | (N == 0) | (a + b == 0) | (a + b == P + N)
     odds = (F.when(empty_margin, F.lit(None).cast("double"))
             .when((b > 0) & (P - a > 0), a * (N - b) / (b * (P - a))).otherwise(float("inf")))
@@ -52,7 +53,7 @@ def two_factor_enrichment(obs: DataFrame, features: DataFrame, baselines: DataFr
     counted = (feature_counts(obs, features).filter(n >= min_feature_count).join(_totals(obs), "gene")
                .join(baselines.select("kind", "term", "baseline"), ["kind", "term"], "left"))
     rate = F.col("all_pos") / (F.col("all_pos") + F.col("all_neg"))
-    rows = (counted.withColumn("grand_mean", grand_mean)
+    rows = (spread(counted, "gene").withColumn("grand_mean", grand_mean)
             .withColumn("tested", F.col("baseline").isNotNull())
             .withColumn("expected", F.when(F.col("tested"), F.when(F.col("grand_mean") > 0, _expected(
                 rate, F.col("baseline"), F.col("grand_mean"))).otherwise(rate)))
@@ -101,7 +102,7 @@ def over_representation(units: DataFrame, carriers: DataFrame, min_term_size: in
     if max_term_size:
         terms = terms.filter(F.col("term_size") <= max_term_size)
     N, n, K, k = (F.col(c) for c in ("n_background", "query_size", "term_size", "intersection"))
-    rows = (terms.join(sizes, ["unit", "gene"]).filter(n > 0)
+    rows = (spread(terms.join(sizes, ["unit", "gene"]).filter(n > 0), "unit", "gene")
             .withColumn("expected", n * K / N).withColumn("fold", k / F.col("expected"))
             .withColumn("precision", k / n).withColumn("recall", k / K)
             .withColumn("p", hypergeometric_tail("intersection", "n_background", "term_size", "query_size")))

@@ -9,6 +9,7 @@ from enrichspark.functions.corrections import benjamini_hochberg
 from enrichspark.functions.exact import binomial_two_sided
 from enrichspark.operators.matrix import gene_rates
 from enrichspark.operators.vocabulary import with_every_term
+from enrichspark.session import spread
 
 MIN_GENES_CONTRIBUTING = 100
 
@@ -66,7 +67,7 @@ def corrected_stats(evidence: DataFrame, rates: DataFrame, baselines: DataFrame,
                         & (F.col("grand_mean") > 0)))
     expected = F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.col("rate") * F.col("baseline") / F.col("grand_mean")))
     observed = F.when(F.col("size") > 0, F.col("hits") / F.col("size")).otherwise(0.0)
-    rows = (rows.withColumn("observed", observed).withColumn("expected", F.when(F.col("tested"), expected))
+    rows = (spread(rows, "unit", "gene").withColumn("observed", observed).withColumn("expected", F.when(F.col("tested"), expected))
             .withColumn("excess", F.col("observed") - F.col("expected"))
             .withColumn("_p", F.when(F.col("tested"), binomial_two_sided("hits", "size", "expected"))))
     rows = benjamini_hochberg(rows, "_p", ["unit", "gene"], "_q")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from enrichspark.functions.draws import hash32
 from enrichspark.functions.ordering import quantiles
 from enrichspark.operators.ranking import keep_first
+from enrichspark.session import spread
 
 KS = (1, 3, 5, 10)
 
@@ -169,7 +170,7 @@ def floor_at_k(propagated: DataFrame, vocabulary: DataFrame, closed: DataFrame,
                   F.collect_list(F.when(F.col("ic") > 0, F.struct(F.col("term").alias("anc"), "ic"))).alias("own")))
     scored = F.aggregate("sets", F.lit(0.0), lambda s, d: s + f1(
         _mass(F.array_intersect(d, F.col("own"))), _mass(d), F.col("truth_mass")))
-    return genes.withColumn("sets", sets).select("gene", (scored / n_draws).alias("floor"))
+    return spread(genes, "gene").withColumn("sets", sets).select("gene", (scored / n_draws).alias("floor"))
 
 
 def headroom(scores: DataFrame, floors: DataFrame, tops: DataFrame, k: int) -> DataFrame:
@@ -196,7 +197,7 @@ def constant_prior(propagated: DataFrame, dev: DataFrame, vocabulary: DataFrame,
     for _ in range(k):
         union = F.array_union(F.col("v.anc_set"), F.col("have"))
         f = f1(_mass(F.array_intersect(union, F.col("own"))), _mass(union), F.col("truth_mass"))
-        top = (genes.withColumn("have", have).withColumn("v", F.explode(every))
+        top = (spread(genes, "gene").withColumn("have", have).withColumn("v", F.explode(every))
                .groupBy(F.col("v.term").alias("term")).agg(F.avg(f).alias("score"))
                .orderBy(F.round("score", 10).desc(), "term").first())
         if top is None or top["score"] <= best + 1e-12:

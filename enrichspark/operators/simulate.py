@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from enrichspark.functions.draws import hash32
 from enrichspark.functions.exact import hypergeometric_tail
+from enrichspark.session import spread
 
 
 def universes(units: DataFrame, carriers: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,7 +33,7 @@ def null_thresholds(genes: DataFrame, items: DataFrame, carriers: DataFrame, min
     follows distinct (universe, n) and not genes.
     """
     sizes = items.groupBy("universe").agg(F.count("*").alias("n_items"))
-    asked = (genes.filter("n > 0").groupBy("universe").agg(F.array_sort(F.collect_set("n")).alias("ns")))
+    asked = genes.filter("n > 0").select("universe", "n").distinct()
     terms = (items.join(carriers.select("ct", "term"), "ct").groupBy("universe", "term")
              .agg(F.count("*").alias("term_size"), F.collect_list("item").alias("held"))
              .filter(F.col("term_size") >= min_term_size))
@@ -40,11 +41,14 @@ def null_thresholds(genes: DataFrame, items: DataFrame, carriers: DataFrame, min
     w = Window.partitionBy("universe", "sim").orderBy(hash32(seed, F.col("sim"), F.col("item")), "item")
     order = sims.withColumn("place", F.row_number().over(w))
     members = terms.select("universe", "term", "term_size", F.explode("held").alias("item"))
-    # places of a term's carriers in one random order; the overlap at size n is how many are at most n
+    # a term's carriers in one random order: between two of their places the overlap with the first n items is constant
     places = (order.join(members, ["universe", "item"]).groupBy("universe", "sim", "term", "term_size")
-              .agg(F.collect_list("place").alias("places"))
-              .join(asked, "universe").withColumn("n", F.explode("ns"))
-              .withColumn("k", F.size(F.filter("places", lambda p: p <= F.col("n")))))
+              .agg(F.array_sort(F.collect_list("place")).alias("places")).join(sizes, "universe")
+              .withColumn("places", F.concat(F.array(F.lit(1)), "places", F.array((F.col("n_items") + 1).cast("int"))))
+              .select("universe", "sim", "term_size", "places", F.posexplode(F.slice("places", F.lit(1), F.size("places") - 1)).alias("k", "first"))
+              .withColumn("last", F.element_at("places", F.col("k") + 2) - 1).filter("last >= first")
+              .withColumn("n", F.explode(F.sequence("first", "last"))).withColumn("n", F.col("n").cast("long"))
+              .join(asked, ["universe", "n"]).select("universe", "sim", "term_size", "n", "k"))
     # equal counts give equal p: test each distinct combination once
     combos = (places.select("universe", "term_size", "n", "k").distinct().join(sizes, "universe")
               .withColumn("p", hypergeometric_tail("k", "n_items", "term_size", "n")))
@@ -59,6 +63,6 @@ def apply_thresholds(rows: DataFrame, genes: DataFrame, thresholds: DataFrame, a
     """Add threshold, p_gscs, p_floor and reachable to over-representation rows."""
     per_gene = genes.join(thresholds, ["universe", "n"], "left").select("gene", F.coalesce("threshold", F.lit(alpha)).alias("threshold"))
     floor = hypergeometric_tail("least(term_size, query_size)", "n_background", "term_size", "query_size")
-    return (rows.join(per_gene, "gene").withColumn("p_gscs", F.least(F.lit(1.0), F.col("p") * (alpha / F.col("threshold"))))
+    return (spread(rows.join(per_gene, "gene"), "gene").withColumn("p_gscs", F.least(F.lit(1.0), F.col("p") * (alpha / F.col("threshold"))))
             .withColumn("p_floor", floor)
             .withColumn("reachable", F.col("p_floor") <= F.col("threshold") * (1 + 1e-9)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from enrichspark.functions.exact import hypergeometric_tail, neg_log10
 from enrichspark.operators.vocabulary import broad_vocabulary
+from enrichspark.session import spread
 
 MAX_ASSOCIATION = 300.0
 
@@ -24,7 +25,7 @@ def associations(propagated: DataFrame, ic: DataFrame, candidates: DataFrame, ro
     held = propagated.join(vocab.select("term"), "term", "left_semi")
     joint = carries.join(held, "gene").groupBy("c", "term").agg(F.count("*").alias("joint"))
     total = propagated.agg(F.count_distinct("gene").alias("m")).scalar()
-    rows = joint.join(n_c, "c").join(vocab, "term").withColumn("m", total)
+    rows = spread(joint.join(n_c, "c").join(vocab, "term"), "c", "term").withColumn("m", total)
 
     def strength(dj, dc, dt, dm):
         j, c, t, m = F.col("joint") - dj, F.col("n_c") - dc, F.col("n_t") - dt, F.col("m") - dm

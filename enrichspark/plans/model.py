@@ -7,6 +7,7 @@ code (R is the excluded one). Terms form a graph in which k has parents k div 2
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,7 @@ class Model:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self._shared: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
@@ -93,7 +95,7 @@ class Model:
         edges = (seg.select(F.col("t").alias("child"), group.alias("parent"), F.lit("is_a").alias("rel"))
                  .unionByName(seg.select(group.alias("child"), F.lit("ALL").alias("parent"), F.lit("part_of").alias("rel"))
                               .distinct()))
-        return dag.closure(edges, max_depth=3)
+        return materialize(dag.closure(edges, max_depth=3), "tissues")
 
     @cached_property
     def feature_terms(self) -> DataFrame:
@@ -117,7 +119,8 @@ class Model:
     @cached_property
     def features_v1(self) -> DataFrame:
         """Lineage and exact tissue only."""
-        return dag.item_features(self.items, self.feature_terms, self.isa3, self.tissue_closed.filter("depth = 0"))
+        exact = self.tissue_closed.filter("depth = 0")
+        return materialize(dag.item_features(self.items, self.feature_terms, self.isa3, exact), "features")
 
     # -- observations
     def observe(self) -> DataFrame:
@@ -162,13 +165,25 @@ class Model:
     def baselines(self) -> DataFrame:
         return evidence.term_baselines(self.evidence, self.min_genes())
 
-    @cached_property
+    def shared(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A result table that several reports read: built and written once per session."""
+        if name not in self._shared:
+            self._shared[name] = materialize(build(), name)
+        return self._shared[name]
+
+    @property
     def corrected(self) -> DataFrame:
+        return self.shared("corrected", self.correct)
+
+    def correct(self) -> DataFrame:
         return evidence.corrected_stats(self.evidence, self.rates, self.baselines, evidence.grand_means(self.rates),
                                         self.vocabulary)
 
-    @cached_property
+    @property
     def enriched(self) -> DataFrame:
+        return self.shared("enriched", self.enrich)
+
+    def enrich(self) -> DataFrame:
         return enrichment.over_representation(self.units, self.carriers)
 
     # -- annotations

@@ -123,16 +123,20 @@ LEFT JOIN (SELECT gene, sum(ic) reach, max(ic) max_ic FROM t_prop p JOIN (SELECT
            GROUP BY 1) USING (gene)""")
 
 
-def model_ceilings(m):
+def fresh_ceilings(m):
     return scoring.ceilings(m.propagated, m.vocabulary, m.closed, m.ic)
 
 
+def model_ceilings(m):
+    return m.shared("ceilings", lambda: fresh_ceilings(m))
+
+
 @query("ceilings", """
 SELECT gene, round(truth_mass, 6) truth_mass, round(reachable_ic_fraction, 6) reachable_ic_fraction,
   round(max_shared_ic, 6) max_shared_ic, round(f1_top1, 6) f1_top1, round(f1_top1_random, 6) f1_top1_random,
   round(f1_top3, 6) f1_top3 FROM t_ceilings""")
 def _(m):
-    return rounded(model_ceilings(m))
+    return rounded(fresh_ceilings(m))
 
 
 METRICS = ("reachable_ic_fraction", "max_shared_ic", "f1_top1", "f1_top1_random", "f1_top3")
@@ -326,17 +330,21 @@ SELECT unit, gene, term, score, rank FROM (
 
 
 def assoc(m):
+    return m.shared("associations", lambda: fresh_assoc(m))
+
+
+def fresh_assoc(m):
     return transfer.associations(m.propagated, m.ic, m.vocabulary, ROOT, MIN_TRANSFER)
 
 
 @query("coannotation_counts", "SELECT CAST(c AS BIGINT) c, CAST(term AS BIGINT) term, n_c, n_t, joint FROM t_joint")
 def _(m):
-    return rounded(assoc(m).select("c", "term", "n_c", "n_t", "joint"))
+    return rounded(fresh_assoc(m).select("c", "term", "n_c", "n_t", "joint"))
 
 
 @query("transfer_association", "SELECT CAST(c AS BIGINT) c, CAST(term AS BIGINT) term, round(s, 5) s FROM t_assoc")
 def _(m):
-    return rounded(assoc(m).select("c", "term", "s"), 5)
+    return rounded(fresh_assoc(m).select("c", "term", "s"), 5)
 
 
 @query("transfer_rank", """
@@ -383,15 +391,19 @@ def preds5(m):
     return rank_ora(m).filter("unit = 'cell_types' AND rank <= 5").select("gene", "term", "rank")
 
 
-def matched(m):
+def fresh_matched(m):
     return matching.classify(preds5(m).drop("rank"), m.truths, m.closed)
 
 
+def matched(m):
+    return m.shared("matched", lambda: fresh_matched(m))
+
+
 @query("classify_terms", """
 SELECT gene, CAST(term AS BIGINT) term, kind, CAST(distance AS BIGINT) distance, CAST(matched_term AS BIGINT) matched_term,
   CASE WHEN kind = 'upward' THEN d_down IS NOT NULL END also_down FROM t_match""")
 def _(m):
-    return rounded(matched(m))
+    return rounded(fresh_matched(m))
 
 
 @query("relation_split", """
@@ -445,6 +457,10 @@ GROUP BY 1""")
 
 
 def chance(m):
+    return m.shared("chance", lambda: fresh_chance(m))
+
+
+def fresh_chance(m):
     every = with_every_term(m.truths.select("gene").distinct(), m.vocabulary)
     return matching.chance_baseline(every, m.truths, m.closed, m.ic)
 
@@ -454,7 +470,7 @@ SELECT gene, round(chance, 6) chance, round(chance_exact, 6) chance_exact, round
   round(chance_downward, 6) chance_downward, round(mean_true_ic, 6) mean_true_ic, round(min_true_ic, 6) min_true_ic,
   round(max_true_ic, 6) max_true_ic FROM t_chance""")
 def _(m):
-    return rounded(chance(m))
+    return rounded(fresh_chance(m))
 
 
 @query("carrying_genes", "SELECT DISTINCT gene FROM t_truth WHERE gene IN (SELECT gene FROM t_prop WHERE term IN (SELECT term FROM t_vocab))")

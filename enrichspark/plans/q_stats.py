@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from enrichspark.functions.corrections import benjamini_hochberg, bonferroni, holm
+from enrichspark.functions.corrections import adjust_large
 from enrichspark.functions.exact import hypergeometric_tail
 from enrichspark.operators import enrichment, evidence, matrix, ranking, simulate
 from enrichspark.plans.registry import query, rounded
@@ -136,7 +136,7 @@ SELECT unit, gene, CAST(term AS BIGINT) term, term_size, hits intersection, n_ba
   round(hits / CAST(term_size AS DOUBLE), 6) recall, round(p, 6) p, round(least(1.0, p * _m), 6) p_bonferroni,
   round({bh('p', 'unit, gene')}, 6) p_bh FROM t_ora""")
 def _(m):
-    return rounded(m.enriched)
+    return rounded(m.enrich())
 
 
 @query("enrichment_diagnostics", """
@@ -178,6 +178,10 @@ def _part_p(m):
             .agg(((1 + F.round(F.sum("l_extendedprice")).cast("long") % 100000) / 100001.0).alias("p")))
 
 
+def _adjusted(m):
+    return adjust_large(_part_p(m), "p", ["family"], ["id"], "bonferroni", "benjamini_hochberg", "holm")
+
+
 fragment("t_part_ranked", """
 SELECT family, id, CAST(p AS DOUBLE) p, row_number() OVER (PARTITION BY family ORDER BY p) _r, count(*) OVER (PARTITION BY family) _m
 FROM t_part_p""")
@@ -185,19 +189,19 @@ FROM t_part_p""")
 
 @query("bonferroni", "SELECT family, id, round(least(1.0, p * _m), 6) adj FROM t_part_ranked")
 def _(m):
-    return rounded(bonferroni(_part_p(m), "p", ["family"], "adj").select("family", "id", "adj"))
+    return rounded(_adjusted(m).select("family", "id", F.col("bonferroni").alias("adj")))
 
 
 @query("benjamini_hochberg", f"SELECT family, id, round({bh('p', 'family')}, 6) adj FROM t_part_ranked")
 def _(m):
-    return rounded(benjamini_hochberg(_part_p(m), "p", ["family"], "adj").select("family", "id", "adj"))
+    return rounded(_adjusted(m).select("family", "id", F.col("benjamini_hochberg").alias("adj")))
 
 
 @query("holm", """
 SELECT family, id, round(least(1.0, max((_m - _r + 1) * p) OVER (PARTITION BY family ORDER BY _r)), 6) adj
 FROM t_part_ranked""")
 def _(m):
-    return rounded(holm(_part_p(m), "p", ["family"], "adj").select("family", "id", "adj"))
+    return rounded(_adjusted(m).select("family", "id", F.col("holm").alias("adj")))
 
 
 # -- evidence
@@ -263,7 +267,7 @@ LEFT JOIN t_baselines b ON b.unit = r.unit AND b.term = v.term JOIN t_grand g ON
 SELECT unit, gene, CAST(term AS BIGINT) term, size, hits, round(observed, 6) observed, round(expected, 6) expected,
   round(excess, 6) excess, tested, round(p, 6) p, round(q, 6) q FROM t_corrected""")
 def _(m):
-    return rounded(m.corrected)
+    return rounded(m.correct())
 
 
 @query("row_process_coverage", """

@@ -34,3 +34,13 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partition by the keys of the next step, at full width.
+
+    For work that is heavy per row but light in bytes: adaptive execution would otherwise merge such small
+    partitions into a few tasks. The window or aggregation that follows on the same keys reuses this exchange.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
