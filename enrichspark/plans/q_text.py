@@ -67,16 +67,16 @@ def _(m):
 
 @query("blinding_scan", """
 WITH f AS (SELECT DISTINCT conv_id, lower(word) term FROM (
-  SELECT conv_id, unnest(string_split(text, ' ')[1:6]) word FROM conversations WHERE turn = 0) WHERE length(word) >= 3),
+  SELECT conv_id, unnest(string_split(text, ' ')) word FROM conversations WHERE turn = 0) WHERE length(word) >= 12),
 h AS (SELECT c.conv_id, c.turn, term FROM conversations c JOIN f USING (conv_id)
   WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9])\\Q' || term || '\\E($|[^A-Za-z0-9])'))
 SELECT c.conv_id, c.turn, coalesce(string_agg(term, '~' ORDER BY term), '') hits, count(term) = 0 ok
 FROM conversations c LEFT JOIN h ON h.conv_id = c.conv_id AND h.turn = c.turn GROUP BY 1, 2""")
 def _(m):
     c = m.table("conversations")
-    words = (c.filter("turn = 0").select("conv_id", F.explode(F.slice(F.split("text", " "), 1, 6)).alias("term"))
+    words = (c.filter("turn = 0").select("conv_id", F.explode(F.split("text", " ")).alias("term"))
              .select("conv_id", F.lower("term").alias("term")).distinct())
-    out = text.blinding_scan(c, words, ["conv_id"], 3)
+    out = text.blinding_scan(c, words, ["conv_id"], 12)
     return out.select("conv_id", "turn", F.array_join(F.array_sort("hits"), "~").alias("hits"), "ok")
 
 
