@@ -137,11 +137,11 @@ def post_stratify(population: DataFrame, done: DataFrame, metrics: list[str], mi
     means = rows.agg(*[F.avg(m).alias(f"{m}_raw") for m in metrics],
                      *[(F.sum(F.col("weight") * F.col(m)) / F.sum("weight")).alias(f"{m}_weighted") for m in metrics],
                      (F.sum("weight") * F.sum("weight") / F.sum(F.col("weight") * F.col("weight"))).alias("kish_n"),
-                     F.max("weight").alias("max_weight"), F.count("*").alias("n_done"), F.lit(1).alias("_k"))
-    side = w.agg(F.count("*").alias("n_strata"), F.count_if(F.col("n_done") < min_per_stratum).alias("n_thin_strata"),
-                 (F.sum(F.when(F.col("n_done") == 0, F.col("n_pop")).otherwise(0)) / F.sum("n_pop")).alias("uncovered_share"),
-                 F.lit(1).alias("_k"))
-    return means.join(side, "_k").drop("_k")
+                     F.max("weight").alias("max_weight"), F.count("*").alias("n_done"))
+    side = w.agg(F.struct(
+        F.count("*").alias("n_strata"), F.count_if(F.col("n_done") < min_per_stratum).alias("n_thin_strata"),
+        (F.sum(F.when(F.col("n_done") == 0, F.col("n_pop")).otherwise(0)) / F.sum("n_pop")).alias("uncovered_share"))).scalar()
+    return means.withColumn("_s", side).select("*", "_s.*").drop("_s")
 
 
 def stratified_interval(population: DataFrame, done: DataFrame, metric: str, n_boot: int = 300, seed: int = 0) -> DataFrame:

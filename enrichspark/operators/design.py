@@ -95,7 +95,7 @@ def null_calibration(observed: DataFrame, null: DataFrame) -> DataFrame:
               .groupBy("value").agg(F.sum("null").alias("c")))
     place = cumulative(counts, ["value"], ["c"]).select("value", (F.col("c_upto") - F.col("c")).alias("_below"))
     rows = observed.join(place, "value").withColumn("_s", stats)
-    return rows.select("key", "value", ((F.col("value") - F.col("_s.mean")) / F.col("_s.sd")).alias("z"),
+    return rows.select("key", "value", ((F.col("value") - F.col("_s.mean")) / F.nullif(F.col("_s.sd"), F.lit(0.0))).alias("z"),
                        (F.col("_below") / F.col("_s.n")).alias("percentile"), (1 - F.col("_below") / F.col("_s.n")).alias("p"))
 
 

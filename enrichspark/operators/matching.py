@@ -83,8 +83,8 @@ def summary_totals(per_gene: DataFrame) -> DataFrame:
     any_pred = sum((F.col(f"n_{k}") for k in KINDS[1:]), F.col("n_exact"))
     return per_gene.agg(*[F.sum(f"n_{k}").alias(f"n_{k}") for k in KINDS], F.count("*").alias("n_genes"),
                         F.avg(F.when(any_pred == 0, 1.0).otherwise(0.0)).alias("frac_zero_predictions"),
-                        (F.sum("n_exact") / total).alias("frac_exact"),
-                        (F.sum("n_no_match") / total).alias("frac_no_match"))
+                        (F.sum("n_exact") / F.nullif(total, F.lit(0))).alias("frac_exact"),
+                        (F.sum("n_no_match") / F.nullif(total, F.lit(0))).alias("frac_no_match"))
 
 
 def chance_baseline(every: DataFrame, truths: DataFrame, closed: DataFrame, ic: DataFrame) -> DataFrame:

@@ -170,7 +170,7 @@ def floor_at_k(propagated: DataFrame, vocabulary: DataFrame, closed: DataFrame,
                   F.collect_list(F.when(F.col("ic") > 0, F.struct(F.col("term").alias("anc"), "ic"))).alias("own")))
     scored = F.aggregate("sets", F.lit(0.0), lambda s, d: s + f1(
         _mass(F.array_intersect(d, F.col("own"))), _mass(d), F.col("truth_mass")))
-    return spread(genes, "gene").withColumn("sets", sets).select("gene", (scored / n_draws).alias("floor"))
+    return spread(genes, "gene").withColumn("sets", sets).select("gene", F.when(F.size("sets") > 0, scored / n_draws).alias("floor"))
 
 
 def headroom(scores: DataFrame, floors: DataFrame, tops: DataFrame, k: int) -> DataFrame:

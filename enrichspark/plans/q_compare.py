@@ -17,7 +17,7 @@ def boot_sql(source: str, keys: str, value: str, n_boot: int, seed: int = 0) ->
     u = "xor(x2, x2 >> 16)"
     weight = "CASE " + " ".join(f"WHEN {u} < {b} THEN {i}" for i, b in enumerate(BARS)) + f" ELSE {len(BARS)} END"
     return f"""
-SELECT {keys}, boot, sum({weight} * v) / sum({weight}) AS mean FROM (
+SELECT {keys}, boot, sum({weight} * v) / nullif(sum({weight}), 0) AS mean FROM (
   SELECT {keys}, boot, v, (xor(x1, x1 >> 13) * 69621 + b) % 2147483647 x2 FROM (
     SELECT {keys}, boot, v, b, (xor(h, b) * 48271 + 11) % 2147483647 x1 FROM (
       SELECT {keys}, boot, {value} AS v, {h32(f"'{seed}'", 'gene')} % 2147483647 h, (CAST(boot AS BIGINT) * 1664525) % 2147483647 b
@@ -30,7 +30,7 @@ def ci_sql(boots: str, keys: str, n_boot: int) -> str:
 SELECT {keys}, quantile_cont(mean, 0.025) ci_lo, quantile_cont(mean, 0.975) ci_hi,
   least(1.0, greatest(2 * least(avg(CASE WHEN mean <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN mean >= 0 THEN 1.0 ELSE 0.0 END)),
         1.0 / ({n_boot} + 1))) p
-FROM ({boots}) GROUP BY {keys}"""
+FROM ({boots}) WHERE mean IS NOT NULL GROUP BY {keys}"""
 
 
 fragment("e_scores", "SELECT event_type condition, user_id gene, avg(value) score FROM events GROUP BY 1, 2")
@@ -415,9 +415,10 @@ def _(m):
     from enrichspark.functions.ordering import quantiles
     done = event_runs(m).filter("status = 'COMPLETED'")
     total = m.table("customer").agg(F.count("*").alias("n")).scalar()
-    q = quantiles(done, "score", {"median_latency": 0.5, "p90_latency": 0.9}).withColumn("_k", F.lit(1))
-    s = done.agg(F.avg("score").alias("mean_latency"), F.count_distinct("gene").alias("_g"), F.lit(1).alias("_k"))
-    return rounded(q.join(s, "_k").withColumn("remaining_hours", (total - F.col("_g")) * F.col("median_latency") / 3600).drop("_k", "_g"))
+    q = quantiles(done, "score", {"median_latency": 0.5, "p90_latency": 0.9})
+    q = q.agg(F.struct(F.max("median_latency").alias("median_latency"), F.max("p90_latency").alias("p90_latency"))).scalar()
+    s = done.agg(F.avg("score").alias("mean_latency"), F.count_distinct("gene").alias("_g")).withColumn("_q", q).select("*", "_q.*")
+    return rounded(s.withColumn("remaining_hours", (total - F.col("_g")) * F.col("median_latency") / 3600).drop("_q", "_g"))
 
 
 # -- verdicts
