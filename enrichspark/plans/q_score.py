@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from enrichspark.operators import dag, donors, matching, ranking, scoring, transfer
+from enrichspark.operators import matching, scoring, transfer
 from enrichspark.operators.vocabulary import broad_vocabulary, with_every_term
 from enrichspark.plans.model import ROOT
 from enrichspark.plans.q_stats import rank_ora
