@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from enrichspark.llm import lines, warc
+from enrichspark.llm import decontaminate, lines, packing, warc
 from enrichspark.llm.common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -38,5 +46,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (hot.key IS NOT NULL) AS n_d
 FROM k LEFT JOIN hot USING (key) GROUP BY doc_id
 """
 
-QUERIES = {"op7_warc": op7_warc, "op8_line_dedup": op8_line_dedup}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_packing": op2_packing, "op7_warc": op7_warc, "op8_line_dedup": op8_line_dedup}
 ORACLES = {"op7_warc": OP7_SQL, "op8_line_dedup": OP8_SQL}
