@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from enrichspark.llm import decontaminate, lines, packing, warc
+from enrichspark.llm import decontaminate, embeddings, lines, packing, warc
 from enrichspark.llm.common import table
 
 
@@ -16,6 +16,26 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.dedup(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND isfinite(list_sum(embedding))
+    AND list_max(embedding) > list_min(embedding)),
+p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a, least(min(b), a) AS c FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.c, e.vec_id) AS component_id, coalesce(c.c, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON e.vec_id = n.a LEFT JOIN c ON e.vec_id = c.a
+"""
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -46,5 +66,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (hot.key IS NOT NULL) AS n_d
 FROM k LEFT JOIN hot USING (key) GROUP BY doc_id
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_packing": op2_packing, "op7_warc": op7_warc, "op8_line_dedup": op8_line_dedup}
-ORACLES = {"op7_warc": OP7_SQL, "op8_line_dedup": OP8_SQL}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_packing": op2_packing, "op3_embedding_dedup": op3_embedding_dedup, "op7_warc": op7_warc, "op8_line_dedup": op8_line_dedup}
+ORACLES = {"op3_embedding_dedup": OP3_SQL, "op7_warc": OP7_SQL, "op8_line_dedup": OP8_SQL}
