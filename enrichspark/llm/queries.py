@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from enrichspark.llm import decontaminate, embeddings, lines, packing, warc
+from enrichspark.llm import decontaminate, embeddings, lines, near, packing, warc
 from enrichspark.llm.common import table
 
 
@@ -66,5 +66,9 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (hot.key IS NOT NULL) AS n_d
 FROM k LEFT JOIN hot USING (key) GROUP BY doc_id
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_packing": op2_packing, "op3_embedding_dedup": op3_embedding_dedup, "op7_warc": op7_warc, "op8_line_dedup": op8_line_dedup}
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_minhash": op9_minhash, "op1_decontamination": op1_decontamination, "op2_packing": op2_packing, "op3_embedding_dedup": op3_embedding_dedup, "op7_warc": op7_warc, "op8_line_dedup": op8_line_dedup}
 ORACLES = {"op3_embedding_dedup": OP3_SQL, "op7_warc": OP7_SQL, "op8_line_dedup": OP8_SQL}
