@@ -50,8 +50,9 @@ def decide(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     best = slim.groupBy("digest").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     # the html moves once, by page_id; the digest join carries ids only
     revisits = (slim.join(best, "digest").filter("page_id is not null and page_id <> best")
-                .select("page_id", "digest", F.col("best").alias("target")).distinct())
-    named = p.filter("page_id is not null").join(revisits, ["page_id", "digest"], "left")
+                .groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct("digest", "best"))).alias("targets")))
+    # joined by page_id alone, so that the numbering below finds its rows together
+    named = p.filter("page_id is not null").join(revisits, "page_id", "left").withColumn("target", F.col("targets")[F.col("digest")])
     named = named.withColumn("copy", F.row_number().over(W.partitionBy("page_id").orderBy("digest", "url")))
     nameless = (p.filter("page_id is null").join(best.withColumnRenamed("best", "target"), "digest", "left")
                 .withColumn("copy", F.monotonically_increasing_id() + 1))
