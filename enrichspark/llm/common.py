@@ -41,6 +41,15 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def chunks(offsets: np.ndarray, size: int = 1 << 20):
+    """Row ranges of about size bytes each; a longer text is a range of its own."""
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, side="right")) - 1)
+        yield a, b
+        a = b
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest reachable node.
 
@@ -80,4 +89,4 @@ def partitions_for(df: DataFrame, column: str = "text", target: int = 4 << 20) -
     return int(r.n), max(1, -(-int(r.b or 0) // target))
 
 
-__all__ = ["Column", "byte_view", "components", "held_out", "materialize", "packed", "partitions_for", "table", "text_key"]
+__all__ = ["Column", "byte_view", "chunks", "components", "held_out", "materialize", "packed", "partitions_for", "table", "text_key"]

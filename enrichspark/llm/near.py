@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from enrichspark.llm.common import byte_view, components
+from enrichspark.llm.common import byte_view, chunks, components
 from enrichspark.session import materialize
 
 WORDS = 5
@@ -174,15 +174,6 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return h.view(np.int64)
 
 
-def chunks(offsets: np.ndarray, size: int = CHUNK):
-    """Row ranges of about size bytes each; a longer text is a range of its own."""
-    a, n = 0, len(offsets) - 1
-    while a < n:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, side="right")) - 1)
-        yield a, b
-        a = b
-
-
 def _sketch(batches):
     for batch in batches:
         data, offsets = byte_view(batch.column(1))
