@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from enrichspark.llm import decontaminate, embeddings, langid, lines, near, packing, warc
+from enrichspark.llm import decontaminate, embeddings, langid, lines, near, packing, repeats, warc
 from enrichspark.llm.common import table
 
 
@@ -36,6 +36,10 @@ FROM embeddings e LEFT JOIN n ON e.vec_id = n.a LEFT JOIN c ON e.vec_id = c.a
 """
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -74,5 +78,5 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_minhash": op9_minhash, "op1_decontamination": op1_decontamination, "op2_packing": op2_packing, "op3_embedding_dedup": op3_embedding_dedup, "op5_language_id": op5_language_id, "op7_warc": op7_warc, "op8_line_dedup": op8_line_dedup}
+QUERIES = {"op9_minhash": op9_minhash, "op1_decontamination": op1_decontamination, "op2_packing": op2_packing, "op3_embedding_dedup": op3_embedding_dedup, "op4_repeats": op4_repeats, "op5_language_id": op5_language_id, "op7_warc": op7_warc, "op8_line_dedup": op8_line_dedup}
 ORACLES = {"op3_embedding_dedup": OP3_SQL, "op7_warc": OP7_SQL, "op8_line_dedup": OP8_SQL}
