@@ -65,14 +65,16 @@ def meta_view(data: np.ndarray, offsets: np.ndarray, stated: list, lang: list, s
     doc = np.searchsorted(offsets, ends, side="right") - 1
     lines = np.bincount(doc, minlength=n) + 1
     mean = size / lines
-    # line lengths by the places of the line ends; the last line of a text ends with it
-    stops = np.sort(np.r_[ends, offsets[1:]])
-    of = np.minimum(np.searchsorted(offsets, stops, side="left") - 1, n - 1) if n else stops
-    first = np.r_[True, of[1:] != of[:-1]] if len(of) else np.zeros(0, bool)
-    length = stops - np.where(first, offsets[:-1][of], np.r_[0, stops[:-1] + 1]) if len(of) else stops
-    longest = np.zeros(n)
+    # every line starts at its text's start or behind a line end, and stops before the next or at its text's end
+    of, start = np.r_[np.arange(n), doc], np.r_[offsets[:-1], ends + 1]
+    order = np.lexsort((start, of))
+    of, start = of[order], start[order]
+    stop = offsets[1:][of]
+    inner = np.flatnonzero(of[1:] == of[:-1])
+    stop[inner] = start[inner + 1] - 1
+    length, longest = stop - start, np.zeros(n)
     np.maximum.at(longest, of, length)
-    short = np.bincount(of, length < 20, minlength=n) if len(of) else np.zeros(n)
+    short = np.bincount(of, length < 20, minlength=n)
     told = np.array([0 if s is None else s for s in stated], float)
     for i, v in enumerate((np.log1p(size), np.log1p(np.maximum(told, 0)), np.array([s is None for s in stated], float), np.log1p(lines), np.log1p(mean),
                            np.log1p(longest), longest / np.maximum(size, 1), short / lines, lines == 1, size == 0)):
