@@ -66,22 +66,30 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of every word: a run of letters and digits of ASCII, in lower case, and of all other bytes from 128."""
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, text) of every word: a run of letters and digits of ASCII and of all other bytes from 128."""
     n = len(data)
     w = IS_WORD[data]
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[1:], after[:-1] = w[:-1], w[1:]
-    edges = offsets[:-1][offsets[:-1] < n]
-    before[edges] = False
-    ends = offsets[1:][offsets[1:] > 0] - 1
-    after[ends] = False
+    before[offsets[:-1][offsets[:-1] < n]] = False
+    after[offsets[1:][offsets[1:] > 0] - 1] = False
     starts, stops = np.flatnonzero(w & ~before), np.flatnonzero(w & ~after) + 1
-    up, down = powers(n)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(BYTE_VALUE[data] * up[:n], out=total[1:])
-    h = mix((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(U64))
-    return h, np.searchsorted(offsets, starts, side="right") - 1
+    return starts, stops, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:stop] with ASCII in lower case, by prefix sums."""
+    up, down = powers(len(data))
+    total = np.zeros(len(data) + 1, U64)
+    np.cumsum(BYTE_VALUE[data] * up[:len(data)], out=total[1:])
+    return mix((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(U64))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of every word."""
+    starts, stops, doc = word_spans(data, offsets)
+    return span_hashes(data, starts, stops), doc
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -275,9 +283,9 @@ def near_duplicates(docs: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame
         return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
                            .mapInPandas(_verify(least), "a long, b long"), "links")
 
-    # the bags of all documents that share a bucket with another
+    # the bags of all documents that share a bucket with another; their ids grow with the corpus, so they are never broadcast
     wanted = entry.select(F.col("rep").alias("doc_id")).distinct()
-    bags = materialize(known.join(wanted, "doc_id", "left_semi").mapInArrow(_bags, "doc_id long, bag binary").dropDuplicates(["doc_id", "bag"]), "bags")
+    bags = materialize(known.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_bags, "doc_id long, bag binary").dropDuplicates(["doc_id", "bag"]), "bags")
     pairs = materialize(entry.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     first = verified(pairs, bags)
     comp = components(first).withColumnRenamed("node", "rep")
