@@ -242,18 +242,15 @@ def learn(rows: list[tuple[str, int]], share: float | None = None) -> Machine |
     y = np.array([label for _, label in rows], int)
     if len(set(y.tolist())) < 2:
         return None
-    sentences = [[w for w in map(_word_list, SENTENCE.split(text or "")) if w] for text, _ in rows]
     vocabulary: dict[bytes, int] = {}
-    seen = np.zeros((2, 0))
-    counts: list[list[int]] = [[], []]
+    sentences = [[np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], np.int32)
+                  for ws in map(_word_list, SENTENCE.split(text or "")) if ws] for text, _ in rows]
+    seen = np.zeros((2, len(vocabulary)))
     for label, doc in zip(y, sentences):
-        for w in {w for s in doc for w in s}:
-            if w not in vocabulary:
-                vocabulary[w] = len(vocabulary)
-                counts[0].append(0)
-                counts[1].append(0)
-            counts[label][vocabulary[w]] += 1
-    seen = np.array(counts, float)
+        if doc:
+            seen[label, np.unique(np.concatenate(doc))] += 1
+    if not vocabulary:
+        return None
     n = np.array([(y == 0).sum(), (y == 1).sum()], float)
     # signed root of the likelihood ratio of a word's documents
     usual = seen.sum(axis=0) / n.sum()
@@ -269,7 +266,7 @@ def learn(rows: list[tuple[str, int]], share: float | None = None) -> Machine |
     column = {int(w): j for j, w in enumerate(ranked)}
     holds = np.zeros((int(n[1]), len(ranked)), bool)
     for i, doc in enumerate(d for label, d in zip(y, sentences) if label == 1):
-        holds[i, [column[v] for v in {vocabulary[w] for s in doc for w in s} if v in column]] = True
+        holds[i, [column[v] for v in (np.unique(np.concatenate(doc)).tolist() if doc else ()) if v in column]] = True
     against = seen[0, ranked] * n[1] / n[0]
     open_, free, chosen = np.ones(len(holds)), np.ones(len(ranked), bool), []
     while len(chosen) < LANDMARKS and free.any():
@@ -284,7 +281,7 @@ def learn(rows: list[tuple[str, int]], share: float | None = None) -> Machine |
     machine = Machine(Kernel([names[i] for i in chosen]))
     k = machine.kernel(list(names))
     score, bar = tell, float(np.sqrt(2 * np.log(len(tell))))  # what the largest of so many words reaches by chance
-    bags = [(np.array([vocabulary[w] for w in s]), label) for label, doc in zip(y, sentences) for s in doc]
+    bags = [(s, label) for label, doc in zip(y, sentences) for s in doc]
     for step in range(ROUNDS):
         witness = np.array([b[score[b].argmax()] for b, _ in bags])
         label = np.array([x for _, x in bags])
@@ -293,7 +290,7 @@ def learn(rows: list[tuple[str, int]], share: float | None = None) -> Machine |
             break
         machine.fit(k[witness[use]], label[use])
         score = machine.scores(k)
-    x = [np.sort(np.concatenate([score[[vocabulary[w] for w in s]] for s in doc] or [np.full(0, 0.0)]))[::-1] for doc in sentences]
+    x = [np.sort(np.concatenate([score[s] for s in doc] or [np.zeros(0)]))[::-1] for doc in sentences]
     floor = machine.b
     top = np.array([[max(s[0], floor) if len(s) else floor, max(s[1], floor) if len(s) > 1 else floor,
                      s[s > floor].mean() if (s > floor).any() else floor, len(s)] for s in x])
