@@ -22,15 +22,22 @@ def content_tokens(text: Column, stop_words: tuple[str, ...] = STOP_WORDS, min_l
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= min_length) & ~F.array_contains(stops, w)))
 
 
+# fixed value: what bounds a whole word
+WORD_BOUNDS = ("(?iu)(?<![A-Za-z0-9])\\Q", "\\E(?![A-Za-z0-9])")
+
+
 def whole_word(term: Column) -> Column:
     """Pattern that finds a literal term, in any case, not inside a longer run of letters and digits."""
-    return F.concat(F.lit("(?iu)(?<![A-Za-z0-9])\\Q"), term, F.lit("\\E(?![A-Za-z0-9])"))
+    return F.concat(F.lit(WORD_BOUNDS[0]), term, F.lit(WORD_BOUNDS[1]))
+
+
+# fixed value: a fenced block in a model's answer
+FENCE = "(?is)```(?:json)?\\s*(.*?)```"
 
 
 def json_payload(text: Column) -> Column:
     """The body of the first fenced block, or the whole text."""
-    fenced = F.regexp_extract(text, "(?is)```(?:json)?\\s*(.*?)```", 1)
-    return F.trim(F.when(text.rlike("(?is)```(?:json)?\\s*.*?```"), fenced).otherwise(text))
+    return F.trim(F.when(text.rlike(FENCE), F.regexp_extract(text, FENCE, 1)).otherwise(text))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -39,12 +46,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return common / F.greatest(F.size(a) + F.size(b) - common, F.lit(1))
 
 
-def distance_bin(d: Column, edges: tuple[int, ...] = (1, 2, 3, 5, 10)) -> Column:
-    """Label of the distance bin, such as d=1, 3<d<=5 or d>10."""
-    out, below = None, 0
-    for e in edges:
-        label = f"d={e}" if e - below <= 1 else f"{below}<d<={e}"
-        # bins one wide hold a single distance
-        out = F.when(d <= e, label) if out is None else out.when(d <= e, label)
-        below = e
-    return F.when(d.isNull(), F.lit(None).cast("string")).otherwise(out.otherwise(f"d>{edges[-1]}"))
+# fixed values: the reported bins of graph distances, as (above, up to, label)
+DISTANCE_BINS = ((0, 1, "d=1"), (1, 2, "d=2"), (2, 3, "d=3"), (3, 5, "3<d<=5"), (5, 10, "5<d<=10"), (10, None, "d>10"))
+
+
+def distance_bin(d: Column, bins: tuple = DISTANCE_BINS) -> Column:
+    """Label of the half-open bin that holds a distance; null for null and for what no bin holds."""
+    held = [F.when((d > low) & (F.lit(True) if high is None else d <= high), label) for low, high, label in bins]
+    return F.coalesce(*held)

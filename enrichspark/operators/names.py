@@ -26,14 +26,15 @@ def name_index(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
 
 
 def resolve_predictions(answers: DataFrame, index: DataFrame, candidates: DataFrame, key: str, mode: str = "freeform",
-                        id_pattern: str = "(?:GO:)?\\s*(\\d{7})", prefix: str = "GO:", max_predictions: int = 10) -> DataFrame:
+                        id_pattern: str = "(?:GO:)?\\s*(\\d{7})", prefix: str = "GO:", max_predictions: int | None = None) -> DataFrame:
     """Resolved predictions of answers(key, position, written, confidence), position from 0.
 
     constrained keeps ids among the candidates. freeform takes an id when the text is one (and index lists it
     under that text) or a name from the index. Later repeats are dropped and ranks are closed up.
-    index is (name, id) and for freeform ids also holds the id text itself as a name.
+    index is (name, id) and for freeform ids also holds the id text itself as a name. With max_predictions, later
+    answers are not resolved but stay, marked beyond, so that they are counted.
     """
-    rows = answers.filter(F.col("position") < max_predictions)
+    rows = answers.withColumn("beyond", F.lit(False) if max_predictions is None else F.col("position") >= max_predictions)
     digits = F.regexp_extract("written", id_pattern, 1)
     as_id = F.concat(F.lit(prefix), digits)
     cand = candidates.select(F.col("id").alias("_cid"), F.lit(True).alias("in_table"))
@@ -46,6 +47,7 @@ def resolve_predictions(answers: DataFrame, index: DataFrame, candidates: DataFr
         name = F.when(is_id, as_id).otherwise(normalise(F.col("written")))
         found = (rows.withColumn("_name", name)
                  .join(index.select(F.col("name").alias("_name"), "id"), "_name", "left").drop("_name"))
+    found = found.withColumn("id", F.when(~F.col("beyond"), F.col("id")))
     first = Window.partitionBy(key, "id").orderBy("position")
     seen = found.withColumn("duplicate", F.col("id").isNotNull() & (F.row_number().over(first) > 1))
     valid = F.col("id").isNotNull() & ~F.col("duplicate")
@@ -59,17 +61,13 @@ def resolution_diagnostics(resolved: DataFrame, key: str) -> DataFrame:
     """Per answer: raw, valid and invalid predictions, valid ones inside the candidate table and their share."""
     valid = F.col("rank").isNotNull()
     out = resolved.groupBy(key).agg(
-        F.count("*").alias("n_raw"), F.count_if(valid).alias("n_valid"), F.count_if(F.col("id").isNull()).alias("n_invalid"),
+        F.count("*").alias("n_raw"), F.count_if(valid).alias("n_valid"), F.count_if(F.col("id").isNull() & ~F.col("beyond")).alias("n_invalid"), F.count_if("beyond").alias("n_beyond"),
         F.count_if("duplicate").alias("n_duplicate"), F.count_if(valid & F.col("in_table")).alias("n_in_table"))
     return out.withColumn("frac_in_table", F.when(F.col("n_valid") > 0, F.col("n_in_table") / F.col("n_valid")))
 
 
-def classify_invalid(texts: DataFrame, terms: DataFrame, synonyms: DataFrame, max_names: int = 300,
-                     min_jaccard: float = 0.75) -> DataFrame:
-    """(text, class, nearest): why each distinct text is not a process name.
-
-    Rewordings are found through shared words that at most max_names process names contain.
-    """
+def classify_invalid(texts: DataFrame, terms: DataFrame, synonyms: DataFrame, min_jaccard: float = 0.75) -> DataFrame:
+    """(text, class, nearest): why each distinct text is not a process name; all names are searched for rewordings."""
     asked = texts.select("text").distinct().withColumn("name", normalise(F.col("text")))
     every = _names(terms, synonyms, ("EXACT",))
     hits = every.groupBy("name").agg(
@@ -81,7 +79,7 @@ def classify_invalid(texts: DataFrame, terms: DataFrame, synonyms: DataFrame, ma
              .join(process.select("id", normalise(F.col("label")).alias("_own")), "id").filter(F.col("name") != F.col("_own"))
              .groupBy("name").agg(F.min("id").alias("loose_id")))
     named = process.select(F.col("id").cast("string").alias("key"), "id", normalise(F.col("label")).alias("name"))
-    near = near_names(asked.select(F.col("name").alias("key"), "name").distinct(), named, max_names, min_jaccard)
+    near = near_names(asked.select(F.col("name").alias("key"), "name").distinct(), named, min_jaccard)
     rows = asked.join(hits, "name", "left").join(loose, "name", "left").join(near, "name", "left")
     spelled = F.split("name", " ")
     cls = (F.when(F.coalesce("n_process", F.lit(0)) > 1, "ambiguous")
@@ -93,11 +91,11 @@ def classify_invalid(texts: DataFrame, terms: DataFrame, synonyms: DataFrame, ma
     return rows.withColumn("class", cls).withColumn("nearest", nearest).select("text", "class", "nearest")
 
 
-def near_names(asked: DataFrame, named: DataFrame, max_names: int, min_jaccard: float) -> DataFrame:
+def near_names(asked: DataFrame, named: DataFrame, min_jaccard: float) -> DataFrame:
     """(name, _near): the id of the most similar name by word overlap, at least min_jaccard, per asked name.
 
-    Only names that share a word found in at most max_names names are compared. Two word sets that similar
-    always share one of their few rarest words, so candidates meet on those alone; no candidate is lost.
+    Two word sets that similar always share one of their few rarest words, and their sizes differ by no more than
+    the similarity allows, so candidates meet on a rare word and a size; no candidate is lost.
     """
     def split(df):
         return df.select("key", F.explode(F.array_distinct(F.split("name", " "))).alias("token"))
@@ -108,13 +106,14 @@ def near_names(asked: DataFrame, named: DataFrame, max_names: int, min_jaccard:
                 .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "token"))).alias("_t")))
         size = F.size("_t")
         return sets.select("key", F.transform("_t", lambda x: x["token"]).alias("tokens"),
-                           F.transform(F.filter("_t", lambda x: (x["f"] > 0) & (x["f"] <= max_names)), lambda x: x["token"]).alias("rare"),
                            F.transform(F.slice("_t", F.lit(1), (size - F.ceil(size * min_jaccard) + 1).cast("int")),
                                        lambda x: x["token"]).alias("prefix"))
-    a = profile(asked).withColumn("meet", F.explode("prefix"))
+    n = F.size("tokens")
+    low, high = F.ceil(n * min_jaccard - 1e-9).cast("int"), F.floor(n / min_jaccard + 1e-9).cast("int")
+    a = profile(asked).withColumn("n", F.explode(F.sequence(low, high))).withColumn("meet", F.explode("prefix"))
     b = (profile(named).join(named.select("key", "id"), "key").withColumn("meet", F.explode("prefix"))
-         .select("meet", "id", F.col("tokens").alias("tokens_b"), F.col("rare").alias("rare_b")))
-    return (a.join(b, "meet").filter(F.arrays_overlap("rare", "rare_b"))
+         .select("meet", n.alias("n"), "id", F.col("tokens").alias("tokens_b")))
+    return (a.join(b, ["meet", "n"])
             .select(F.col("key").alias("name"), "id", jaccard(F.col("tokens"), F.col("tokens_b")).alias("j"))
             .filter(F.col("j") >= min_jaccard)
             .groupBy("name").agg(F.min(F.struct((-F.col("j")).alias("o"), "id")).alias("_near")))

@@ -3,12 +3,14 @@
 from pyspark.sql import functions as F
 
 from enrichspark.operators import compare, coverage, donors, matching, runs, sampling, scoring
-from enrichspark.plans.q_score import SCORE_COLUMNS, classify_sql, model_ceilings, preds5, scores_sql
+from enrichspark.plans.q_score import SCORE_COLUMNS, classify_sql, model_ceilings, predictions, scores_sql
 from enrichspark.plans.q_stats import rank_ora
 from enrichspark.plans.registry import query, rounded
 from enrichspark.plans.sql import fragment, h32
 
-N_BOOT = 1000
+N_BOOT = 10_000
+N_GROUP_BOOT = 2_000
+N_STRATUM_BOOT = 300
 BARS = (790015084, 1580030168, 1975037710, 2106706890, 2139624185, 2146207644, 2147304887)
 
 
@@ -149,15 +151,14 @@ def _(m):
 
 fragment("t_donors5", donors_sql("SELECT gene, rate FROM t_rates WHERE unit = 'cell_types' AND rate IS NOT NULL", 5))
 fragment("t_shuffled_match", classify_sql("""
-SELECT d.gene AS target, d.donor AS gene, r.term FROM t_donors5 d JOIN t_rank_ora r ON r.gene = d.gene AND unit = 'cell_types'
-AND rank <= 5""", "target, gene"))
+SELECT d.gene AS target, d.donor AS gene, r.term FROM t_donors5 d JOIN t_rank_ora r ON r.gene = d.gene AND unit = 'cell_types'""", "target, gene"))
 
 
 @query("shuffled_baseline", """
 SELECT target, round(avg(CASE WHEN kind <> 'no_match' THEN 1.0 ELSE 0.0 END), 6) match_rate,
   round(avg(CASE WHEN kind = 'exact' THEN 1.0 ELSE 0.0 END), 6) exact_rate FROM t_shuffled_match GROUP BY 1""")
 def _(m):
-    rows = donors.shuffled_baseline(preds5(m), gene_donors(m, 5))
+    rows = donors.shuffled_baseline(predictions(m), gene_donors(m, 5))
     kinds = matching.classify(rows, m.truths, m.closed, ["target", "gene"])
     return rounded(kinds.groupBy("target").agg(
         F.avg(F.when(F.col("kind") != "no_match", 1.0).otherwise(0.0)).alias("match_rate"),
@@ -206,12 +207,12 @@ def _(m):
 fragment("t_sample", f"""
 SELECT gene, item, ct, is_positive, row_number() OVER (PARTITION BY gene ORDER BY {h32("'0'", "'mix'", 'gene', 'item')}, item) - 1 AS index FROM (
   SELECT gene, item, ct, value = 1 is_positive, row_number() OVER (PARTITION BY gene, value ORDER BY {h32("'0'", 'gene', 'item')}, item) r
-  FROM t_obs WHERE value IS NOT NULL) WHERE r <= 10""")
+  FROM t_obs WHERE value IS NOT NULL) WHERE r <= 40""")
 
 
 @query("balanced_sample", "SELECT gene, item, is_positive, index FROM t_sample")
 def _(m):
-    return rounded(sampling.balanced_sample(m.obs, 10).select("gene", "item", "is_positive", "index"))
+    return rounded(sampling.balanced_sample(m.obs, 40).select("gene", "item", "is_positive", "index"))
 
 
 @query("sample_overlap_rate", """
@@ -220,7 +221,7 @@ SELECT gene, count(*) FILTER (is_positive) n_positive, count(*) FILTER (NOT is_p
 FROM t_sample JOIN (SELECT gene, ct, min(value) <> max(value) mixed FROM t_obs WHERE value IS NOT NULL GROUP BY 1, 2) USING (gene, ct)
 GROUP BY 1""")
 def _(m):
-    return rounded(sampling.overlap_rate(sampling.balanced_sample(m.obs, 10), m.obs))
+    return rounded(sampling.overlap_rate(sampling.balanced_sample(m.obs, 40), m.obs))
 
 
 fragment("c_ring", f"""
@@ -554,14 +555,14 @@ def _(m):
 
 
 @query("group_difference", f"""
-WITH b AS ({boot_sql('SELECT done, gene, breadth FROM c_universe', 'done', 'breadth', 200)}),
+WITH b AS ({boot_sql('SELECT done, gene, breadth FROM c_universe', 'done', 'breadth', N_GROUP_BOOT)}),
 d AS (SELECT boot, max(CASE WHEN done THEN mean END) - max(CASE WHEN NOT done THEN mean END) x FROM b GROUP BY 1)
 SELECT count(*) FILTER (done) n_true, count(*) FILTER (NOT done) n_false, round(avg(breadth) FILTER (done), 4) mean_true,
   round(avg(breadth) FILTER (NOT done), 4) mean_false, round((SELECT quantile_cont(x, 0.025) FROM d), 4) ci_lo,
   round((SELECT quantile_cont(x, 0.975) FROM d), 4) ci_hi, round(avg(breadth) FILTER (done) - avg(breadth) FILTER (NOT done), 4) difference
 FROM c_universe""")
 def _(m):
-    return rounded(compare.group_difference(universe(m), "done", "breadth", 200), 4)
+    return rounded(compare.group_difference(universe(m), "done", "breadth", N_GROUP_BOOT), 4)
 
 
 @query("reference_check", """
@@ -607,9 +608,9 @@ def _(m):
 
 
 @query("stratified_interval", f"""
-WITH p AS ({boot_sql('SELECT stratum, gene, score FROM c_strata WHERE done', 'stratum', 'score', 200)}),
+WITH p AS ({boot_sql('SELECT stratum, gene, score FROM c_strata WHERE done', 'stratum', 'score', N_STRATUM_BOOT)}),
 b AS (SELECT boot, sum(n_pop * mean) / sum(n_pop) x FROM p JOIN c_weights USING (stratum) WHERE mean IS NOT NULL GROUP BY 1)
 SELECT round(quantile_cont(x, 0.025), 6) ci_lo, round(quantile_cont(x, 0.975), 6) ci_hi FROM b""")
 def _(m):
     s = stratified(m)
-    return rounded(coverage.stratified_interval(s, s.filter("done"), "score", 200))
+    return rounded(coverage.stratified_interval(s, s.filter("done"), "score", N_STRATUM_BOOT))

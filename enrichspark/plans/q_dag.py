@@ -106,16 +106,13 @@ def _(m):
 
 
 @query("resnik_similarity", """
-WITH late AS (SELECT DISTINCT l_suppkey k, CAST(p_size AS INT) term FROM lineitem JOIN part ON l_partkey = p_partkey
-              WHERE l_quantity = 49 AND l_discount = 0.1),
+WITH late AS (SELECT gene k, term FROM t_ann WHERE evidence = 'R'),
 ks AS (SELECT gene k FROM t_truth UNION SELECT k FROM late)
 SELECT ks.k AS key, round(coalesce(max(ic), 0.0), 6) resnik FROM ks
 LEFT JOIN (SELECT p.gene k, ic FROM t_prop p JOIN (SELECT DISTINCT k, anc FROM late JOIN t_closed ON src = term) q
            ON q.k = p.gene AND q.anc = p.term JOIN t_ic i ON i.term = p.term) s ON s.k = ks.k GROUP BY 1""")
 def _(m):
-    part = m.table("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("int").alias("term"))
-    late = (m.table("lineitem").filter("l_quantity = 49 AND l_discount = 0.1").join(part, "l_partkey")
-            .select(F.col("l_suppkey").alias("key"), "term").distinct())
+    late = m.annotations.filter("evidence = 'R'").select(F.col("gene").alias("key"), "term")
     return rounded(dag.resnik(m.truths.withColumnRenamed("gene", "key"), late, m.closed, m.ic))
 
 

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from enrichspark.operators import annotations, coverage, enrichment, matching, matrix, profile, transfer
 from enrichspark.operators.vocabulary import with_every_term
 from enrichspark.plans.q_compare import universe
-from enrichspark.plans.q_score import assoc, chance, classify_sql, match_genes, matched, model_ceilings, preds5
-from enrichspark.plans.registry import query, rounded
+from enrichspark.plans.q_score import assoc, chance, classify_sql, match_genes, matched, model_ceilings, predictions
+from enrichspark.plans.registry import query, rounded, stable_p
 from enrichspark.plans.sql import fragment
 
 
@@ -156,8 +156,8 @@ def _(m):
 
 
 fragment("t_second_match", classify_sql("""
-SELECT gene, term FROM (SELECT gene, term, row_number() OVER (PARTITION BY gene ORDER BY round(p, 10), term) r FROM t_ora
-WHERE unit = 'rows') WHERE r <= 5""", "gene"))
+SELECT gene, term FROM (SELECT gene, term, row_number() OVER (PARTITION BY gene ORDER BY pow(10, round(log10(CASE WHEN p < 1e-300 THEN 1e-300 ELSE p END), 9)), term) r FROM t_ora
+WHERE unit = 'rows')""", "gene"))
 
 
 @query("gene_table", "SELECT s_suppkey gene, " + ", ".join(
@@ -167,12 +167,12 @@ LEFT JOIN (SELECT gene, count(*) {arm}_n, {', '.join(f"CAST(max(CASE WHEN kind <
   {', '.join(f"CAST(max(CASE WHEN kind = 'exact' AND rank <= {k} THEN 1 ELSE 0 END) AS BIGINT) {arm}_exact_at_{k}" for k in (1, 3, 10))}
   FROM {src} GROUP BY 1) {arm} ON {arm}.gene = s_suppkey""" for arm, src in (
       ("first", "(SELECT m.gene, kind, rank FROM t_match m JOIN t_rank_ora r ON r.gene = m.gene AND r.term = m.term AND r.unit = 'cell_types')"),
-      ("second", "(SELECT m.gene, kind, rank FROM t_second_match m JOIN (SELECT gene, term, row_number() OVER (PARTITION BY gene ORDER BY round(p, 10), term) AS rank FROM t_ora WHERE unit = 'rows') r ON r.gene = m.gene AND r.term = m.term)"))))
+      ("second", "(SELECT m.gene, kind, rank FROM t_second_match m JOIN (SELECT gene, term, row_number() OVER (PARTITION BY gene ORDER BY pow(10, round(log10(CASE WHEN p < 1e-300 THEN 1e-300 ELSE p END), 9)), term) AS rank FROM t_ora WHERE unit = 'rows') r ON r.gene = m.gene AND r.term = m.term)"))))
 def _(m):
     from enrichspark.operators.ranking import significant_rank
-    first = matching.classify(preds5(m), m.truths, m.closed)
-    rows = m.enriched.filter("unit = 'rows'").select("gene", "term", F.round("p", 10).alias("p"))
-    second = matching.classify(significant_rank(rows, "p", 1.1).filter("rank <= 5").drop("p"), m.truths, m.closed)
+    first = matching.classify(predictions(m), m.truths, m.closed)
+    rows = m.enriched.filter("unit = 'rows'").select("gene", "term", stable_p().alias("p"))
+    second = matching.classify(significant_rank(rows, "p", 1.1).drop("p"), m.truths, m.closed)
     return rounded(profile.gene_table(m.table("supplier").select(F.col("s_suppkey").alias("gene")), first, second))
 
 
@@ -213,7 +213,7 @@ SELECT CASE rank WHEN 1 THEN '1' WHEN 2 THEN '2' ELSE '3+' END AS bin, count(*)
   round(avg(CASE WHEN kind <> 'no_match' THEN 1 ELSE 0 END), 6) rate
 FROM t_match m JOIN t_rank_ora r ON r.gene = m.gene AND r.term = m.term AND r.unit = 'cell_types' GROUP BY 1""")
 def _(m):
-    rows = matching.classify(preds5(m), m.truths, m.closed).withColumn("hit", F.col("kind") != "no_match")
+    rows = matching.classify(predictions(m), m.truths, m.closed).withColumn("hit", F.col("kind") != "no_match")
     return rounded(profile.rate_by(rows, profile.rank_bucket(F.col("rank")), "hit"))
 
 

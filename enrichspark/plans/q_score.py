@@ -384,15 +384,15 @@ FROM (
   GROUP BY {k}, p.term) p"""
 
 
-fragment("t_match", classify_sql("SELECT gene, term FROM t_rank_ora WHERE unit = 'cell_types' AND rank <= 5", "gene"))
+fragment("t_match", classify_sql("SELECT gene, term FROM t_rank_ora WHERE unit = 'cell_types'", "gene"))
 
 
-def preds5(m):
-    return rank_ora(m).filter("unit = 'cell_types' AND rank <= 5").select("gene", "term", "rank")
+def predictions(m):
+    return rank_ora(m).filter("unit = 'cell_types'").select("gene", "term", "rank")
 
 
 def fresh_matched(m):
-    return matching.classify(preds5(m).drop("rank"), m.truths, m.closed)
+    return matching.classify(predictions(m).drop("rank"), m.truths, m.closed)
 
 
 def matched(m):
@@ -411,7 +411,7 @@ SELECT gene, CAST(term AS BIGINT) term, CASE WHEN kind IN ('exact', 'no_match')
     WHEN d_up IS NULL THEN 'only_down' WHEN d_down < d_up THEN 'both_down_closer' ELSE 'both_up_closer_or_equal' END split,
   CAST(d_up AS BIGINT) d_up, CAST(d_down AS BIGINT) d_down, n_below, below true_terms_below FROM t_match""")
 def _(m):
-    return rounded(matching.relation_split(preds5(m).drop("rank"), m.truths, m.closed, ["gene"]))
+    return rounded(matching.relation_split(predictions(m).drop("rank"), m.truths, m.closed, ["gene"]))
 
 
 @query("distance_histogram", """

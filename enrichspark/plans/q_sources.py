@@ -187,11 +187,16 @@ def _(m):
     return m.spark.read.schema("condition string, n bigint").json(path)
 
 
-@query("content_hash")
+@query("content_hash", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def _(m):
-    return tables.content_hash(m.spark, f"{m.path}/supplier.parquet")
+    return tables.content_hash(m.table("documents"), "doc_id", "text")
 
 
-@query("table_hash")
+@query("table_hash", """
+SELECT CAST(sum(CAST('0x' || substr(md5(d || '|' || e || '|' || l_orderkey || '|' || l_partkey || '|' || q || '|' || l_returnflag || '|' || l_suppkey), 1, 15) AS BIGINT)) AS VARCHAR) AS hash,
+  count(*) AS n FROM (SELECT *, CAST(round(l_discount * 100) AS BIGINT) d, CAST(round(l_extendedprice * 100) AS BIGINT) e, CAST(l_quantity AS BIGINT) q FROM lineitem)""")
 def _(m):
-    return tables.table_hash(m.table("lineitem"))
+    return tables.table_hash(m.table("lineitem").select(
+        F.round(F.col("l_discount") * 100).cast("long").alias("a_discount"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("b_price"),
+        F.col("l_orderkey").alias("c_order"), F.col("l_partkey").alias("d_part"), F.col("l_quantity").cast("long").alias("e_quantity"),
+        F.col("l_returnflag").alias("f_flag"), F.col("l_suppkey").alias("g_supplier")))

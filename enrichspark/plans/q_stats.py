@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from enrichspark.functions.corrections import adjust_large
 from enrichspark.functions.exact import hypergeometric_tail
 from enrichspark.operators import enrichment, evidence, matrix, ranking, simulate
-from enrichspark.plans.registry import query, rounded
+from enrichspark.plans.registry import query, rounded, stable_p
 from enrichspark.plans.sql import bh, binomial, fisher, fragment, h32, hyper_tail
 
 fragment("t_counts", """
@@ -59,7 +59,7 @@ SELECT gene, kind, term, n_pos, n_neg, baseline, expected, tested, n_pos / CAST(
 FROM (SELECT gene, kind, term, n_pos, n_neg, baseline, baseline IS NOT NULL tested,
         CASE WHEN baseline IS NOT NULL THEN least(0.999, greatest(0.001,
           all_pos / CAST(all_pos + all_neg AS DOUBLE) * baseline / grand)) END expected
-      FROM t_counts JOIN t_totals USING (gene) LEFT JOIN (SELECT kind, term, baseline FROM t_feature_baselines WHERE term <> '2')
+      FROM t_counts JOIN t_totals USING (gene) LEFT JOIN (SELECT kind, term, baseline FROM t_feature_baselines)
         USING (kind, term), t_row_grand WHERE n_pos + n_neg >= 20))""")
 
 
@@ -69,7 +69,7 @@ def _(m):
 
 
 def _two_factor(m):
-    base = evidence.feature_baselines(m.obs, m.features, m.min_genes()).filter("term <> '2'")
+    base = evidence.feature_baselines(m.obs, m.features, m.min_genes())
     rates = matrix.gene_rates(m.obs.withColumn("unit", F.lit("rows")))
     grand = rates.agg(F.round(F.avg("rate"), 6)).scalar()
     return enrichment.two_factor_enrichment(m.obs, m.features, base, grand)
@@ -283,19 +283,19 @@ def _(m):
 @query("rank_corrected", """
 SELECT unit, gene, CAST(term AS BIGINT) term, row_number() OVER (PARTITION BY unit, gene ORDER BY
     CASE WHEN NOT tested THEN 2 WHEN excess > 0 THEN 0 ELSE 1 END,
-    CASE WHEN tested AND excess > 0 THEN round(p, 10) END NULLS LAST, round(excess, 12) DESC NULLS LAST, round(p, 10), term) AS rank,
-  round(CASE WHEN tested AND excess > 0 THEN -log10(greatest(round(p, 10), 1e-300)) ELSE 0.0 END, 6) score
+    CASE WHEN tested AND excess > 0 THEN pow(10, round(log10(CASE WHEN p < 1e-300 THEN 1e-300 ELSE p END), 9)) END NULLS LAST, round(excess, 12) DESC NULLS LAST, pow(10, round(log10(CASE WHEN p < 1e-300 THEN 1e-300 ELSE p END), 9)), term) AS rank,
+  round(CASE WHEN tested AND excess > 0 THEN -log10(greatest(pow(10, round(log10(CASE WHEN p < 1e-300 THEN 1e-300 ELSE p END), 9)), 1e-300)) ELSE 0.0 END, 6) score
 FROM t_corrected""")
 def _(m):
-    return rounded(ranking.rank_corrected(m.corrected.withColumn("p", F.round("p", 10))))
+    return rounded(ranking.rank_corrected(m.corrected.withColumn("p", stable_p())))
 
 
 @query("rank_corrected_by_effect", """
 SELECT unit, gene, CAST(term AS BIGINT) term, row_number() OVER (PARTITION BY unit, gene ORDER BY
-    CASE WHEN tested THEN 0 ELSE 2 END, round(excess, 12) DESC NULLS LAST, round(p, 10), term) AS rank
+    CASE WHEN tested THEN 0 ELSE 2 END, round(excess, 12) DESC NULLS LAST, pow(10, round(log10(CASE WHEN p < 1e-300 THEN 1e-300 ELSE p END), 9)), term) AS rank
 FROM t_corrected""")
 def _(m):
-    return rounded(ranking.rank_corrected(m.corrected.withColumn("p", F.round("p", 10)), "effect").drop("score"))
+    return rounded(ranking.rank_corrected(m.corrected.withColumn("p", stable_p()), "effect").drop("score"))
 
 
 fragment("t_rank_ora", """
@@ -308,7 +308,7 @@ FROM (SELECT r.unit, r.gene, v.term, round(o.p, 10) p, o.fold FROM t_rates r CRO
 
 
 def rank_ora(m, by="p"):
-    return ranking.rank_over_representation(m.enriched.withColumn("p", F.round("p", 10)), m.rates, m.vocabulary, by)
+    return ranking.rank_over_representation(m.enriched.withColumn("p", stable_p()), m.rates, m.vocabulary, by)
 
 
 @query("rank_over_representation", "SELECT unit, gene, CAST(term AS BIGINT) term, rank, round(score, 6) score FROM t_rank_ora")
@@ -317,10 +317,10 @@ def _(m):
 
 
 @query("significant_rank", """
-SELECT unit, gene, CAST(term AS BIGINT) term, row_number() OVER (PARTITION BY unit, gene ORDER BY round(p, 10), term) AS rank
+SELECT unit, gene, CAST(term AS BIGINT) term, row_number() OVER (PARTITION BY unit, gene ORDER BY pow(10, round(log10(CASE WHEN p < 1e-300 THEN 1e-300 ELSE p END), 9)), term) AS rank
 FROM t_ora WHERE round(p, 10) < 0.2""")
 def _(m):
-    rows = m.enriched.select("unit", "gene", "term", F.round("p", 10).alias("p"))
+    rows = m.enriched.select("unit", "gene", "term", stable_p().alias("p"))
     return rounded(ranking.significant_rank(rows, "p", 0.2, ["unit", "gene"]).drop("p"))
 
 

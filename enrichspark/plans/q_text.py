@@ -28,8 +28,7 @@ SELECT doc_id, md5(CASE WHEN k = '' THEN t ELSE k END) hash, CASE WHEN k = '' TH
 def _(m):
     d = m.table("documents").select("doc_id", F.expr("""concat(text, ' [', upper(lang), 'X] Known as ', source, '-positive, ', lang,
       '-negative cells. One ', source, '-high cell. Examples: ', source, '.')""").alias("t"))
-    cleaned, removed = text.clean_definition(F.col("t"))
-    return d.select("doc_id", F.md5(cleaned).alias("hash"), removed.cast("bigint").alias("removed"))
+    return text.clean_definition(d, "t").select("doc_id", F.md5("cleaned").alias("hash"), F.col("removed").cast("bigint").alias("removed"))
 
 
 @query("term_definitions", """
@@ -67,7 +66,7 @@ def _(m):
 
 @query("blinding_scan", """
 WITH f AS (SELECT DISTINCT conv_id, lower(word) term FROM (
-  SELECT conv_id, unnest(string_split(text, ' ')) word FROM conversations WHERE turn = 0) WHERE length(word) >= 12),
+  SELECT conv_id, unnest(string_split(text, ' ')) word FROM conversations WHERE turn = 0) WHERE length(word) >= 3),
 h AS (SELECT c.conv_id, c.turn, term FROM conversations c JOIN f USING (conv_id)
   WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9])\\Q' || term || '\\E($|[^A-Za-z0-9])'))
 SELECT c.conv_id, c.turn, coalesce(string_agg(term, '~' ORDER BY term), '') hits, count(term) = 0 ok
@@ -76,7 +75,7 @@ def _(m):
     c = m.table("conversations")
     words = (c.filter("turn = 0").select("conv_id", F.explode(F.split("text", " ")).alias("term"))
              .select("conv_id", F.lower("term").alias("term")).distinct())
-    out = text.blinding_scan(c, words, ["conv_id"], 12)
+    out = text.blinding_scan(c, words, ["conv_id"], 3)
     return out.select("conv_id", "turn", F.array_join(F.array_sort("hits"), "~").alias("hits"), "ok")
 
 
@@ -178,7 +177,7 @@ fragment("t_sample_rows", "SELECT s.gene, s.index, s.ct, split_part(s.item, '|',
 SELECT gene, string_agg(index || '. ' || CASE WHEN status = 'OK' THEN label ELSE '(unresolved: ' || ct || ')' END || ' (in ' || tissue || ')',
   chr(10) ORDER BY index) AS text FROM t_sample_rows LEFT JOIN t_terms ON id = ct GROUP BY 1""")
 def _(m):
-    return text.render_sample(sampling.balanced_sample(m.obs, 10), _resolved(m))
+    return text.render_sample(sampling.balanced_sample(m.obs, 40), _resolved(m))
 
 
 @query("render_sample_grounded", """
@@ -188,7 +187,7 @@ SELECT gene, md5(string_agg(index || '. ' || CASE WHEN status = 'OK' THEN label
   chr(10) ORDER BY index)) hash FROM t_sample_rows LEFT JOIN t_terms ON id = ct LEFT JOIN t_chain ON src = ct GROUP BY 1""")
 def _(m):
     chains = text.ancestor_chains(m.isa3.filter("depth <= 2"), _resolved(m))
-    return text.render_sample(sampling.balanced_sample(m.obs, 10), _resolved(m), chains).select("gene", F.md5("text").alias("hash"))
+    return text.render_sample(sampling.balanced_sample(m.obs, 40), _resolved(m), chains).select("gene", F.md5("text").alias("hash"))
 
 
 # -- parsing
@@ -268,7 +267,7 @@ FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) JOIN pa
 fragment("n_resolved", """
 SELECT *, row_number() OVER (PARTITION BY key, id ORDER BY position) > 1 AND id IS NOT NULL dup FROM (
   SELECT key, position, written, CASE WHEN starts_with(written, 'GO:') THEN (SELECT t.id FROM n_terms t WHERE t.id = TRY_CAST(substr(written, 4) AS BIGINT) AND namespace = 'biological_process')
-    ELSE (SELECT i.id FROM n_index i WHERE i.name = trim(regexp_replace(lower(written), '[^a-z0-9]+', ' ', 'g'))) END id FROM n_answers WHERE position < 10)""")
+    ELSE (SELECT i.id FROM n_index i WHERE i.name = trim(regexp_replace(lower(written), '[^a-z0-9]+', ' ', 'g'))) END id FROM n_answers)""")
 
 
 def order_answers(m):
@@ -304,7 +303,7 @@ def _(m):
 
 
 @query("resolution_diagnostics", """
-SELECT key, count(*) n_raw, count(*) FILTER (id IS NOT NULL AND NOT dup) n_valid, count(*) FILTER (id IS NULL) n_invalid, count(*) FILTER (dup) n_duplicate,
+SELECT key, count(*) n_raw, count(*) FILTER (id IS NOT NULL AND NOT dup) n_valid, count(*) FILTER (id IS NULL) n_invalid, CAST(0 AS BIGINT) n_beyond, count(*) FILTER (dup) n_duplicate,
   count(*) FILTER (id IS NOT NULL AND NOT dup AND id IN (SELECT p_partkey FROM part WHERE p_size <= 10)) n_in_table,
   round(count(*) FILTER (id IS NOT NULL AND NOT dup AND id IN (SELECT p_partkey FROM part WHERE p_size <= 10))
     / nullif(CAST(count(*) FILTER (id IS NOT NULL AND NOT dup) AS DOUBLE), 0), 6) frac_in_table FROM n_resolved GROUP BY 1""")
@@ -314,7 +313,7 @@ def _(m):
 
 @query("constrained_predictions", """
 SELECT key, TRY_CAST(substr(written, 4) AS BIGINT) id, row_number() OVER (PARTITION BY key ORDER BY position) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY key, written ORDER BY position) d FROM n_answers WHERE position < 10 AND starts_with(written, 'GO:')
+  SELECT *, row_number() OVER (PARTITION BY key, written ORDER BY position) d FROM n_answers WHERE starts_with(written, 'GO:')
     AND TRY_CAST(substr(written, 4) AS BIGINT) IN (SELECT p_partkey FROM part WHERE p_size <= 10)) WHERE d = 1""")
 def _(m):
     cands = m.table("part").filter("p_size <= 10").select(F.concat(F.lit("GO:"), F.lpad(F.col("p_partkey").cast("string"), 7, "0")).alias("id"))
@@ -347,11 +346,11 @@ hits AS (SELECT name, count(*) FILTER (namespace = 'biological_process') np, boo
 loose AS (SELECT trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS name, min(s.id) lid FROM n_syn s JOIN n_terms t ON t.id = s.id
   WHERE scope = 'RELATED' AND namespace = 'biological_process' GROUP BY 1),
 pn AS (SELECT id, list_distinct(string_split(trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')), ' ')) ts FROM n_terms WHERE namespace = 'biological_process'),
-w AS (SELECT id, unnest(ts) tok, ts FROM pn), rare AS (SELECT tok FROM w GROUP BY 1 HAVING count(*) <= 300),
+w AS (SELECT id, unnest(ts) tok, ts FROM pn),
 an AS (SELECT DISTINCT name, list_distinct(string_split(name, ' ')) ats FROM a),
 near AS (SELECT name, min_by(id, (-j, id)) nid FROM (
   SELECT DISTINCT x.name, w.id, len(list_intersect(ats, ts)) / CAST(len(ats) + len(ts) - len(list_intersect(ats, ts)) AS DOUBLE) j
-  FROM (SELECT name, ats, unnest(ats) tok FROM an) x JOIN rare USING (tok) JOIN w USING (tok)) WHERE j >= 0.75 GROUP BY 1)
+  FROM (SELECT name, ats, unnest(ats) tok FROM an) x JOIN w USING (tok)) WHERE j >= 0.75 GROUP BY 1)
 SELECT text, class, CASE class WHEN 'loose synonym' THEN lid WHEN 'reworded' THEN nid END nearest FROM (
   SELECT text, lid, nid, CASE WHEN coalesce(np, 0) > 1 THEN 'ambiguous' WHEN o THEN CASE WHEN f THEN 'molecular function' ELSE 'cellular component' END
     WHEN lid IS NOT NULL THEN 'loose synonym' WHEN nid IS NOT NULL THEN 'reworded'

@@ -37,3 +37,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
             return c.cast("bigint").alias(f.name)
         return c
     return df.select(*[cast(f) for f in df.schema.fields])
+
+
+def stable_p(p: str = "p") -> Column:
+    """p with its exponent kept and the last digits rounded, so that equal tests tie and small ones keep their order."""
+    return F.expr(f"pow(10, round(log10(CASE WHEN {p} < 1e-300 THEN 1e-300 ELSE {p} END), 9))")

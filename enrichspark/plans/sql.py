@@ -114,8 +114,9 @@ fragment("t_features_v1", """
 SELECT item, kind, term, label FROM t_features WHERE kind = 'lineage'
 UNION ALL SELECT item, 'tissue', tissue, tissue FROM t_items""")
 fragment("t_ann", """
-SELECT DISTINCT l_suppkey gene, CAST(p_size AS INT) term, l_returnflag evidence
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 50""")
+SELECT l_suppkey gene, CAST(p_size AS INT) term, l_returnflag evidence
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3
+HAVING sum(CAST(round(l_discount * 100) AS BIGINT)) >= 8 * count(*)""")
 fragment("t_truth", "SELECT DISTINCT gene, term FROM t_ann WHERE evidence <> 'R'")
 fragment("t_prop", "SELECT DISTINCT t.gene, c.anc term FROM t_truth t JOIN t_closed c ON c.src = t.term")
 fragment("t_ic", """

@@ -64,15 +64,20 @@ def read_gene_list(spark: SparkSession, path: str, split: str | None = None, str
     return rows
 
 
-def content_hash(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of each input file."""
-    return (spark.read.format("binaryFile").load(path)
-            .select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256")))
+def content_hash(rows: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, sha256) of each row's content, so that no file is ever one value."""
+    return rows.select(key, F.sha2(F.col(content).cast("binary"), 256).alias("sha256"))
 
 
 def table_hash(df: DataFrame) -> DataFrame:
-    """One hash of a table's rows, whatever their order or partitioning."""
-    return df.agg(F.bit_xor(F.xxhash64(*sorted(df.columns))).alias("hash"), F.count("*").alias("n"))
+    """One hash of a table's rows, whatever their order or partitioning: the sum of 60 bits of each row's md5, with the row count.
+
+    A row's text is its columns in order of name, as text, joined by '|', null as \\N. Equal rows add up, so that repeated rows
+    change the hash.
+    """
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in sorted(df.columns)])
+    bits = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.sum(bits).cast("decimal(38,0)").cast("string").alias("hash"), F.count("*").alias("n"))
 
 
 def write_keyed(df: DataFrame, path: str, key: dict) -> None:

@@ -7,12 +7,17 @@ def one(spark, value, column):
     return spark.createDataFrame([(value,)], "t string").select(column(F.col("t"))).first()[0]
 
 
+def cleaned(spark, value):
+    r = text.clean_definition(spark.createDataFrame([(value,)], "t string"), "t").first()
+    return r.cleaned, r.removed
+
+
 def test_clean_definition(spark):
     noisy = "A cell [GO] that eats. It is CD4-positive and CD8-negative. Examples: none. Keeps one CD4-positive mark."
-    assert one(spark, noisy, lambda c: text.clean_definition(c)[0]) == "A cell that eats. Keeps one CD4-positive mark."
+    assert cleaned(spark, noisy)[0] == "A cell that eats. Keeps one CD4-positive mark."
     only = "CD4-positive, CD8-low."
-    assert one(spark, only, lambda c: text.clean_definition(c)[0]) == only
-    assert one(spark, only, lambda c: text.clean_definition(c)[1]) == 0
+    assert cleaned(spark, only)[0] == only
+    assert cleaned(spark, only)[1] == 0
 
 
 def test_blinding_is_by_whole_word(spark):
@@ -57,3 +62,22 @@ def test_predictions_close_ranks(spark):
     assert got == [(1, "t1", False), (2, "t2", True)]
     d = names.resolution_diagnostics(names.resolve_predictions(a, index, cands, "k"), "k").first()
     assert (d["n_raw"], d["n_valid"], d["n_invalid"], d["n_duplicate"], d["frac_in_table"]) == (4, 2, 1, 1, 0.5)
+
+
+def test_table_hash_counts_repeated_rows(spark):
+    from enrichspark.sources.tables import table_hash
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "x int, y string")
+    twice = [rows.union(rows.filter(f"x = {k}")) for k in (1, 2)]
+    hashes = [table_hash(d).first() for d in (rows, *twice)]
+    assert len({h.hash for h in hashes}) == 3 and [h.n for h in hashes] == [2, 3, 3]
+    assert table_hash(rows.repartition(4)).first() == hashes[0]
+
+
+def test_answers_beyond_the_limit_are_counted(spark):
+    answers = spark.createDataFrame([(1, i, f"GO:000000{i}", 0.5) for i in range(4)], "key int, position int, written string, confidence double")
+    cands = spark.createDataFrame([(f"GO:000000{i}",) for i in range(4)], "id string")
+    index = cands.selectExpr("id name", "id")
+    for limit, valid, beyond in ((None, 4, 0), (3, 3, 1)):
+        out = names.resolve_predictions(answers, index, cands, "key", "constrained", max_predictions=limit)
+        d = names.resolution_diagnostics(out, "key").first()
+        assert (d.n_raw, d.n_valid, d.n_invalid, d.n_beyond) == (4, valid, 0, beyond)
