@@ -3,8 +3,8 @@
 The kernel counts common subsequences of ORDER bytes of two words, each weighted by DECAY to the power of the bytes it
 spans in both, so that characters put between or left out cost little. Landmarks are words of labelled texts that tell the
 labels apart, chosen to differ from one another; a word is described by its kernel values with them. Training is by
-multiple instances: a sentence is represented by its most suspicious word, first by label counts, then by the
-machine itself. A document is scored from its two highest words, against its usual ones, through a logistic fit.
+multiple instances: a sentence of label 0 is represented by its most suspicious word, another by the words that
+label counts find telling and by its highest word in the machine's own eyes. A document is scored from its two highest words, against its usual ones, through a logistic fit.
 
 Words are what is left between white space when all but letters is taken out; letters standing alone one after the
 other are put together. Long words are looked at in overlapping pieces.
@@ -25,7 +25,7 @@ from enrichspark.llm.near import LOWER, span_hashes
 #: Bound of the training sample: documents per label.
 SAMPLE_DOCS = 1500
 LANDMARKS, APART, ALIKE = 40, 0.6, 0.3
-ORDER, DECAY = 4, 0.6
+ORDER, DECAY = 4, 0.75
 WIDTH = 24
 ROUNDS = 3
 THRESHOLD = 0.7
@@ -282,13 +282,16 @@ def learn(rows: list[tuple[str, int]], share: float | None = None) -> Machine |
     k = machine.kernel(list(names))
     score, bar = tell, float(np.sqrt(2 * np.log(len(tell))))  # what the largest of so many words reaches by chance
     bags = [(s, label) for label, doc in zip(y, sentences) for s in doc]
+    good, ill = [b for b, label in bags if label == 0], [b for b, label in bags if label == 1]
+    telling = [b[tell[b] > bar] for b in ill]
     for step in range(ROUNDS):
-        witness = np.array([b[score[b].argmax()] for b, _ in bags])
-        label = np.array([x for _, x in bags])
-        use = (label == 0) | (score[witness] > (bar if step == 0 else 0.0))
-        if not (label[use] == 1).any():
+        # of sentences with label 0 the highest word; of the others all words that tell and a highest word above 0
+        worst = [b[score[b].argmax()] for b in ill] if step else []
+        pos = np.concatenate([*telling, np.array([w for w in worst if score[w] > 0], int)]).astype(int)
+        neg = np.array([b[score[b].argmax()] for b in good], int)
+        if not len(pos) or not len(neg):
             break
-        machine.fit(k[witness[use]], label[use])
+        machine.fit(k[np.r_[pos, neg]], np.r_[np.ones(len(pos), int), np.zeros(len(neg), int)])
         score = machine.scores(k)
     x = [np.sort(np.concatenate([score[s] for s in doc] or [np.zeros(0)]))[::-1] for doc in sentences]
     floor = machine.b
