@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from enrichspark.session import materialize
@@ -147,14 +147,18 @@ def coverage_curve(items: DataFrame, closed: DataFrame, capable: DataFrame, dept
         F.count("*").alias("n_unique_terms"),
         F.min_by("process", F.struct((-F.col("n")).alias("o"), "process")).alias("most_common_term"),
         F.max("n").alias("most_common_n"))
-    # one row per distinct count and depth, far fewer than cell types
-    return (per_type.groupBy("at").agg(
-        F.count("*").alias("covered"), F.sum("rows").alias("covered_rows"),
-        F.sort_array(F.collect_list("n")).alias("counts"))
+    # the median from one row per depth and distinct number of terms, so that no list of cell types is gathered
+    spread_ = per_type.groupBy("at", "n").agg(F.count("*").alias("c"), F.sum("rows").alias("r"))
+    by_depth = Window.partitionBy("at")
+    below = F.sum("c").over(by_depth.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = spread_.withColumns({"below": below, "all": F.sum("c").over(by_depth)})
+    middle = F.when(F.col("below") >= F.floor(F.col("all") / 2) + 1, F.col("n"))
+    return (ranked.groupBy("at").agg(
+        F.sum("c").alias("covered"), F.sum("r").alias("covered_rows"), F.min(middle).alias("median"))
         .join(top, "at")
         .select(F.col("at").alias("depth"), (F.col("covered") / n_types).alias("frac_cell_types"),
                 (F.col("covered_rows") / n_rows).alias("frac_rows"), "n_unique_terms",
-                F.element_at("counts", F.floor(F.col("covered") / 2).cast("int") + 1).alias("median_per_annotated"),
+                F.col("median").alias("median_per_annotated"),
                 "most_common_term", "most_common_n"))
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from enrichspark.functions.corrections import benjamini_hochberg
 from enrichspark.functions.exact import binomial_two_sided
-from enrichspark.operators.matrix import gene_rates
 from enrichspark.operators.vocabulary import with_every_term
 from enrichspark.session import spread
 
@@ -74,7 +73,3 @@ def corrected_stats(evidence: DataFrame, rates: DataFrame, baselines: DataFrame,
     return rows.select("unit", "gene", "term", "size", "hits", "observed", "expected", "excess", "tested",
                        F.coalesce("_p", F.lit(1.0)).alias("p"),
                        F.when(F.col("tested"), F.col("_q")).otherwise(1.0).alias("q"))
-
-
-__all__ = ["called_universe", "annotated_universe", "evidence_counts", "feature_baselines", "term_baselines",
-           "grand_means", "corrected_stats", "gene_rates"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from enrichspark.functions.draws import hash32
 from enrichspark.functions.ordering import quantiles
 from enrichspark.operators.ranking import keep_first
-from enrichspark.session import spread
+from enrichspark.session import materialize, spread
 
 KS = (1, 3, 5, 10)
 
@@ -188,9 +188,9 @@ def constant_prior(propagated: DataFrame, dev: DataFrame, vocabulary: DataFrame,
     """
     sets = reachable_sets(vocabulary, closed, ic, [])
     every = sets.agg(F.array_sort(F.collect_list(F.struct("term", "anc_set"))).alias("v")).scalar()
-    genes = (propagated.join(dev.select("gene"), "gene", "left_semi").join(ic, "term").groupBy("gene")
-             .agg(F.sum("ic").alias("truth_mass"),
-                  F.collect_list(F.when(F.col("ic") > 0, F.struct(F.col("term").alias("anc"), "ic"))).alias("own")))
+    genes = materialize(propagated.join(dev.select("gene"), "gene", "left_semi").join(ic, "term").groupBy("gene")
+                        .agg(F.sum("ic").alias("truth_mass"),
+                             F.collect_list(F.when(F.col("ic") > 0, F.struct(F.col("term").alias("anc"), "ic"))).alias("own")), "prior")
     spark = propagated.sparkSession
     chosen: list = []
     have, best = F.array().cast(sets.schema["anc_set"].dataType), -1.0
