@@ -350,7 +350,9 @@ w AS (SELECT id, unnest(ts) tok, ts FROM pn),
 an AS (SELECT DISTINCT name, list_distinct(string_split(name, ' ')) ats FROM a),
 near AS (SELECT name, min_by(id, (-j, id)) nid FROM (
   SELECT DISTINCT x.name, w.id, len(list_intersect(ats, ts)) / CAST(len(ats) + len(ts) - len(list_intersect(ats, ts)) AS DOUBLE) j
-  FROM (SELECT name, ats, unnest(ats) tok FROM an) x JOIN w USING (tok)) WHERE j >= 0.75 GROUP BY 1)
+  FROM (SELECT name, ats, tok FROM (
+    SELECT name, ats, tok, row_number() OVER (PARTITION BY name ORDER BY f NULLS FIRST, tok) r FROM (SELECT name, ats, unnest(ats) tok FROM an)
+    LEFT JOIN (SELECT tok, count(*) f FROM w GROUP BY 1) USING (tok)) WHERE r <= len(ats) - ceil(len(ats) * 0.75) + 1) x JOIN w USING (tok)) WHERE j >= 0.75 GROUP BY 1)
 SELECT text, class, CASE class WHEN 'loose synonym' THEN lid WHEN 'reworded' THEN nid END nearest FROM (
   SELECT text, lid, nid, CASE WHEN coalesce(np, 0) > 1 THEN 'ambiguous' WHEN o THEN CASE WHEN f THEN 'molecular function' ELSE 'cellular component' END
     WHEN lid IS NOT NULL THEN 'loose synonym' WHEN nid IS NOT NULL THEN 'reworded'
