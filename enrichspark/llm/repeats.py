@@ -6,7 +6,8 @@ Strings of LENGTH bytes that start more than once are found in three steps.
    have equal minimizers, so a repeat can only lie where a minimizer occurs twice. A run of windows with one minimizer
    occurrence is a stretch of text; equal stretches are one class, whose number is counted before the shuffle.
 2. Stretches that occur twice are repeated throughout. A minimizer with several classes can hold repeats that
-   cover a part of them: its class texts, once each, go to shards by minimizer. A shard sorts its suffixes, takes their
+   cover a part of them: its class texts, once each, go to shards by minimizer. A shard leaves out what can't share LENGTH
+   bytes with another text round the minimizer, sorts the suffixes of the rest, takes their
    Burrows-Wheeler transform, and derives common prefixes breadth first: the boundaries of prefix length l yield those of
    l + 1 by backward extension, in increasing order, and the expansion stops at LENGTH. What has no boundary by then repeats.
 3. Minimizers with very many classes would make a shard grow. Their windows are counted by 128-bit hashes instead:
@@ -80,7 +81,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: in
 
 
 def _scan(length: int, k: int):
-    """(doc_id, th1, th2, h, w1, w2, lo, hi): every stretch, h its minimizer's hash and w its text's hash; lo and hi are relative."""
+    """(doc_id, th1, th2, h, w1, w2, lo, hi, core): every stretch, h its minimizer's hash and w its text's hash; core is relative to lo."""
     def run(batches):
         for b in batches:
             data, offsets = byte_view(b.column("text"))
@@ -97,7 +98,7 @@ def _scan(length: int, k: int):
                 half = lambda s: pa.array(np.array([(v >> s) & (2**64 - 1) for v in w], U64).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(c).take(row) for c in ("doc_id", "th1", "th2")), pa.array(h), half(64), half(0), pa.array((lo - at).astype(np.int32)),
-                     pa.array((hi - at).astype(np.int32))], names=["doc_id", "th1", "th2", "h", "w1", "w2", "lo", "hi"])
+                     pa.array((hi - at).astype(np.int32)), pa.array((core - lo).astype(np.int32))], names=["doc_id", "th1", "th2", "h", "w1", "w2", "lo", "hi", "core"])
     return run
 
 
@@ -109,7 +110,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         second = np.zeros(n, np.int64)
         second[:n - step] = rank[step:] + 1
         key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sk = key[order]
         new = np.r_[0, np.cumsum(sk[1:] != sk[:-1])]
         rank = np.empty(n, np.int64)
@@ -119,62 +120,83 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         step *= 2
 
 
-def repeated_starts(texts: list[bytes], twice: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each text a mask over its windows: does the window occur elsewhere in texts, or in a text marked twice?
+def repeated_starts(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
+    """For each text a mask over its windows of length bytes: does the window occur elsewhere in texts?
 
-    Boundaries expand breadth first. At level l a boundary q lies between two neighbours in suffix order that differ
-    after l bytes. For each byte c, the next suffix at or after q that c precedes is moved to by backward extension, and
-    is a boundary of level l + 1 unless it already was one of a lower level.
+    A boundary of level l lies between two neighbours in suffix order that differ after l bytes. Levels follow in
+    increasing order, breadth first: of two suffixes that one byte c precedes, with none such between them, backward
+    extension gives neighbours in suffix order, and a boundary of level l between the former makes one of level l + 1
+    between the latter, unless these have a lower one. Nothing extends over a separator. What is without boundary
+    when level length is reached shares length bytes with its neighbour.
     """
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes + 1)
-    n = int(ends[-1])
-    s = np.empty(n, np.int64)
     begin = ends - sizes - 1
-    flat = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-    s[:] = flat.astype(np.int64) + len(texts)
+    s = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + len(texts)
     s[ends - 1] = np.arange(len(texts))  # separators, all different and below every byte
+    n = len(s)
     sa = suffix_array(s)
-    before = s[sa - 1]
-    before[sa == 0] = s[-1]
-    code = np.unique(np.where(before < len(texts), -1, before), return_inverse=True)[1]
-    # backward extension: the place of the suffix one byte longer
-    place = np.empty(n, np.int64)
-    place[sa] = np.arange(n)
-    longer = place[sa - 1]
-    sigma = int(code.max()) + 1
-    after = [np.flatnonzero(code == c) for c in range(sigma)]
-    sep = code == 0 if (before < len(texts)).any() else np.zeros(n, bool)
-    low = np.full(n + 1, length, np.int32)  # common prefix of suffix i - 1 and i; length stands for "at least"
-    set_ = np.zeros(n + 1, bool)
-    heads = np.searchsorted(s[sa], np.arange(s.max() + 2))
-    heads = np.unique(heads[heads < n])
-    low[heads], set_[heads] = 0, True
-    now = heads
-    for level in range(length - 1):
-        if not len(now):
+    before = s[sa - 1]  # the transform
+    place = np.empty(n, np.int32)
+    place[sa] = np.arange(n, dtype=np.int32)
+    longer = place[sa - 1]  # backward extension
+    by = np.argsort(before, kind="stable")
+    same = before[by[1:]] == before[by[:-1]]
+    last = np.full(n, -1, np.int32)
+    last[by[1:][same]] = by[:-1][same]  # the suffix before with the same preceding byte
+    known = np.zeros(n, bool)
+    head = s[sa]
+    now = np.flatnonzero(np.r_[True, head[1:] != head[:-1]])
+    known[now] = True
+    wait = np.flatnonzero((before >= len(texts)) & ~known[longer]).astype(np.int32)
+    since, target = last[wait], longer[wait]
+    for _ in range(length - 1):
+        if not len(now) or not len(wait):
             break
-        found = []
-        for c in range(sigma):
-            if c == 0 and sep.any():
-                continue  # separators end the strings; nothing extends over them
-            j = np.searchsorted(after[c], now)
-            q = after[c][j[j < len(after[c])]]
-            found.append(longer[q])
-        nxt = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        nxt = nxt[~set_[nxt]]
-        low[nxt], set_[nxt] = level + 1, True
-        now = nxt
+        mark = np.zeros(n, np.int8)
+        mark[now] = 1
+        count = np.cumsum(mark, dtype=np.int32)
+        go = count[wait] != count[since]
+        now = target[go]
+        known[now] = True
+        stay = ~go
+        wait, since, target = wait[stay], since[stay], target[stay]
     rep = np.zeros(n, bool)
-    same = ~set_[:n]
-    same[0] = False
-    rep[sa[same]] = True
-    rep[sa[np.flatnonzero(same) - 1]] = True
-    # a window that is alone in its interval still repeats if its text occurs twice
+    pair = np.flatnonzero(~known)
+    rep[sa[pair]] = True
+    rep[sa[pair - 1]] = True
+    return [rep[b:b + size - length + 1] for b, size in zip(begin, sizes)]
+
+
+def common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix, by bisection."""
+    lo, hi = 0, min(len(a), len(b))
+    if a[:hi] == b[:hi]:
+        return hi
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid
+    return lo
+
+
+def shared_parts(pieces: list[bytes], cores: list[int], k: int = K) -> list[tuple[int, int]]:
+    """For stretches with one minimizer: the largest part (from, to) round its core that others can share on either side.
+
+    The longest common prefix of a text with any other is that with a neighbour in sorted order.
+    """
+    n = len(pieces)
     out = []
-    for b, size, two in zip(begin, sizes, twice):
-        out.append(np.ones(size - length + 1, bool) if two else rep[b:b + size - length + 1])
-    return out
+    for side in ([p[:c][::-1] for p, c in zip(pieces, cores)], [p[c + k:] for p, c in zip(pieces, cores)]):
+        order = sorted(range(n), key=side.__getitem__)
+        best = [0] * n
+        for x, y in zip(order, order[1:]):
+            v = common(side[x], side[y])
+            best[x], best[y] = max(best[x], v), max(best[y], v)
+        out.append(best)
+    return [(c - left, c + k + right) for c, left, right in zip(cores, *out)]
 
 
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +207,7 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cut(length: int):
-    """The texts of wanted stretches: (h, th1, th2, lo, hot, two, piece)."""
+    """The texts of wanted stretches: (h, th1, th2, lo, core, hot, two, piece)."""
     def run(batches):
         for b in batches:
             data, offsets = byte_view(b.column("text"))
@@ -193,12 +215,12 @@ def _cut(length: int):
             for i, want in enumerate(b.column("want").to_pylist()):
                 for w in want:
                     at = int(offsets[i])
-                    rows.append((w["h"], i, w["lo"], w["hot"], w["two"], raw[at + w["lo"]:at + w["hi"] + length]))
+                    rows.append((w["h"], i, w["lo"], w["core"], w["hot"], w["two"], raw[at + w["lo"]:at + w["hi"] + length]))
             row = pa.array([r[1] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), b.column("th1").take(row), b.column("th2").take(row), pa.array([r[2] for r in rows], pa.int32()),
-                 pa.array([r[3] for r in rows], pa.bool_()), pa.array([r[4] for r in rows], pa.bool_()), pa.array([r[5] for r in rows], pa.binary())],
-                names=["h", "th1", "th2", "lo", "hot", "two", "piece"])
+                 pa.array([r[3] for r in rows], pa.int32()), pa.array([r[4] for r in rows], pa.bool_()), pa.array([r[5] for r in rows], pa.bool_()),
+                 pa.array([r[6] for r in rows], pa.binary())], names=["h", "th1", "th2", "lo", "core", "hot", "two", "piece"])
     return run
 
 
@@ -214,11 +236,21 @@ def _ranges(pdf: pd.DataFrame, masks) -> pd.DataFrame:
     return out.astype({"th1": "int64", "th2": "int64", "lo": "int32", "hi": "int32"})
 
 
-def _expand(length: int):
+def _expand(length: int, k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        masks = repeated_starts([bytes(p) for p in pdf["piece"]], pdf["two"].to_numpy(bool), length)
-        single = ~pdf["two"].to_numpy(bool)
-        return _ranges(pdf[single], [m for m, s in zip(masks, single) if s])
+        pdf = pdf.sort_values("h", kind="stable")
+        texts, h = [bytes(p) for p in pdf["piece"]], pdf["h"].to_numpy()
+        core, cut = pdf["core"].to_numpy(), np.r_[0, np.flatnonzero(h[1:] != h[:-1]) + 1, len(h)]
+        parts = [x for a, b in zip(cut, cut[1:]) for x in shared_parts(texts[a:b], core[a:b].tolist(), k)]
+        # what shares less than length bytes round its core with all others can't repeat
+        keep = [i for i, (a, b) in enumerate(parts) if b - a >= length]
+        if not keep:
+            return _ranges(pdf[:0], [])
+        masks = repeated_starts([texts[i][parts[i][0]:parts[i][1]] for i in keep], length)
+        single = [j for j, i in enumerate(keep) if not pdf["two"].iat[i]]
+        some = pdf.iloc[[keep[j] for j in single]]
+        some = some.assign(lo=some["lo"].to_numpy() + np.array([parts[keep[j]][0] for j in single], np.int64))
+        return _ranges(some, [masks[j] for j in single])
     return run
 
 
@@ -292,7 +324,7 @@ def _apply(length: int):
 
 def repeat_ranges(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
     """(th1, th2, lo, hi): by text key, the starts lo..hi of windows of length bytes that occur more than once in docs(doc_id, text, th1, th2)."""
-    runs = materialize(docs.mapInArrow(_scan(length, k), "doc_id long, th1 long, th2 long, h long, w1 long, w2 long, lo int, hi int"), "runs")
+    runs = materialize(docs.mapInArrow(_scan(length, k), "doc_id long, th1 long, th2 long, h long, w1 long, w2 long, lo int, hi int, core int"), "runs")
     cls = ["h", "w1", "w2"]
     classes = runs.groupBy(*cls).agg(F.count(F.lit(1)).alias("n"))
     per_h = classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("total"), F.min("n").alias("least")).filter("total > 1")
@@ -302,15 +334,15 @@ def repeat_ranges(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int =
     whole = found.filter("two").select("th1", "th2", "lo", "hi").distinct()
 
     # one example of each class of a mixed minimizer, and its text
-    example = (found.filter("mixed").groupBy(*cls).agg(F.min(F.struct("doc_id", "th1", "th2", "lo", "hi", "hot", "two")).alias("e"))
-               .select("h", "e.*").groupBy("doc_id", "th1", "th2").agg(F.collect_list(F.struct("h", "lo", "hi", "hot", "two")).alias("want")))
+    example = (found.filter("mixed").groupBy(*cls).agg(F.min(F.struct("doc_id", "th1", "th2", "lo", "hi", "core", "hot", "two")).alias("e"))
+               .select("h", "e.*").groupBy("doc_id", "th1", "th2").agg(F.collect_list(F.struct("h", "lo", "hi", "core", "hot", "two")).alias("want")))
     same = [docs[c].eqNullSafe(example[c]) for c in ("doc_id", "th1", "th2")]
     texts = docs.join(example, same).select(docs["th1"], docs["th2"], docs["text"], "want")
-    pieces = materialize(texts.mapInArrow(_cut(length), "h long, th1 long, th2 long, lo int, hot boolean, two boolean, piece binary"), "pieces")
+    pieces = materialize(texts.mapInArrow(_cut(length), "h long, th1 long, th2 long, lo int, core int, hot boolean, two boolean, piece binary"), "pieces")
     cold = pieces.filter(~F.col("hot"))
     size = int(cold.agg(F.sum(F.length("piece"))).first()[0] or 0)
     shards = max(16, -(-size // SHARD_BYTES))
-    partial = cold.groupBy(F.pmod("h", F.lit(shards)).alias("shard")).applyInPandas(_expand(length), RANGE)
+    partial = cold.groupBy(F.pmod("h", F.lit(shards)).alias("shard")).applyInPandas(_expand(length, k), RANGE)
     return whole.unionByName(partial).unionByName(_hot_ranges(pieces.filter("hot"), length)).distinct()
 
 
