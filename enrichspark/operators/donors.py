@@ -22,10 +22,10 @@ def _ring_position(seed: int, key: str):
 
 
 def ring_donors(rates: DataFrame, tolerance: float = 0.05, k: int = 1, seed: int = 42, arcs_log2: int = 6) -> DataFrame:
-    """(gene, donor, place): up to k donors of each gene of rates(gene, rate), nearest on the ring first.
+    """(gene, donor, place): k donors of each gene of rates(gene, rate), nearest on the ring first.
 
-    A donor differs from its gene and its rate is within the tolerance. Genes with fewer than k such
-    donors get all there are.
+    A donor differs from its gene and its rate is within the tolerance. A gene with fewer than k such
+    donors gets them again in turn, so that every gene with a donor has k.
     """
     micro = F.round(F.col("rate") * 1000000).cast("long")
     tol = round(tolerance * 1000000)
@@ -68,7 +68,10 @@ def ring_donors(rates: DataFrame, tolerance: float = 0.05, k: int = 1, seed: int
     near = (demand.join(supply, ["level", "block", "number"]).filter(F.col("gene") != F.col("donor"))
             .withColumn("gap", (F.col("d_pos") - F.col("pos") + ring) % ring))
     place = F.row_number().over(Window.partitionBy("gene").orderBy("gap", "donor"))  # some tens of rows per gene
-    return near.withColumn("place", place).filter(F.col("place") <= k).select("gene", "donor", "place")
+    picked = near.withColumn("place", place).filter(F.col("place") <= k)
+    # a gene with n < k donors takes them in turn until it has k
+    n = F.count("*").over(Window.partitionBy("gene")).cast("int")
+    return picked.withColumn("n", n).select("gene", "donor", F.explode(F.sequence("place", F.lit(k), F.col("n"))).alias("place"))
 
 
 def mismatched_evidence(rankings: DataFrame, donors: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,6 +81,6 @@ def mismatched_evidence(rankings: DataFrame, donors: DataFrame, keys: list[str])
 
 
 def shuffled_baseline(preds: DataFrame, donors: DataFrame) -> DataFrame:
-    """A gene's own predictions under each donor's name: (target, gene, term, rank), ready to be classified."""
+    """A gene's own predictions under each donor's name: (target, gene, place, term, rank), ready to be classified."""
     return (preds.withColumnRenamed("gene", "target")
-            .join(donors.select(F.col("gene").alias("target"), F.col("donor").alias("gene")), "target"))
+            .join(donors.select(F.col("gene").alias("target"), F.col("donor").alias("gene"), "place"), "target"))

@@ -111,12 +111,12 @@ def _(m):
 def donors_sql(source: str, k: int, seed: int = 42) -> str:
     pos = f"CAST('0x' || substr(md5('{seed}|' || gene), 1, 15) AS BIGINT)"
     return f"""
-SELECT gene, donor, place FROM (
+SELECT gene, donor, unnest(range(place, {k} + 1, n)) AS place FROM (SELECT *, count(*) OVER (PARTITION BY gene) n FROM (
   SELECT a.gene, b.gene donor, row_number() OVER (PARTITION BY a.gene
     ORDER BY (CAST(b.pos AS HUGEINT) - a.pos + 1152921504606846976) % 1152921504606846976, b.gene) place
   FROM (SELECT gene, CAST(round(rate * 1000000) AS BIGINT) r, {pos} pos FROM ({source})) a
   JOIN (SELECT gene, CAST(round(rate * 1000000) AS BIGINT) r, {pos} pos FROM ({source})) b
-    ON a.gene <> b.gene AND abs(a.r - b.r) <= 50000) WHERE place <= {k}"""
+    ON a.gene <> b.gene AND abs(a.r - b.r) <= 50000) WHERE place <= {k})"""
 
 
 fragment("t_donors", donors_sql("SELECT gene, rate FROM t_rates WHERE unit = 'cell_types' AND rate IS NOT NULL", 1))
@@ -151,7 +151,7 @@ def _(m):
 
 fragment("t_donors5", donors_sql("SELECT gene, rate FROM t_rates WHERE unit = 'cell_types' AND rate IS NOT NULL", 5))
 fragment("t_shuffled_match", classify_sql("""
-SELECT d.gene AS target, d.donor AS gene, r.term FROM t_donors5 d JOIN t_rank_ora r ON r.gene = d.gene AND unit = 'cell_types'""", "target, gene"))
+SELECT d.gene AS target, d.donor AS gene, d.place, r.term FROM t_donors5 d JOIN t_rank_ora r ON r.gene = d.gene AND unit = 'cell_types'""", "target, gene, place"))
 
 
 @query("shuffled_baseline", """
@@ -159,7 +159,7 @@ SELECT target, round(avg(CASE WHEN kind <> 'no_match' THEN 1.0 ELSE 0.0 END), 6)
   round(avg(CASE WHEN kind = 'exact' THEN 1.0 ELSE 0.0 END), 6) exact_rate FROM t_shuffled_match GROUP BY 1""")
 def _(m):
     rows = donors.shuffled_baseline(predictions(m), gene_donors(m, 5))
-    kinds = matching.classify(rows, m.truths, m.closed, ["target", "gene"])
+    kinds = matching.classify(rows, m.truths, m.closed, ["target", "gene", "place"])
     return rounded(kinds.groupBy("target").agg(
         F.avg(F.when(F.col("kind") != "no_match", 1.0).otherwise(0.0)).alias("match_rate"),
         F.avg(F.when(F.col("kind") == "exact", 1.0).otherwise(0.0)).alias("exact_rate")))
