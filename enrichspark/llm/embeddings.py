@@ -72,13 +72,29 @@ def _sign(dim: int, bits: int, tables: int, kind: str):
     return run
 
 
+def _smallest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest id of each row's component under the links i-j: roots hook onto smaller ones and paths halve until nothing moves."""
+    order = np.argsort(ids, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    i, j = np.r_[rank[i], rank[j]], np.r_[rank[j], rank[i]]
+    root = np.arange(len(ids))
+    while True:
+        new = root.copy()
+        np.minimum.at(new, root[i], root[j])
+        np.minimum.at(new, i, root[j])
+        new = new[new]
+        if (new == root).all():
+            return ids[order][root[rank]]
+        root = new
+
+
 def _tile_links(x, sigs, ids, side, weight, t, cosine):
-    """(n, to) per row of one tile: the links first met in table t, and the smallest id met."""
-    far = np.iinfo(np.int64).max
+    """(n, to) per row of one tile: the links first met in table t, and the smallest id these connect the row with."""
     diagonal = not side.any()
-    rows = np.flatnonzero(side == 0)
-    cols = rows if diagonal else np.flatnonzero(side == 1)
-    n, to = np.zeros(len(x), np.int64), ids.copy()
+    rows = np.flatnonzero(side <= 1)
+    cols = rows if diagonal else np.flatnonzero(side == 2)
+    n, pairs = np.zeros(len(x), np.int64), []
     for at in range(0, len(rows), 256):
         r = rows[at:at + 256]
         hit = x[r] @ x[cols].T >= cosine
@@ -90,12 +106,13 @@ def _tile_links(x, sigs, ids, side, weight, t, cosine):
         old = (sigs[r[i], :t] == sigs[cols[j], :t]).any(axis=1) if t else np.zeros(len(i), bool)
         i, j = i[~old], j[~old]
         np.add.at(n, r[i], weight[cols[j]])
-        np.minimum.at(to, r[i], ids[cols[j]])
         if not diagonal:
             np.add.at(n, cols[j], weight[r[i]])
-            np.minimum.at(to, cols[j], ids[r[i]])
-    to[n == 0] = far
-    return n, to
+        once = r[i] < cols[j] if diagonal else slice(None)
+        pairs.append((r[i][once], cols[j][once]))
+    if not pairs:
+        return n, ids
+    return n, _smallest(ids, *(np.concatenate(p) for p in zip(*pairs)))
 
 
 def _links(cosine: float, kind: str):
@@ -153,7 +170,7 @@ def dedup(vectors: DataFrame, cosine: float = MIN_COSINE, miss: float = MISS, ti
     placed = entries.join(size, bucket).withColumn("a", F.pmod(F.xxhash64("vec_id", "t"), F.col("tiles")).cast("int"))
     meet = placed.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         F.xxhash64(*bucket, F.least("a", "b"), F.greatest("a", "b")).alias("bucket"), "t", "vec_id",
-        F.when(F.col("a") > F.col("b"), 1).otherwise(0).alias("side"))
+        F.when(F.col("a") == F.col("b"), 0).when(F.col("a") < F.col("b"), 1).otherwise(2).alias("side"))  # a pair with an empty tile isn't a tile alone
     meet = materialize(meet, "meet")
     groups = max(64, -(-meet.count() // GROUP))
     links = materialize(meet.join(reps.drop("label"), "vec_id").groupBy(F.pmod("bucket", F.lit(groups)).alias("g"))

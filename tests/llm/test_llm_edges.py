@@ -152,6 +152,51 @@ def test_embedding_tiles_count_each_link_once(spark):
     assert [got[i] for i in range(len(x))] == link.sum(axis=1).tolist()
 
 
+def brute_components(x, ids, labels, cosine=0.93):
+    """{id: (n_links, component_id, kept)} over all pairs."""
+    u = np.asarray(x, np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    link = (u @ u.T >= cosine) & ~np.eye(len(u), dtype=bool) & (np.array(labels)[:, None] == np.array(labels))
+    comp = np.array(ids)
+    while (new := np.minimum(comp, np.where(link, comp, comp.max()).min(axis=1))).tolist() != comp.tolist():
+        comp = new
+    return {i: (int(n), int(c), bool(i == c)) for i, n, c in zip(ids, link.sum(axis=1), comp)}
+
+
+def arc(degrees):
+    return [[float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))] for d in degrees]
+
+
+def test_embedding_chains(spark):
+    # neighbours 15 degrees apart link, others don't; each chain has a direction and a label of its own
+    chains = [(1, 5, 2), (11, 15, 16, 12), (29, 21, 28, 22, 27, 23), tuple(range(40, 60, 2)) + tuple(range(41, 60, 2))]
+    ids, x, labels = [], [], []
+    for k, chain in enumerate(chains):
+        ids += chain
+        x += arc(15 * i for i in range(len(chain)))
+        labels += [k] * len(chain)
+    v = spark.createDataFrame(list(zip(ids, x, labels)), "vec_id long, embedding array<float>, label int")
+    want = brute_components(x, ids, labels)
+    assert want[2] == (1, 1, False) and want[12] == (1, 11, False)
+    for tile in (512, *range(2, 9)):
+        assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.dedup(v, tile=tile).collect()} == want
+
+
+def test_smallest_of_components():
+    g = np.random.default_rng(3)
+    for n in (2, 17, 300):
+        ids = g.permutation(10 * n)[:n]
+        for links in (1, n // 2, 2 * n):
+            i, j = g.integers(0, n, links), g.integers(0, n, links)
+            want = ids.copy()
+            for _ in range(n):
+                for a, b in zip(i, j):
+                    want[a] = want[b] = min(want[a], want[b])
+            assert embeddings._smallest(ids, i, j).tolist() == want.tolist()
+    path = np.r_[np.arange(0, 1000, 2), np.arange(999, 0, -2)]
+    assert (embeddings._smallest(path, np.arange(999), np.arange(1, 1000)) == 0).all()
+
+
 def test_stages_keep_columns(spark, odd, none, tmp_path):
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
     spark.createDataFrame([(1, "nothing of this is in any of the documents at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
