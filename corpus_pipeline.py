@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 from enrichspark.llm import decontaminate, langid, lines, near, packing
 from enrichspark.llm.common import materialize, table
 
-#: A text whose most likely language has a smaller probability than this is in no known language.
+#: A text whose most likely language has a smaller probability than this, and explains its bytes less well than even odds
+#: among the known languages do, is in no known language. The probability alone is small for any short text.
 MIN_LANGUAGE_SCORE = 0.5
+MIN_LANGUAGE_LIFT = 1.0
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and those in no known language; a missing lang is filled in."""
-    out = langid.predict(docs, langid.train(docs)).filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    out = langid.predict(docs, langid.train(docs), "lang_lift")
+    known = (F.col("score") >= MIN_LANGUAGE_SCORE) | (F.col("lang_lift") >= MIN_LANGUAGE_LIFT)
+    out = out.filter((F.col("lang_pred") != langid.UNKNOWN) & known)
     return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

@@ -34,6 +34,12 @@ def _sigmoid(x):
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _pooled(total: np.ndarray) -> np.ndarray:
+    """Neighbouring positions say much the same, so EVIDENCE bytes count as one independent opinion."""
+    q = np.exp((total - total.max(axis=1, keepdims=True)) / EVIDENCE)
+    return q / q.sum(axis=1, keepdims=True)
+
+
 class BiGru:
     """Parameters by name: for d in f, b the tables Ed (256 x 3H) and weights Ud (H x 3H); W (2H x K), c (K)."""
 
@@ -166,11 +172,8 @@ class BiGru:
                     out[:m] += q
         return out
 
-    def pool(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """texts x labels: probabilities from the mean log probability of a text's positions, sharpened by its length.
-
-        Neighbouring positions say much the same, so EVIDENCE bytes count as one independent opinion.
-        """
+    def totals(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """texts x labels: the log probabilities of a text's positions, summed."""
         n = np.diff(offsets)
         parts = -(-n // SPAN)
         doc = np.repeat(np.arange(len(n)), parts)
@@ -184,9 +187,11 @@ class BiGru:
             size = hi[at] - lo[at]
             grid = np.minimum(lo[at][None, :] + np.arange(size[0])[:, None], len(data) - 1)
             np.add.at(total, doc[at], self.label_windows(data[grid], size, begin[at] - lo[at], end[at] - lo[at]))
-        total /= EVIDENCE
-        q = np.exp(total - total.max(axis=1, keepdims=True))
-        return q / q.sum(axis=1, keepdims=True)
+        return total
+
+    def pool(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """texts x labels: probabilities from the mean log probability of a text's positions, sharpened by its length."""
+        return _pooled(self.totals(data, offsets))
 
 
 def _draw(batches):
@@ -235,34 +240,39 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _predict(model: BiGru | None):
+def _predict(model: BiGru | None, lift: str | None):
+    new = {"lang_pred": pa.string(), "score": pa.float64()} | ({lift: pa.float64()} if lift else {})
+
     def run(batches):
         for b in batches:
             data, offsets = byte_view(b.column("text"))
             n = len(offsets) - 1
-            lang, score = np.full(n, UNKNOWN, object), np.zeros(n)
+            lang, score, over = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n)
             if model and n:
                 for a, z in chunks(offsets):
                     at = np.flatnonzero(has_letter(data[offsets[a]:offsets[z]], offsets[a:z + 1] - offsets[a])) + a
                     if len(at):
-                        q = model.pool(data[offsets[a]:offsets[z]], offsets[a:z + 1] - offsets[a])[at - a]
-                        best = q.argmax(axis=1)
+                        total = model.totals(data[offsets[a]:offsets[z]], offsets[a:z + 1] - offsets[a])[at - a]
+                        best, q = total.argmax(axis=1), _pooled(total)
                         lang[at], score[at] = np.array(model.labels, object)[best], q[np.arange(len(at)), best]
-            keep = [i for i, c in enumerate(b.schema.names) if c not in ("lang_pred", "score")]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(lang.tolist(), pa.string()), pa.array(score, pa.float64())],
-                                             names=[*(b.schema.names[i] for i in keep), "lang_pred", "score"])
+                        over[at] = np.exp(total.max(axis=1) / np.diff(offsets)[at]) * len(model.labels)
+            keep = [i for i, c in enumerate(b.schema.names) if c not in new]
+            made = [pa.array(v.tolist(), t) for v, t in zip((lang, score, over), new.values())]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), *made], names=[*(b.schema.names[i] for i in keep), *new])
     return run
 
 
-def predict(docs: DataFrame, model: BiGru | None) -> DataFrame:
+def predict(docs: DataFrame, model: BiGru | None, lift: str | None = None) -> DataFrame:
     """Every row of docs with lang_pred and score (the pooled probability of that language, 0 to 1).
 
     A null text, one without letters, or any text if there is no model is `und` with score 0. Columns lang_pred and
     score of docs are replaced; others are kept and not looked at. Repeated rows get the same answer.
+    The column named by lift, if any, gets the geometric mean, over the text's bytes, of that language's probability as a multiple of
+    an even share among the known ones. Other than score it doesn't sink with the length; `und` has 0.
     """
-    own = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    own = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", lift)]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
-    return docs.select(*own).mapInArrow(_predict(model), f"{schema}, lang_pred string, score double")
+    return docs.select(*own).mapInArrow(_predict(model, lift), f"{schema}, lang_pred string, score double" + (f", {lift} double" if lift else ""))
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:

@@ -91,6 +91,24 @@ def test_language(spark, odd, none):
     assert langid.identify(none).count() == 0 and langid.identify(odd).count() == 11
 
 
+def test_short_clean_texts_stay(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    short = {"en": ["A.", "The.", "This.", "In. The."], "fr": ["De.", "Avec.", "Pour la."], "de": ["Von.", "Die.", "Die tz."], "es": ["Los.", "Para.", "Para la."]}
+    rows = [(10**9 + i, t, k, "s", len(t)) for i, (k, t) in enumerate((k, t) for k, ts in short.items() for t in ts)]
+    more = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select(*docs.columns)
+    more = more.select(*(more[c].cast(t) for c, t in docs.dtypes))
+    model = langid.train(docs)
+    monkeypatch.setattr(langid, "train", lambda d: model)
+    stay = {r.text for r in corpus_pipeline.identify_language(spark, more, "").collect()}
+    assert stay == {r[1] for r in rows}
+    assert any(r.score < corpus_pipeline.MIN_LANGUAGE_SCORE for r in langid.predict(more, model).collect())
+
+    made = spark.createDataFrame([(1, "en", 0.4, 1.2), (2, "en", 0.4, 0.9), (3, "en", 0.9, 0.5), (4, "und", 0.0, 0.0)], "doc_id long, lang_pred string, score double, lang_lift double")
+    monkeypatch.setattr(langid, "predict", lambda d, m, lift: d.join(made, "doc_id"))
+    some = spark.createDataFrame([(i, "en") for i in range(1, 5)], "doc_id long, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, some, "").collect()) == [1, 3]
+
+
 def test_classifiers(spark, odd, none):
     labels = spark.createDataFrame([(5, 1, 1), (8, 0, 0), (None, 1, 1), (7, None, 2), (4, 0, 0), (4, 1, 1)], "doc_id long, quality int, toxic int")
     for f in (toxicity.toxicity, quality.quality):
