@@ -93,7 +93,7 @@ def line_key(line: bytes) -> bytes:
 
 def _keys(text):
     """JVM side of line_key: the array of distinct (h1, h2) of the lines of a text whose key isn't too short."""
-    key = lambda x: F.translate(F.regexp_replace(x, "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", ""), UPPER, LOWER)
+    key = lambda x: F.translate(F.regexp_replace(x, "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+\\z", ""), UPPER, LOWER)
     return F.transform(F.split(text, "\n", -1), key)
 
 

@@ -43,6 +43,15 @@ def test_lines(odd, none):
     assert lines.drop_lines(none).count() == 0
 
 
+def test_lines_that_end_in_a_unicode_line_break(spark):
+    ends = (" \u2028", "\u2028", " \u0085", " \u2029", " ")
+    shared = [f"a line that many share{e}" for e in ends]
+    docs = spark.createDataFrame([(i, f"own line number {i}\n{shared[i % 5]}") for i in range(18)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_dropped, r.kept_text) for r in lines.drop_lines(docs, min_docs=4).collect()}
+    # ends 0 to 2 are in four documents each, 3 and 4 in three
+    assert got == {i: (1, f"own line number {i}") if i % 5 < 3 else (0, f"own line number {i}\n{shared[i % 5]}") for i in range(18)}
+
+
 def test_near(odd, none):
     got = near.near_duplicates(odd)
     rows = sorted((r.doc_id, r.group_id, r.kept) for r in got.collect() if r.doc_id is not None)
