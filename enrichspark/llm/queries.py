@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from enrichspark.llm import decontaminate, embeddings, langid, lines, near, packing, quality, repeats, toxicity, warc
+from enrichspark.llm import decontaminate, embeddings, langid, lines, near, packing, pieces, quality, repeats, toxicity, warc
 from enrichspark.llm.common import table
 
 
@@ -86,5 +86,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op10_toxicity": op10_toxicity, "op9_minhash": op9_minhash, "op1_decontamination": op1_decontamination, "op2_packing": op2_packing, "op3_embedding_dedup": op3_embedding_dedup, "op4_repeats": op4_repeats, "op5_language_id": op5_language_id, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_line_dedup": op8_line_dedup}
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents")).drop("same")
+
+
+QUERIES = {"op10_toxicity": op10_toxicity, "op9_minhash": op9_minhash, "op1_decontamination": op1_decontamination, "op2_packing": op2_packing, "op3_embedding_dedup": op3_embedding_dedup, "op4_repeats": op4_repeats, "op5_language_id": op5_language_id, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_line_dedup": op8_line_dedup, "op11_sentencepiece": op11_sentencepiece}
 ORACLES = {"op3_embedding_dedup": OP3_SQL, "op7_warc": OP7_SQL, "op8_line_dedup": OP8_SQL}

@@ -4,13 +4,14 @@ import collections
 import glob
 import hashlib
 import os
+import random
 import zlib
 
 import corpus_pipeline
 import duckdb
 import numpy as np
 import pytest
-from enrichspark.llm import decontaminate, langid, near, quality, queries, repeats, toxicity
+from enrichspark.llm import decontaminate, langid, near, pieces, quality, queries, repeats, toxicity
 from enrichspark.llm.lines import PerfectHash
 from enrichspark.llm.packing import CAPACITY, class_sizes, cuts, solve
 
@@ -334,3 +335,55 @@ def test_pipeline_against_brute_force(spark, texts):
     assert set(four) == {d for d, t in three.items() if not m.find(t)}
     last = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in last.select("doc_id").distinct().collect()} == set(four)
+
+
+# -- SentencePiece
+@pytest.fixture(scope="module")
+def library():
+    import public_tokenizers
+    import sentencepiece
+    return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def test_pieces_against_library(library):
+    model, rng = pieces.load(), random.Random(5)
+    vocabulary = [p.replace(pieces.SPACE, " ") for p in model.ids]
+    kinds = ["ab ", "aaaa  ", "the in er", " \n\tx", "▁ a", "éñ漢字 ", "abcdefghijklmnopqrstuvwxyz     ", "ααβ 😀\u0000", "0123 .,-=()[]{}<>_/'\""]
+    for k in range(6000):
+        alphabet = rng.choice([*kinds, "".join(kinds)])
+        text = "".join(rng.choice(vocabulary if k % 4 == 0 else alphabet) for _ in range(rng.randrange(40)))
+        ids = library.encode(text)
+        assert model.encode(text) == ids and model.decode(ids) == library.decode(ids)
+        ids = [rng.randrange(32000) if rng.random() < 0.4 else rng.randrange(270) for _ in range(rng.randrange(9))]
+        assert model.decode(ids) == library.decode(ids)
+    for text in ("", " ", "x" * 30_000, " " * 5000, "ab" * 20_000, "\n" * 3000, "<s></s><0x41>"):
+        assert model.encode(text) == library.encode(text)
+
+
+def test_pair_rule_against_merging():
+    model, rng = pieces.load(), random.Random(7)
+    known = list(model.rank)
+    for _ in range(4000):
+        u, v = rng.choice(known[:3000]), rng.choice(known[:3000])
+        want = model._merge(model.pieces[u] + model.pieces[v])[0] == [model.pieces[u], model.pieces[v]]
+        alone = all(model._merge(model.pieces[i])[0] == [model.pieces[i]] for i in (u, v))
+        assert not alone or model.may_follow(u, v) == want
+
+
+def test_sentencepiece_against_library(spark, texts, library):
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    rows = queries.op11_sentencepiece(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = library.encode(texts[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)))
+
+
+def test_sentencepiece_edges(spark):
+    rows = [(1, None, "a"), (1, None, "a"), (2, "", None), (None, "x  y\n", "b"), (3, "▁a b", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    out = pieces.round_trip(docs, ("doc_id", "ids")).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.same) for r in out) == [("1", 0, True), ("1", 0, True), ("2", 0, True), ("3", 3, False), ("None", 4, True)]
+    back = pieces.decode(pieces.encode(docs.filter("doc_id is null or doc_id = 2"))).collect()
+    assert sorted((str(r.doc_id), r.text) for r in back) == [("2", ""), ("None", "x  y\n")]
+    assert pieces.round_trip(docs.limit(0)).count() == 0
