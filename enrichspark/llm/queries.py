@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from enrichspark.llm import decontaminate, embeddings, langid, lines, near, packing, pieces, quality, repeats, toxicity, warc
+from enrichspark.llm import decontaminate, embeddings, langid, lines, near, packing, pieces, quality, repeats, search, toxicity, warc
 from enrichspark.llm.common import table
 
 
@@ -90,5 +90,26 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents")).drop("same")
 
 
-QUERIES = {"op10_toxicity": op10_toxicity, "op9_minhash": op9_minhash, "op1_decontamination": op1_decontamination, "op2_packing": op2_packing, "op3_embedding_dedup": op3_embedding_dedup, "op4_repeats": op4_repeats, "op5_language_id": op5_language_id, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_line_dedup": op8_line_dedup, "op11_sentencepiece": op11_sentencepiece}
-ORACLES = {"op3_embedding_dedup": OP3_SQL, "op7_warc": OP7_SQL, "op8_line_dedup": OP8_SQL}
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH fold AS (
+  SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS term),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), up, low), term) AS ts FROM documents, fold),
+g AS (SELECT count(*) FILTER (len(ts) > 0) AS n, CAST(sum(len(ts)) AS BIGINT) AS l FROM d),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), up, low), term)) AS t FROM benchmark, fold),
+q AS (SELECT item_id, t, count(*) AS qtf FROM i GROUP BY item_id, t),
+u AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS t FROM d),
+p AS (SELECT doc_id, n, t, count(*) AS tf FROM u WHERE t IN (SELECT t FROM q) GROUP BY doc_id, n, t),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(g.n) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, g GROUP BY t),
+s AS (SELECT item_id, doc_id, CAST(sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * p.n * g.n) // g.l)))) AS BIGINT) AS score
+  FROM q JOIN p USING (t) JOIN w USING (t), g GROUP BY item_id, doc_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+QUERIES = {"op10_toxicity": op10_toxicity, "op9_minhash": op9_minhash, "op1_decontamination": op1_decontamination, "op2_packing": op2_packing, "op3_embedding_dedup": op3_embedding_dedup, "op4_repeats": op4_repeats, "op5_language_id": op5_language_id, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_line_dedup": op8_line_dedup, "op11_sentencepiece": op11_sentencepiece, "op13_lexical_search": op13_lexical_search}
+ORACLES = {"op3_embedding_dedup": OP3_SQL, "op7_warc": OP7_SQL, "op8_line_dedup": OP8_SQL, "op13_lexical_search": OP13_SQL}
