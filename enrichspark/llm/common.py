@@ -79,8 +79,27 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("connected components did not settle")
 
 
-def packed(a: np.ndarray) -> bytes:
-    return np.ascontiguousarray(a).tobytes()
+def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of non-negative numbers, seven bits a byte, the last byte of each below 128."""
+    size = np.ones(len(values), np.int64)
+    for k in range(1, 10):
+        size += values >= 1 << 7 * k if k < 9 else 0
+    off = np.r_[0, np.cumsum(size)]
+    out = np.empty(off[-1], np.uint8)
+    for k in range(int(size.max(initial=0))):
+        has = size > k
+        out[off[:-1][has] + k] = (values[has] >> 7 * k & 127) | np.where(size[has] > k + 1, 128, 0)
+    return out, off
+
+
+def unpack(raw: np.ndarray) -> np.ndarray:
+    """The numbers that pack wrote."""
+    if not len(raw):
+        return np.zeros(0, np.int64)
+    end = np.flatnonzero(raw < 128)
+    start = np.r_[0, end[:-1] + 1]
+    place = np.arange(len(raw)) - np.repeat(start, end - start + 1)
+    return np.add.reduceat((raw & 127).astype(np.int64) << 7 * place, start)
 
 
 def partitions_for(df: DataFrame, column: str = "text", target: int = 4 << 20) -> tuple[int, int]:
@@ -89,4 +108,4 @@ def partitions_for(df: DataFrame, column: str = "text", target: int = 4 << 20) -
     return int(r.n), max(1, -(-int(r.b or 0) // target))
 
 
-__all__ = ["Column", "byte_view", "chunks", "components", "held_out", "materialize", "packed", "partitions_for", "table", "text_key"]
+__all__ = ["Column", "byte_view", "chunks", "components", "held_out", "materialize", "pack", "partitions_for", "table", "text_key", "unpack"]

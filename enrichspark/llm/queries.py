@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from enrichspark.llm import decontaminate, embeddings, langid, lines, near, packing, pieces, quality, repeats, search, toxicity, warc
+from enrichspark.llm import align, decontaminate, embeddings, langid, lines, near, packing, pieces, quality, repeats, search, toxicity, warc
 from enrichspark.llm.common import table
 
 
@@ -90,6 +90,10 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents")).drop("same")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -111,5 +115,5 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 """
 
 
-QUERIES = {"op10_toxicity": op10_toxicity, "op9_minhash": op9_minhash, "op1_decontamination": op1_decontamination, "op2_packing": op2_packing, "op3_embedding_dedup": op3_embedding_dedup, "op4_repeats": op4_repeats, "op5_language_id": op5_language_id, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_line_dedup": op8_line_dedup, "op11_sentencepiece": op11_sentencepiece, "op13_lexical_search": op13_lexical_search}
+QUERIES = {"op10_toxicity": op10_toxicity, "op9_minhash": op9_minhash, "op1_decontamination": op1_decontamination, "op2_packing": op2_packing, "op3_embedding_dedup": op3_embedding_dedup, "op4_repeats": op4_repeats, "op5_language_id": op5_language_id, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_line_dedup": op8_line_dedup, "op11_sentencepiece": op11_sentencepiece, "op12_alignment": op12_alignment, "op13_lexical_search": op13_lexical_search}
 ORACLES = {"op3_embedding_dedup": OP3_SQL, "op7_warc": OP7_SQL, "op8_line_dedup": OP8_SQL, "op13_lexical_search": OP13_SQL}

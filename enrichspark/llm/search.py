@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from enrichspark.llm.common import partitions_for
+from enrichspark.llm.common import pack, partitions_for, unpack
 from enrichspark.session import materialize
 
 TOP = 10
@@ -41,26 +41,6 @@ def terms_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(FOLD).split()
 
 
-def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of non-negative numbers, seven bits a byte, the last byte of each below 128."""
-    size = np.ones(len(values), np.int64)
-    for k in range(1, 10):
-        size += values >= 1 << 7 * k if k < 9 else 0
-    off = np.r_[0, np.cumsum(size)]
-    out = np.empty(off[-1], np.uint8)
-    for k in range(int(size.max(initial=0))):
-        has = size > k
-        out[off[:-1][has] + k] = (values[has] >> 7 * k & 127) | np.where(size[has] > k + 1, 128, 0)
-    return out, off
-
-
-def unpack(raw: np.ndarray) -> np.ndarray:
-    end = np.flatnonzero(raw < 128)
-    start = np.r_[0, end[:-1] + 1]
-    place = np.arange(len(raw)) - np.repeat(start, end - start + 1)
-    return np.add.reduceat((raw & 127).astype(np.int64) << 7 * place, start)
-
-
 class _Names(dict):
     def __missing__(self, term: bytes) -> int:
         n = self[term] = len(self)
