@@ -9,6 +9,7 @@ pairs; per bucket and vector one row leaves the task. Large buckets are split in
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,14 +42,11 @@ def planes(dim: int, bits: int, tables: int, seed: int = SEED) -> np.ndarray:
 
 
 def _matrix(column: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows x dim, usable): a vector of another length, with null or non-finite components, or of length zero isn't usable."""
-    out, ok = np.zeros((len(column), dim)), np.zeros(len(column), bool)
+    """(rows x dim, usable) of vectors of length dim: one with null or non-finite components, or of length zero, isn't usable."""
+    out = np.zeros((len(column), dim))
     for i, v in enumerate(column):
-        if v is not None and len(v) == dim:
-            x = np.array([math.nan if e is None else e for e in v], np.float64) if v.dtype == object else v.astype(np.float64)
-            out[i] = x
-            ok[i] = np.isfinite(x).all() and x.any()
-    return out, ok
+        out[i] = np.array([math.nan if e is None else e for e in v], np.float64) if v.dtype == object else v
+    return out, np.isfinite(out).all(axis=1) & out.any(axis=1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -56,19 +54,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _sign(dim: int, bits: int, tables: int, kind: str):
+def _sign(bits: int, tables: int, kind: str):
     weights = 1 << np.arange(bits)
-
     def run(batches):
-        w = planes(dim, bits, tables)
+        drawn = lru_cache(maxsize=4)(planes)  # a width has planes of its own
         for pdf in batches:
-            x, ok = _matrix(pdf["embedding"], dim)
-            pdf = pdf[ok]
-            if not len(pdf):
-                continue
-            s = ((_unit(x[ok]) @ w > 0).reshape(len(pdf), tables, bits) @ weights).astype(np.int32)
-            yield pd.DataFrame({"label": pdf["label"], "vec_id": pdf["vec_id"], "embedding": [(v + 0.0).astype(kind).tobytes() for v in x[ok]],
-                                "sigs": [r.tobytes() for r in s]})
+            for dim, rows in pdf.groupby("dim"):
+                x, ok = _matrix(rows["embedding"], int(dim))
+                rows = rows[ok]
+                if not len(rows):
+                    continue
+                s = ((_unit(x[ok]) @ drawn(int(dim), bits, tables) > 0).reshape(len(rows), tables, bits) @ weights).astype(np.int32)
+                yield pd.DataFrame({"label": rows["label"], "dim": rows["dim"], "vec_id": rows["vec_id"],
+                                    "embedding": [(v + 0.0).astype(kind).tobytes() for v in x[ok]], "sigs": [r.tobytes() for r in s]})
     return run
 
 
@@ -119,64 +117,65 @@ def _links(cosine: float, kind: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bucket", kind="stable")
         bucket, t = pdf["bucket"].to_numpy(), pdf["t"].to_numpy()
-        x = _unit(np.stack([np.frombuffer(b, kind) for b in pdf["embedding"]]).astype(np.float64))
+        vectors = pdf["embedding"].to_numpy()
         sigs = np.stack([np.frombuffer(b, np.int32) for b in pdf["sigs"]])
         ids, side, weight = pdf["vec_id"].to_numpy(np.int64), pdf["side"].to_numpy(), pdf["copies"].to_numpy(np.int64)
-        n, to = np.zeros(len(x), np.int64), ids.copy()
+        n, to = np.zeros(len(ids), np.int64), ids.copy()
         cut = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
         for a, b in zip(cut, cut[1:]):
             if b - a > 1:
-                n[a:b], to[a:b] = _tile_links(x[a:b], sigs[a:b], ids[a:b], side[a:b], weight[a:b], int(t[a]), cosine)
+                x = _unit(np.stack([np.frombuffer(v, kind) for v in vectors[a:b]]).astype(np.float64))  # a bucket has one width
+                n[a:b], to[a:b] = _tile_links(x, sigs[a:b], ids[a:b], side[a:b], weight[a:b], int(t[a]), cosine)
         keep = n > 0
-        return pd.DataFrame({"vec_id": ids[keep], "n": n[keep], "to": to[keep]})
+        return pd.DataFrame({"cid": pdf["cid"].to_numpy()[keep], "vec_id": ids[keep], "n": n[keep], "to": to[keep]})
     return run
 
 
 def dedup(vectors: DataFrame, cosine: float = MIN_COSINE, miss: float = MISS, tile: int = TILE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors(vec_id, embedding, label).
 
-    Vectors link if their labels are equal and not null and their cosine in double precision is at least cosine.
-    A vector that is null, zero, of another length than most, or that holds a null or non-finite component links with nothing; so does a
+    Vectors link if their labels are equal and not null and their cosine in double precision is at least cosine; vectors of
+    different lengths don't. A vector that is null or zero, or that holds a null or non-finite component, links with nothing; so does a
     row without id, whose component_id is null and which is kept. Rows that repeat an id with the same vector and label count as one
-    vector; an id with several vectors is linked through each of them. Equal vectors are compared once and counted as
+    vector; an id with several vectors, or with one under several labels, is linked through each of them. Equal vectors are compared once and counted as
     often as they occur. Extra columns are ignored; an empty table gives no row.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label"))
     kind = "f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "f8"
-    sized = rows.filter("vec_id is not null and label is not null and embedding is not null and size(embedding) > 0")
-    by_dim = sized.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if by_dim is None:
+    sized = (rows.filter("vec_id is not null and label is not null and embedding is not null and size(embedding) > 0")
+             .withColumn("dim", F.size("embedding")))
+    largest = sized.groupBy("label", "dim").count().agg(F.max("count")).first()[0]
+    if largest is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    largest = sized.groupBy("label").count().agg(F.max("count")).first()[0]
     bits, tables = plan(largest, cosine, miss)
 
-    # equal vectors of a label: the smallest id stands for all, with their number
-    sketch = materialize(sized.mapInPandas(_sign(by_dim.dim, bits, tables, kind), "label string, vec_id long, embedding binary, sigs binary"), "vectors")
-    key = [F.col("label"), F.xxhash64("embedding").alias("e1"), F.xxhash64(F.lit(1), "embedding").alias("e2")]
+    # equal vectors of a label are a class with an id of its own; the smallest vec_id stands for it, with their number
+    sketch = materialize(sized.mapInPandas(_sign(bits, tables, kind), "label string, dim int, vec_id long, embedding binary, sigs binary"), "vectors")
+    same = ["label", "dim", "e1", "e2"]
+    key = ["label", "dim", F.xxhash64("embedding").alias("e1"), F.xxhash64(F.lit(1), "embedding").alias("e2")]
     named = sketch.select(*key, "vec_id").distinct()
-    classes = materialize(named.groupBy("label", "e1", "e2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    member = named.join(classes, ["label", "e1", "e2"]).select("vec_id", "rep", "copies")
-    reps = (sketch.select(*key, "vec_id", "embedding", "sigs").dropDuplicates(["label", "e1", "e2", "vec_id"])
-            .join(classes.withColumnRenamed("rep", "vec_id"), ["label", "e1", "e2", "vec_id"])
-            .select("label", "vec_id", "embedding", "sigs", "copies"))
+    classes = materialize(named.groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+                          .withColumn("cid", F.monotonically_increasing_id()), "classes")
+    member = named.join(classes, same).select("vec_id", "rep", "cid", "copies")
+    reps = (sketch.select(*key, F.col("vec_id").alias("rep"), "embedding", "sigs").join(classes, [*same, "rep"]).dropDuplicates(["cid"])
+            .select("label", "dim", "cid", F.col("rep").alias("vec_id"), "embedding", "sigs", "copies"))
     reps = materialize(reps, "reps")
 
     # one entry per vector and table; buckets larger than a tile become pairs of tiles
-    bucket = ["label", "t", "sig"]
-    entries = (reps.select("label", "vec_id", F.expr(f"explode(sequence(0, {tables - 1}))").alias("t"), "sigs")
+    bucket = ["label", "dim", "t", "sig"]
+    entries = (reps.select("label", "dim", "cid", F.expr(f"explode(sequence(0, {tables - 1}))").alias("t"), "sigs")
                .withColumn("sig", F.xxhash64(F.expr("substring(sigs, t * 4 + 1, 4)"))).drop("sigs"))
     size = entries.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
-    placed = entries.join(size, bucket).withColumn("a", F.pmod(F.xxhash64("vec_id", "t"), F.col("tiles")).cast("int"))
+    placed = entries.join(size, bucket).withColumn("a", F.pmod(F.xxhash64("cid", "t"), F.col("tiles")).cast("int"))
     meet = placed.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        F.xxhash64(*bucket, F.least("a", "b"), F.greatest("a", "b")).alias("bucket"), "t", "vec_id",
+        F.xxhash64(*bucket, F.least("a", "b"), F.greatest("a", "b")).alias("bucket"), "t", "cid",
         F.when(F.col("a") == F.col("b"), 0).when(F.col("a") < F.col("b"), 1).otherwise(2).alias("side"))  # a pair with an empty tile isn't a tile alone
     meet = materialize(meet, "meet")
     groups = max(64, -(-meet.count() // GROUP))
-    links = materialize(meet.join(reps.drop("label"), "vec_id").groupBy(F.pmod("bucket", F.lit(groups)).alias("g"))
-                        .applyInPandas(_links(cosine, kind), "vec_id long, n long, to long"), "links")
-    degree = links.groupBy("vec_id").agg(F.sum("n").alias("n")).withColumnRenamed("vec_id", "rep")
-    per_id = (member.join(degree, "rep", "left")
+    links = materialize(meet.join(reps.drop("label", "dim"), "cid").groupBy(F.pmod("bucket", F.lit(groups)).alias("g"))
+                        .applyInPandas(_links(cosine, kind), "cid long, vec_id long, n long, to long"), "links")
+    degree = links.groupBy("cid").agg(F.sum("n").alias("n"))
+    per_id = (member.join(degree, "cid", "left")
               .select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n")).groupBy("vec_id").agg(F.sum("n").alias("n_links")))
     edges = links.selectExpr("vec_id a", "to b").unionByName(member.selectExpr("vec_id a", "rep b")).filter("a <> b")
     comp = components(edges).withColumnsRenamed({"node": "vec_id", "component": "component_id"})

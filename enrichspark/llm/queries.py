@@ -24,10 +24,10 @@ OP3_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND isfinite(list_sum(embedding))
-    AND list_max(embedding) > list_min(embedding)),
+    AND (list_max(embedding) <> 0 OR list_min(embedding) <> 0)),
 p AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
-  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.93 END),
 r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
 c AS (SELECT a, least(min(b), a) AS c FROM r GROUP BY a),
 n AS (SELECT a, count(*) AS n FROM p GROUP BY a)

@@ -1,5 +1,6 @@
 """Every operator and stage on nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
+import math
 import hashlib
 import zlib
 
@@ -240,3 +241,22 @@ def test_stages_keep_columns(spark, odd, none, tmp_path):
 def test_held_out_matches_crc(odd):
     for r in toxicity.score(odd, None).collect():
         assert r.held_out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 3 == 1)
+
+
+def test_embedding_classes_keep_labels_apart(spark):
+    """An id under two labels brings only its own vector into a label; widths have links of their own."""
+    at = lambda deg: [math.cos(math.radians(deg)), math.sin(math.radians(deg))]
+    rows = [(1, at(0), 0), (1, at(15), 1), (2, at(30), 0), (3, at(200), 0)]
+    schema = "vec_id long, embedding array<double>, label int"
+    got = embeddings.dedup(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 0, 1, True), (1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True)]
+    wide = [(i, [*at(40 * (i % 5)), 0.0], i % 2) for i in range(10, 40)] + [(90, [5.0, 5.0, 5.0], 0), (91, [5.0, 5.0, 5.0], 0), (92, [0.0, 0.0, 0.0], 0)]
+    narrow = [(i, at(25 * i), i % 2) for i in range(40, 60)]
+    rows = [*wide, *narrow]
+    want = {}
+    for i, x, k in rows:
+        near = [j for j, y, m in rows if j != i and m == k and len(x) == len(y) and any(x) and any(y)
+                and np.dot(x, y) >= 0.93 * np.linalg.norm(x) * np.linalg.norm(y)]
+        want[i] = len(near)
+    for tile in (4, 512):
+        assert {r.vec_id: r.n_links for r in embeddings.dedup(spark.createDataFrame(rows, schema), tile=tile).collect()} == want
