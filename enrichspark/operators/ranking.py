@@ -38,6 +38,21 @@ def significant_rank(rows: DataFrame, p: str, alpha: float = 0.05, keys: list[st
     return rows.filter(F.col(p) < alpha).withColumn("rank", F.row_number().over(w))
 
 
+def significant_terms(rows: DataFrame, version: str, alpha: float = 0.05) -> DataFrame:
+    """The rows that count as significant under a scoring version, with the basis of the decision.
+
+    Over-representation (v1, v2) goes by the corrected p, the statistics against baselines (v3, v4) by q of tested terms; other versions
+    give no test, so that every ranked row counts.
+    """
+    if version in ("v1", "v2"):
+        keep, basis = F.col("significant"), f"p_gscs < {alpha}"
+    elif version in ("v3", "v4"):
+        keep, basis = F.col("tested") & (F.round("q", 9) < alpha), f"q < {alpha}"
+    else:
+        keep, basis = F.lit(True), "none"
+    return rows.filter(keep).withColumn("basis", F.lit(basis))
+
+
 def top_effects(rows: DataFrame, n_enriched: int = 8, n_depleted: int = 5) -> DataFrame:
     """The strongest enriched and depleted features of each gene by absolute excess."""
     side = F.when(F.col("excess") > 0, "enriched").otherwise("depleted")

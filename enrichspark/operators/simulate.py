@@ -1,68 +1,110 @@
-"""Set-counts-and-sizes correction: the null distribution of the smallest p over random item sets."""
+"""Set-counts-and-sizes correction: the null distribution of the smallest p over random item sets.
+
+All sets of items are bit masks over the item grid of a unit. A simulation is one random order of all items, kept as the masks of its
+prefixes; whatever a universe holds, its first n items are the shortest prefix with n bits of it, found by counting bits
+of log2(grid) prefixes, and a term's overlap is one more count. A universe thus costs a mask, not an order of its own.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from enrichspark.functions.draws import hash32
 from enrichspark.functions.exact import hypergeometric_tail
-from enrichspark.session import spread
+from enrichspark.session import materialize, spread
 
+#: Simulations whose orders share a row.
+CHUNK = 50
 
-def universes(units: DataFrame, carriers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gene, universe, n) and (universe, item, ct): genes called for the same items share one universe.
 
-    units holds one unit of analysis. The key is a hash of the sorted items of a gene, whose
-    number is bounded by the item grid.
-    """
-    called = units.filter(F.col("value").isNotNull()).join(carriers.select("ct").distinct(), "ct", "left_semi")
-    per_gene = called.groupBy("gene").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("universe"),
-        F.array_sort(F.collect_list(F.struct("item", "ct"))).alias("items"), F.count_if(F.col("value") == 1).alias("n"))
-    items = (per_gene.groupBy("universe").agg(F.any_value("items").alias("items"))
-             .select("universe", F.explode("items").alias("x")).select("universe", "x.item", "x.ct"))
-    return per_gene.select("gene", "universe", "n"), items
+def item_grid(units: DataFrame, carriers: DataFrame) -> DataFrame:
+    """(unit, item, ct, bit): annotated items with their bit, numbered within the unit in the order of items."""
+    items = units.join(carriers.select("ct").distinct(), "ct", "left_semi").select("unit", "item", "ct").distinct()
+    return materialize(items.withColumn("bit", F.row_number().over(Window.partitionBy("unit").orderBy("item")) - 1), "grid")
+
+
+def _mask(words: int, over: Window | None = None) -> Column:
+    """The rows' bits as an array of 64-bit words: an aggregate, or a running one over a window."""
+    own = F.expr("shiftleft(1L, bit % 64)")
+    parts = [F.bit_or(F.when(F.expr(f"bit div 64 = {w}"), own)) for w in range(words)]
+    return F.array(*[F.coalesce(p.over(over) if over is not None else p, F.lit(0).cast("long")) for p in parts])
+
+
+def _both(x: str, y: str, words: int) -> str:
+    """Bits that two masks share."""
+    return "(" + " + ".join(f"bit_count({x}[{w}] & {y}[{w}])" for w in range(words)) + ")"
+
+
+def _words(grid: DataFrame) -> tuple[int, int]:
+    last = grid.agg(F.max("bit")).first()[0]
+    return (0 if last is None else last // 64 + 1), (0 if last is None else last + 1)
+
+
+def universes(units: DataFrame, grid: DataFrame) -> DataFrame:
+    """(unit, gene, universe, n_items, n): the mask of a gene's called items, their number, and how many are positive."""
+    words, _ = _words(grid)
+    called = units.filter(F.col("value").isNotNull()).join(grid.drop("ct"), ["unit", "item"])
+    return called.groupBy("unit", "gene").agg(_mask(max(1, words)).alias("universe"), F.count("*").alias("n_items"),
+                                              F.count_if(F.col("value") == 1).alias("n"))
+
+
+def random_orders(grid: DataFrame, n_simulations: int, seed: int, words: int) -> DataFrame:
+    """(unit, chunk, orders): per simulation the masks of the first 1, 2, ... items of its random order."""
+    sims = grid.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(n_simulations))))
+    w = Window.partitionBy("unit", "sim").orderBy(hash32(seed, F.col("sim"), F.col("item")), "item")
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    prefixes = sims.select("unit", "sim", F.row_number().over(w).alias("place"), _mask(words, running).alias("mask"))
+    per_sim = (prefixes.groupBy("unit", "sim").agg(F.array_sort(F.collect_list(F.struct("place", "mask"))).alias("x"))
+               .select("unit", "sim", F.expr("transform(x, e -> e.mask)").alias("x")))
+    return (per_sim.groupBy("unit", F.expr(f"(sim - 1) div {CHUNK}").cast("int").alias("chunk"))
+            .agg(F.array_sort(F.collect_list(F.struct("sim", "x"))).alias("o"))
+            .select("unit", "chunk", F.expr("transform(o, e -> e.x)").alias("orders")))
 
 
-def null_thresholds(genes: DataFrame, items: DataFrame, carriers: DataFrame, min_term_size: int = 3,
+def null_thresholds(genes: DataFrame, grid: DataFrame, carriers: DataFrame, min_term_size: int = 3,
                     n_simulations: int = 2000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """(universe, n, threshold): alpha quantile of the smallest p over random sets of n items.
+    """(unit, universe, n, threshold): alpha quantile of the smallest p over random sets of n items of the universe.
 
-    One random order of the items per simulation serves every set size: its first n items are the set. Work
-    follows distinct (universe, n) and not genes.
+    Work follows distinct (universe, n) times simulations. The terms of a universe travel as masks with their tails of p by overlap: as
+    many as the vocabulary holds. A universe without a term of min_term_size items has no row.
     """
-    sizes = items.groupBy("universe").agg(F.count("*").alias("n_items"))
-    asked = genes.filter("n > 0").select("universe", "n").distinct()
-    terms = (items.join(carriers.select("ct", "term"), "ct").groupBy("universe", "term")
-             .agg(F.count("*").alias("term_size"), F.collect_list("item").alias("held"))
-             .filter(F.col("term_size") >= min_term_size))
-    sims = items.select("universe", "item").withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(n_simulations))))
-    w = Window.partitionBy("universe", "sim").orderBy(hash32(seed, F.col("sim"), F.col("item")), "item")
-    order = sims.withColumn("place", F.row_number().over(w))
-    members = terms.select("universe", "term", "term_size", F.explode("held").alias("item"))
-    # a term's carriers in one random order: between two of their places the overlap with the first n items is constant
-    places = (order.join(members, ["universe", "item"]).groupBy("universe", "sim", "term", "term_size")
-              .agg(F.array_sort(F.collect_list("place")).alias("places")).join(sizes, "universe")
-              .withColumn("places", F.concat(F.array(F.lit(1)), "places", F.array((F.col("n_items") + 1).cast("int"))))
-              .select("universe", "sim", "term_size", "places", F.posexplode(F.slice("places", F.lit(1), F.size("places") - 1)).alias("k", "first"))
-              .withColumn("last", F.element_at("places", F.col("k") + 2) - 1).filter("last >= first")
-              .withColumn("n", F.explode(F.sequence("first", "last"))).withColumn("n", F.col("n").cast("long"))
-              .join(asked, ["universe", "n"]).select("universe", "sim", "term_size", "n", "k"))
-    # equal counts give equal p: test each distinct combination once
-    combos = (places.select("universe", "term_size", "n", "k").distinct().join(sizes, "universe")
-              .withColumn("p", hypergeometric_tail("k", "n_items", "term_size", "n")))
-    smallest = (places.join(combos, ["universe", "term_size", "n", "k"]).groupBy("universe", "n", "sim")
-                .agg(F.min("p").alias("min_p")))
-    q = smallest.groupBy("universe", "n").agg(F.percentile("min_p", F.lit(alpha)).alias("threshold"))
+    words, most = _words(grid)
+    if not words:
+        return genes.select("unit", "universe", "n", F.lit(None).cast("double").alias("threshold")).limit(0)
+    asked = materialize(genes.filter("n > 0").select("unit", "universe", "n_items", "n").distinct(), "asked")
+    masks = grid.join(carriers.select("ct", "term").distinct(), "ct").groupBy("unit", "term").agg(_mask(words).alias("held"))
+    held = (asked.join(masks, "unit").withColumn("held", F.expr("zip_with(held, universe, (x, y) -> x & y)"))
+            .withColumn("term_size", F.expr(_both("held", "universe", words)).cast("long")).filter(F.col("term_size") >= min_term_size))
+    held = materialize(held, "held")
+    # equal counts give equal tails: one per distinct (n_items, term_size, n), indexed by the overlap
+    tails = (held.select("n_items", "term_size", "n").distinct().withColumn("k", F.explode(F.expr("sequence(0L, least(term_size, n))")))
+             .withColumn("p", hypergeometric_tail("k", "n_items", "term_size", "n")).groupBy("n_items", "term_size", "n")
+             .agg(F.array_sort(F.collect_list(F.struct("k", "p"))).alias("t")).withColumn("tail", F.expr("transform(t, e -> e.p)")).drop("t"))
+    terms = (held.join(tails, ["n_items", "term_size", "n"]).groupBy("unit", "universe", "n")
+             .agg(F.collect_list(F.struct("held", "tail")).alias("terms")))
+    orders = materialize(random_orders(grid, n_simulations, seed, words), "orders")
+    chunks = -(-n_simulations // CHUNK)
+    cases = terms.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    steps = ", ".join(str(1 << s) for s in range(most.bit_length() - 1, -1, -1))
+    # the longest prefix with fewer than n items of the universe; the next item is the n-th
+    short = (f"aggregate(array({steps}), 0, (lo, s) -> IF(lo + s <= size(o) AND "
+             f"{_both('element_at(o, least(lo + s, size(o)))', 'universe', words)} < n, lo + s, lo))")
+    smallest = f"array_min(transform(terms, t -> t.tail[{_both('first', 't.held', words)}]))"
+    per_sim = f"transform(orders, o -> element_at(transform(array(o[{short}]), first -> {smallest}), 1))"
+    found = spread(cases, "unit", "chunk", "universe", "n").join(orders, ["unit", "chunk"]).select("unit", "universe", "n", F.explode(F.expr(per_sim)).alias("min_p"))
+    q = found.groupBy("unit", "universe", "n").agg(F.percentile("min_p", F.lit(alpha)).alias("threshold"))
     tiny = 2.2250738585072014e-308  # smallest normal double, a fixed value
     return q.withColumn("threshold", F.when(F.col("threshold") > 0, F.col("threshold")).otherwise(tiny))
 
 
 def apply_thresholds(rows: DataFrame, genes: DataFrame, thresholds: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Add threshold, p_gscs, p_floor and reachable to over-representation rows."""
-    per_gene = genes.join(thresholds, ["universe", "n"], "left").select("gene", F.coalesce("threshold", F.lit(alpha)).alias("threshold"))
+    """Add threshold, p_gscs, p_floor, reachable and significant to over-representation rows."""
+    per_gene = (genes.join(thresholds, ["unit", "universe", "n"], "left")
+                .select("unit", "gene", F.coalesce("threshold", F.lit(alpha)).alias("threshold")))
     floor = hypergeometric_tail("least(term_size, query_size)", "n_background", "term_size", "query_size")
-    return (spread(rows.join(per_gene, "gene"), "gene").withColumn("p_gscs", F.least(F.lit(1.0), F.col("p") * (alpha / F.col("threshold"))))
+    return (spread(rows.join(per_gene, ["unit", "gene"]), "unit", "gene")
+            .withColumn("p_gscs", F.least(F.lit(1.0), F.col("p") * (alpha / F.col("threshold"))))
             .withColumn("p_floor", floor)
-            .withColumn("reachable", F.col("p_floor") <= F.col("threshold") * (1 + 1e-9)))
+            .withColumn("reachable", F.col("p_floor") <= F.col("threshold") * (1 + 1e-9))
+            .withColumn("significant", F.col("p") * (alpha / F.col("threshold")) < alpha * (1 - 1e-9)))

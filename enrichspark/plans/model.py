@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from enrichspark.operators import dag, enrichment, evidence, matrix, scoring
+from enrichspark.operators import dag, enrichment, evidence, matrix, scoring, simulate
 from enrichspark.operators.vocabulary import candidate_vocabulary
 from enrichspark.session import materialize
 
@@ -186,6 +186,24 @@ class Model:
     def enrich(self) -> DataFrame:
         return enrichment.over_representation(self.units, self.carriers)
 
+    # -- simulated null
+    @cached_property
+    def grid(self) -> DataFrame:
+        return simulate.item_grid(self.units, self.carriers)
+
+    @cached_property
+    def null_genes(self) -> DataFrame:
+        return materialize(simulate.universes(self.units, self.grid), "universes")
+
+    @cached_property
+    def thresholds(self) -> DataFrame:
+        return materialize(simulate.null_thresholds(self.null_genes, self.grid, self.carriers), "thresholds")
+
+    @property
+    def tested(self) -> DataFrame:
+        """The enriched rows with p_gscs and whether they are significant by it."""
+        return self.shared("tested", lambda: simulate.apply_thresholds(self.enriched, self.null_genes, self.thresholds))
+
     # -- annotations
     @cached_property
     def annotations(self) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from enrichspark.operators import annotations, coverage, enrichment, matching, matrix, profile, transfer
+from enrichspark.operators import annotations, coverage, enrichment, matching, matrix, profile, ranking, transfer
 from enrichspark.operators.vocabulary import with_every_term
 from enrichspark.plans.q_compare import universe
+from enrichspark.plans.q_stats import rank_ora
 from enrichspark.plans.q_score import assoc, chance, classify_sql, match_genes, matched, model_ceilings, predictions
 from enrichspark.plans.registry import query, rounded, stable_p
 from enrichspark.plans.sql import fragment
@@ -23,13 +24,13 @@ def _(m):
 
 
 fragment("t_assigned", """
-SELECT gene, term, rank FROM t_rank_ora JOIN (SELECT gene, term FROM t_ora WHERE unit = 'cell_types' AND round(p, 10) < 0.3) USING (gene, term)
-WHERE unit = 'cell_types'""")
+SELECT gene, term, min(rank) rank FROM t_rank_ora SEMI JOIN (SELECT * FROM t_gscs WHERE significant) USING (unit, gene, term) GROUP BY 1, 2""")
 fragment("t_assigned_match", classify_sql("SELECT gene, term FROM t_assigned", "gene"))
 
 
 def assigned(m):
-    sig = m.enriched.filter((F.col("unit") == "cell_types") & (F.round("p", 10) < 0.3)).select("gene", "term")
+    """Candidate terms significant for a gene at either unit."""
+    sig = m.tested.filter("significant").select("gene", "term").distinct().join(m.vocabulary, "term", "left_semi")
     return matching.classify(sig.join(m.truths.select("gene").distinct(), "gene", "left_semi"), m.truths, m.closed)
 
 
@@ -80,7 +81,7 @@ JOIN n x ON x.term = term_a JOIN n y ON y.term = term_b"""
 
 @query("jaccard_assigned_genes", _pairs_sql("SELECT gene, term FROM t_assigned", "gene"))
 def _(m):
-    sig = m.enriched.filter((F.col("unit") == "cell_types") & (F.round("p", 10) < 0.3)).join(m.vocabulary, "term", "left_semi")
+    sig = m.tested.filter("significant").select("gene", "term").distinct().join(m.vocabulary, "term", "left_semi")
     return rounded(profile.jaccard_pairs(sig, "gene"))
 
 
@@ -372,10 +373,10 @@ def _(m):
 
 
 @query("significance_filter", """
-SELECT unit, gene, CAST(term AS BIGINT) term, basis FROM (
-  SELECT unit, gene, term, 'p_bonferroni' basis FROM t_ora WHERE round(least(1.0, p * _m), 9) < 0.5
-  UNION ALL SELECT unit, gene, term, 'q' FROM t_corrected WHERE tested AND round(q, 9) < 0.5)""")
+SELECT 'v2' AS version, unit, gene, CAST(term AS BIGINT) term, 'p_gscs < 0.05' basis FROM t_gscs WHERE significant
+UNION ALL SELECT 'v4', unit, gene, CAST(term AS BIGINT), 'q < 0.05' FROM t_corrected WHERE tested AND round(q, 9) < 0.05
+UNION ALL SELECT 'v5', unit, gene, CAST(term AS BIGINT), 'none' FROM t_rank_ora""")
 def _(m):
-    a = m.enriched.filter(F.round("p_bonferroni", 9) < 0.5).select("unit", "gene", "term", F.lit("p_bonferroni").alias("basis"))
-    b = m.corrected.filter(F.col("tested") & (F.round("q", 9) < 0.5)).select("unit", "gene", "term", F.lit("q").alias("basis"))
-    return rounded(a.unionByName(b))
+    sources = {"v2": m.tested, "v4": m.corrected, "v5": rank_ora(m)}
+    parts = [ranking.significant_terms(df, v).select(F.lit(v).alias("version"), "unit", "gene", "term", "basis") for v, df in sources.items()]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))

@@ -74,12 +74,12 @@ def _(m):
 
 fragment("t_scores_sig", scores_sql("""
 SELECT unit, gene, term, row_number() OVER (PARTITION BY unit, gene ORDER BY rank) AS rank FROM t_rank_ora
-SEMI JOIN (SELECT unit, gene, term FROM t_ora WHERE round(p, 10) < 0.2) USING (unit, gene, term)""", "unit, gene"))
+SEMI JOIN (SELECT unit, gene, term FROM t_gscs WHERE significant) USING (unit, gene, term)""", "unit, gene"))
 
 
 @query("significant_only_score", f"SELECT unit, gene, {SCORE_COLUMNS} FROM t_scores_sig")
 def _(m):
-    sig = m.enriched.filter(F.round("p", 10) < 0.2)
+    sig = m.tested.filter("significant")
     return rounded(scoring.significant_only_score(rank_ora(m), sig, m.propagated, m.closed, m.ic, ["unit", "gene"]))
 
 

@@ -2,9 +2,11 @@
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from enrichspark.operators import matrix
+from enrichspark.plans import q_compare, q_stats, q_text  # noqa: F401  their fragments
 from enrichspark.plans.registry import query, rounded
 from enrichspark.session import shared_dir
 from enrichspark.sources import ontology, reports, tables
@@ -163,19 +165,42 @@ def _(m):
         return rounded(tables.read_keyed(m.spark, path, key))
 
 
+def _written(m, name: str, build) -> DataFrame | None:
+    """A result table after a trip through the files of a run."""
+    path = _path(m, f"results_{name}")
+    tables.write_results({name: build}, path)
+    assert tables.read_results(m.spark, path, "absent", optional=True) is None
+    return tables.read_results(m.spark, path, name)
+
+
 @query("result_tables", """
-SELECT 'terms' tbl, count(*) n FROM t_ora WHERE round(p, 10) < 0.2 UNION ALL
-SELECT 'runs', count(*) FROM e_runs WHERE status = 'COMPLETED' AND code_hash = 'h1'""")
+SELECT unit, gene, CAST(term AS BIGINT) term, term_size, hits intersection, round(p, 6) p, round(p_gscs, 6) p_gscs, significant FROM t_gscs
+WHERE significant""")
+def _(m):
+    rows = tables.significant_view(_written(m, "terms", m.tested))
+    return rounded(rows.select("unit", "gene", "term", "term_size", "intersection", "p", "p_gscs", "significant"))
+
+
+@query("result_runs", "SELECT run_id, gene, condition, status, code_hash FROM e_runs WHERE status = 'COMPLETED' AND code_hash = 'h1'")
 def _(m):
     from enrichspark.plans.q_compare import current, event_runs
-    path = _path(m, "results")
-    tables.write_results({"terms": m.enriched.withColumn("significant", F.round("p", 10) < 0.2),
-                          "runs": event_runs(m).withColumn("current_code", current())}, path)
-    assert tables.read_results(m.spark, path, "invalid", optional=True) is None
-    terms = tables.significant_view(tables.read_results(m.spark, path, "terms"))
-    runs = tables.finished_view(tables.read_results(m.spark, path, "runs"))
-    return (terms.agg(F.lit("terms").alias("tbl"), F.count("*").alias("n"))
-            .unionByName(runs.agg(F.lit("runs").alias("tbl"), F.count("*").alias("n"))))
+    runs = tables.finished_view(_written(m, "runs", event_runs(m).withColumn("current_code", current())))
+    return runs.select("run_id", "gene", "condition", "status", "code_hash")
+
+
+@query("result_predictions", """
+SELECT key, row_number() OVER (PARTITION BY key ORDER BY position) AS rank, id, written FROM n_resolved WHERE id IS NOT NULL AND NOT dup""")
+def _(m):
+    from enrichspark.plans.q_text import resolved
+    rows = _written(m, "predictions", resolved(m).filter("rank IS NOT NULL").select("key", "rank", "id", "written"))
+    return rows.select("key", F.col("rank").cast("bigint").alias("rank"), "id", "written")
+
+
+@query("result_invalid", "SELECT key, position, written FROM n_resolved WHERE id IS NULL")
+def _(m):
+    from enrichspark.plans.q_text import resolved
+    rows = _written(m, "invalid", resolved(m).filter("id IS NULL").select("key", "position", "written"))
+    return rows.select("key", F.col("position").cast("bigint").alias("position"), "written")
 
 
 @query("report_files", "SELECT condition, count(*) n FROM e_runs GROUP BY 1")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from enrichspark.functions.corrections import adjust_large
 from enrichspark.functions.exact import hypergeometric_tail
-from enrichspark.operators import enrichment, evidence, matrix, ranking, simulate
+from enrichspark.operators import enrichment, evidence, matrix, ranking
 from enrichspark.plans.registry import query, rounded, stable_p
 from enrichspark.plans.sql import bh, binomial, fisher, fragment, h32, hyper_tail
 
@@ -279,6 +279,38 @@ def _(m):
     return rounded(rows.groupBy("gene").agg(F.avg(F.coalesce("_h", F.lit(0.0))).alias("share")))
 
 
+# -- simulated null: orders of the items of each universe, ranked by hash, one by one
+N_SIM = 2000
+ALPHA = 0.05
+fragment("t_uni", """
+SELECT unit, gene, md5(string_agg(item, ',' ORDER BY item)) u, count(*) nn, count(*) FILTER (value = 1) n FROM t_called GROUP BY 1, 2""")
+fragment("t_uni_items", "SELECT DISTINCT unit, u, item, ct FROM t_called JOIN t_uni USING (unit, gene)")
+fragment("t_asked", "SELECT DISTINCT unit, u, nn, n FROM t_uni WHERE n > 0")
+fragment("t_sims", f"SELECT unnest(range(1, {N_SIM} + 1)) sim")
+fragment("t_sim_hash", f"""
+SELECT unit, item, sim, {h32('0', 'sim', 'item')} h FROM (SELECT DISTINCT unit, item FROM t_uni_items), t_sims""")
+fragment("t_sim_place", """
+SELECT unit, u, sim, ct, row_number() OVER (PARTITION BY unit, u, sim ORDER BY h, item) place
+FROM t_uni_items JOIN t_sim_hash USING (unit, item)""")
+fragment("t_uni_terms", """
+SELECT unit, u, term, count(*) size FROM t_uni_items JOIN t_carriers USING (ct) GROUP BY 1, 2, 3 HAVING count(*) >= 3""")
+fragment("t_overlap", """
+SELECT unit, u, nn, n, sim, size, k FROM (
+  SELECT unit, u, nn, n, sim, term, count(*) k FROM t_sim_place JOIN t_asked USING (unit, u) JOIN t_carriers USING (ct) WHERE place <= n
+  GROUP BY 1, 2, 3, 4, 5, 6) JOIN t_uni_terms USING (unit, u, term)""")
+fragment("t_overlap_p", f"""
+SELECT nn, n, size, k, {hyper_tail('k', 'nn', 'size', 'n')} p FROM (SELECT DISTINCT nn, n, size, k FROM t_overlap)""")
+fragment("t_thresholds", """
+SELECT unit, u, n, greatest(quantile_cont(coalesce(min_p, 1.0), 0.05), 2.2250738585072014e-308) threshold
+FROM (SELECT * FROM t_asked SEMI JOIN t_uni_terms USING (unit, u)) CROSS JOIN t_sims
+LEFT JOIN (SELECT unit, u, n, sim, min(p) min_p FROM t_overlap JOIN t_overlap_p USING (nn, n, size, k) GROUP BY 1, 2, 3, 4) USING (unit, u, n, sim)
+GROUP BY 1, 2, 3""")
+fragment("t_gscs", f"""
+SELECT o.*, coalesce(threshold, {ALPHA}) threshold, least(1.0, p * ({ALPHA} / coalesce(threshold, {ALPHA}))) p_gscs,
+  p * ({ALPHA} / coalesce(threshold, {ALPHA})) < {ALPHA} * (1 - 1e-9) significant
+FROM t_ora o JOIN t_uni USING (unit, gene) LEFT JOIN t_thresholds USING (unit, u, n)""")
+
+
 # -- rankings
 @query("rank_corrected", """
 SELECT unit, gene, CAST(term AS BIGINT) term, row_number() OVER (PARTITION BY unit, gene ORDER BY
@@ -318,50 +350,25 @@ def _(m):
 
 @query("significant_rank", """
 SELECT unit, gene, CAST(term AS BIGINT) term, row_number() OVER (PARTITION BY unit, gene ORDER BY pow(10, round(log10(CASE WHEN p < 1e-300 THEN 1e-300 ELSE p END), 9)), term) AS rank
-FROM t_ora WHERE round(p, 10) < 0.2""")
+FROM t_gscs WHERE significant""")
 def _(m):
-    rows = m.enriched.select("unit", "gene", "term", stable_p().alias("p"))
-    return rounded(ranking.significant_rank(rows, "p", 0.2, ["unit", "gene"]).drop("p"))
+    rows = m.tested.filter("significant").select("unit", "gene", "term", stable_p().alias("p"))
+    return rounded(ranking.significant_rank(rows, "p", 1.0, ["unit", "gene"]).drop("p"))
 
 
 # -- simulated null
-N_SIM = 2000
-fragment("t_sim_n", "SELECT DISTINCT query_size n FROM t_ora WHERE unit = 'cell_types'")
-fragment("t_sim_order", f"""
-SELECT sim, ct, row_number() OVER (PARTITION BY sim ORDER BY {h32('0', 'sim', 'ct')}, CAST(ct AS VARCHAR)) place
-FROM (SELECT DISTINCT ct FROM t_called WHERE unit = 'cell_types'), (SELECT unnest(range(1, {N_SIM} + 1)) sim)""")
-fragment("t_thresholds", f"""
-SELECT n, quantile_cont(min_p, 0.05) threshold FROM (
-  SELECT n, sim, min(p) min_p FROM (
-    SELECT n, sim, term, count(*) size, count(*) FILTER (place <= n) k FROM t_sim_order JOIN t_carriers USING (ct), t_sim_n
-    GROUP BY 1, 2, 3 HAVING count(*) >= 3)
-  JOIN (SELECT n, size, k, {hyper_tail('k', 'nn', 'size', 'n')} p FROM (
-          SELECT DISTINCT n, size, k, nn FROM t_sim_n, (SELECT term, count(*) size FROM t_carriers GROUP BY 1),
-            (SELECT unnest(range(0, 26)) k), (SELECT count(DISTINCT ct) nn FROM t_sim_order) WHERE k <= size)) USING (n, size, k)
-  GROUP BY 1, 2) GROUP BY 1""")
-
-
-def thresholds(m):
-    genes, items = simulate.universes(m.cell_type_units, m.carriers)
-    return genes, simulate.null_thresholds(genes, items, m.carriers, 3, N_SIM)
-
-
 @query("gscs_thresholds", """
-SELECT n, count(*) n_genes, round(any_value(threshold), 8) threshold FROM t_thresholds
-JOIN (SELECT gene, max(query_size) n FROM t_ora WHERE unit = 'cell_types' GROUP BY 1) USING (n) GROUP BY 1""")
+SELECT unit, nn n_items, n, count(*) n_genes, round(avg(threshold), 8) threshold FROM t_uni JOIN t_thresholds USING (unit, u, n) GROUP BY 1, 2, 3""")
 def _(m):
-    genes, t = thresholds(m)
-    return rounded(genes.join(t, ["universe", "n"]).groupBy("n").agg(
-        F.count("*").alias("n_genes"), F.any_value("threshold").alias("threshold")), 8)
+    rows = m.null_genes.join(m.thresholds, ["unit", "universe", "n"])
+    return rounded(rows.groupBy("unit", "n_items", "n").agg(F.count("*").alias("n_genes"), F.avg("threshold").alias("threshold")), 8)
 
 
 @query("gscs_enrichment", f"""
-SELECT gene, CAST(term AS BIGINT) term, round(least(1.0, p * (0.05 / threshold)), 6) p_gscs,
+SELECT unit, gene, CAST(term AS BIGINT) term, round(p_gscs, 6) p_gscs, significant,
   round({hyper_tail('least(term_size, query_size)', 'n_background', 'term_size', 'query_size')}, 6) p_floor,
   {hyper_tail('least(term_size, query_size)', 'n_background', 'term_size', 'query_size')} <= threshold * (1 + 1e-6) AS reachable
-FROM t_ora JOIN t_thresholds ON n = query_size WHERE unit = 'cell_types'""")
+FROM t_gscs""")
 def _(m):
-    genes, t = thresholds(m)
-    rows = simulate.apply_thresholds(m.enriched.filter("unit = 'cell_types'"), genes, t)
-    return rounded(rows.select("gene", "term", "p_gscs", "p_floor",
-                               (F.col("p_floor") <= F.col("threshold") * (1 + 1e-6)).alias("reachable")))
+    return rounded(m.tested.select("unit", "gene", "term", "p_gscs", "p_floor", "significant",
+                                   (F.col("p_floor") <= F.col("threshold") * (1 + 1e-6)).alias("reachable")))
