@@ -19,13 +19,3 @@ def mix(a: Column, b: Column) -> Column:
     x = x.bitwiseXOR(F.shiftright(x, 13))
     x = (x * 69621 + b) % 2147483647
     return x.bitwiseXOR(F.shiftright(x, 16))
-
-
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) count for a uniform integer u in [0, 2**31)."""
-    # fixed values: cumulative Poisson(1) probabilities times 2**31, rounded
-    bars = [790015084, 1580030168, 1975037710, 2106706890, 2139624185, 2146207644, 2147304887]
-    out = F.lit(len(bars))
-    for i, bar in reversed(list(enumerate(bars))):
-        out = F.when(u < bar, i).otherwise(out)
-    return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from enrichspark.functions.corrections import holm
-from enrichspark.functions.draws import hash32, mix, poisson_weight
+from enrichspark.functions.resample import boot_means
 
 
 def paired(scores: DataFrame, contrasts: DataFrame) -> DataFrame:
@@ -19,23 +19,8 @@ def paired(scores: DataFrame, contrasts: DataFrame) -> DataFrame:
     return a.join(b, ["b", "gene"]).select("contrast", "gene", (F.col("x") - F.col("y")).alias("d"))
 
 
-def boot_means(values: DataFrame, keys: list[str], value: str, unit: str, n_boot: int, seed: int) -> DataFrame:
-    """(*keys, boot, mean) of bootstrap resamples.
-
-    Each row gets a Poisson(1) count per resample, drawn from a hash of its unit. Rows are expanded in
-    place and summed before the shuffle, which then carries only keys x n_boot rows.
-    """
-    h = hash32(seed, F.col(unit)) % 2147483647
-    draws = (values.select(*keys, F.col(value).alias("_x"), h.alias("_h"))
-             .withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))))
-    b = (F.col("boot").cast("long") * 1664525) % 2147483647
-    draws = draws.withColumn("_w", poisson_weight(mix(F.col("_h"), b)))
-    return (draws.groupBy(*keys, "boot").agg((F.sum(F.col("_w") * F.col("_x")) / F.nullif(F.sum("_w"), F.lit(0))).alias("mean")))
-
-
 def interval(boots: DataFrame, keys: list[str], n_boot: int, value: str = "mean") -> DataFrame:
     """95% interval and two-sided p per key, from n_boot rows each."""
-    boots = boots.filter(F.col(value).isNotNull())  # a small group may draw nobody
     below = F.avg(F.when(F.col(value) <= 0, 1.0).otherwise(0.0))
     above = F.avg(F.when(F.col(value) >= 0, 1.0).otherwise(0.0))
     p = F.least(F.lit(1.0), F.greatest(2 * F.least(below, above), F.lit(1.0 / (n_boot + 1))))

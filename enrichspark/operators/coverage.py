@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from enrichspark.functions.draws import hash32, mix, poisson_weight
 from enrichspark.functions.ordering import cumulative, global_rank, quantiles
+from enrichspark.functions.resample import boot_means
+
+#: Largest product of sample sizes for which p of the two-sample test is exact.
+EXACT_PRODUCT = 100_000_000
 
 
 def quantile_edges(values: DataFrame, value: str, q: int) -> list[float]:
@@ -81,23 +86,52 @@ def mean_differences(rows: DataFrame, properties: list[str]) -> DataFrame:
     return a.withColumn("smd", smd).drop("_v1", "_v0")
 
 
-def ks_two_sample(rows: DataFrame, value: str) -> DataFrame:
-    """Largest gap between the two empirical distributions and its asymptotic p.
+def ks_exact(n: int, m: int, gap: int) -> float:
+    """Chance that two samples of n and m values from one distribution differ by gap / (n m) or more.
 
-    Counts per distinct value are ranked by range, so no task sees the whole column. The exact p of small
-    samples is not computed.
+    Merged in order, the samples are a lattice path from (0, 0) to (n, m), all equally likely. Diagonal by diagonal the mass of the
+    paths still inside the band moves on, and what reaches its edge is added up, so that small p keep their precision.
+    """
+    if gap <= 0:
+        return 1.0
+    i = np.arange(n + 1, dtype=np.int64)
+    inside, out = np.zeros(n + 1), 0.0
+    inside[0] = 1.0
+    for s in range(n + m):
+        step = inside * np.maximum(m - (s - i), 0) / (n + m - s)
+        step[1:] += inside[:-1] * (n - i[:-1]) / (n + m - s)
+        edge = np.abs(i * m - (s + 1 - i) * n) >= gap
+        out += step[edge].sum()
+        step[edge] = 0
+        inside = step
+    return min(1.0, out)
+
+
+def _ks_exact(n: pd.Series, m: pd.Series, gap: pd.Series) -> pd.Series:
+    return pd.Series([ks_exact(*x) for x in zip(n.tolist(), m.tolist(), gap.tolist())], dtype=float)
+
+
+def ks_two_sample(rows: DataFrame, value: str, exact_product: int = EXACT_PRODUCT) -> DataFrame:
+    """Largest gap between the two empirical distributions and its two-sided p.
+
+    Counts per distinct value are ranked by range, so no task sees the whole column. p is exact up to exact_product = n_done x
+    n_missing, the work of its recursion, and asymptotic beyond; null if one sample is empty.
     """
     per = (rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v"))
            .agg(F.count_if("done").alias("a"), F.count_if(~F.col("done")).alias("b")))
-    gap = F.abs(F.col("a_upto") / F.col("a_total") - F.col("b_upto") / F.col("b_total"))
-    stat = cumulative(per, ["v"], ["a", "b"]).agg(
-        F.max(gap).alias("statistic"), F.first("a_total").alias("n_done"), F.first("b_total").alias("n_missing"))
-    root = F.sqrt(F.col("n_done") * F.col("n_missing") / (F.col("n_done") + F.col("n_missing")))
-    lam = F.col("statistic") * root
+    gap = F.abs(F.col("a_upto") * F.col("b_total") - F.col("b_upto") * F.col("a_total"))
+    stat = cumulative(per, ["v"], ["a", "b"]).agg(F.max(gap).alias("_gap"), F.first("a_total").alias("n_done"), F.first("b_total").alias("n_missing"))
+    product = F.col("n_done") * F.col("n_missing")
+    stat = stat.withColumn("statistic", F.col("_gap") / F.nullif(product, F.lit(0)))
+    lam = F.col("statistic") * F.sqrt(product / (F.col("n_done") + F.col("n_missing")))
     terms = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, j: s + F.when(j % 2 == 1, 2.0).otherwise(-2.0)
                         * F.exp(-2.0 * j * j * F.col("_lam") * F.col("_lam")))
-    p = F.when(F.col("_lam") < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), terms)))
-    return stat.withColumn("_lam", lam).withColumn("p", p).drop("_lam")
+    far = F.when(F.col("_lam") < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), terms)))
+    near = product <= exact_product
+    # the helper runs on every row it is given: beyond the limit it gets an empty case
+    exact = F.pandas_udf(_ks_exact, "double")(*[F.when(near, F.col(c)).otherwise(0).cast("long") for c in ("n_done", "n_missing", "_gap")])
+    return (stat.withColumn("_lam", lam).withColumn("p", F.when(product > 0, F.when(near, exact).otherwise(far)))
+            .select("statistic", "n_done", "n_missing", "p"))
 
 
 def reference_check(rows: DataFrame, values: list[str], hits: str, tests: str) -> DataFrame:
@@ -150,11 +184,6 @@ def stratified_interval(population: DataFrame, done: DataFrame, metric: str, n_b
     Resampling happens inside strata, so each stratum keeps its share.
     """
     w = stratum_weights(population, done)
-    h = hash32(seed, F.col("gene")) % 2147483647
-    draws = (done.select("stratum", F.col(metric).alias("_x"), h.alias("_h"))
-             .withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-             .withColumn("_w", poisson_weight(mix(F.col("_h"), (F.col("boot").cast("long") * 1664525) % 2147483647))))
-    per = draws.groupBy("stratum", "boot").agg(F.sum(F.col("_w") * F.col("_x")).alias("_s"), F.sum("_w").alias("_n"))
-    boots = (per.filter("_n > 0").join(w.select("stratum", "n_pop"), "stratum").groupBy("boot")
-             .agg((F.sum(F.col("n_pop") * F.col("_s") / F.col("_n")) / F.sum("n_pop")).alias("mean")))
+    boots = (boot_means(done, ["stratum"], metric, "gene", n_boot, seed).join(w.select("stratum", "n_pop"), "stratum").groupBy("boot")
+             .agg((F.sum(F.col("n_pop") * F.col("mean")) / F.sum("n_pop")).alias("mean")))
     return boots.agg(F.percentile("mean", F.lit(0.025)).alias("ci_lo"), F.percentile("mean", F.lit(0.975)).alias("ci_hi"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from enrichspark.functions.skew import split_join
 from enrichspark.session import materialize
 
 PROPAGATION = ("is_a", "part_of")
@@ -54,7 +55,7 @@ def closure(edges: DataFrame, relations: tuple[str, ...] = PROPAGATION, max_dept
 
 def propagate(terms: DataFrame, closed: DataFrame, keys: list[str]) -> DataFrame:
     """True-path rule: each key's terms together with all their ancestors."""
-    return (terms.join(closed, terms["term"] == closed["src"])
+    return (split_join(terms, closed.withColumnRenamed("src", "term").select("term", "anc"), ["term"], "term")
             .select(*keys, F.col("anc").alias("term")).distinct())
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from enrichspark.functions.skew import split_join
 from enrichspark.functions.text import distance_bin
 
 KINDS = ("exact", "upward", "downward", "no_match")
@@ -12,7 +13,8 @@ KINDS = ("exact", "upward", "downward", "no_match")
 
 def _up(truths: DataFrame, closed: DataFrame) -> DataFrame:
     """Nearest true term below each strict ancestor of a gene's true terms."""
-    return (truths.join(closed.filter("depth > 0"), truths["term"] == F.col("src"))
+    climbs = closed.filter("depth > 0").select(F.col("src").alias("term"), "src", "anc", "depth")
+    return (split_join(truths.select("gene", "term"), climbs, ["term"], "term")
             .groupBy("gene", F.col("anc").alias("term"))
             .agg(F.min(F.struct("depth", F.col("src").alias("true"))).alias("up"),
                  F.array_sort(F.collect_set("src")).alias("below")))
@@ -20,7 +22,8 @@ def _up(truths: DataFrame, closed: DataFrame) -> DataFrame:
 
 def _down(preds: DataFrame, truths: DataFrame, closed: DataFrame, keys: list[str]) -> DataFrame:
     """Nearest true term above each predicted term."""
-    climbs = (preds.select(*keys, "term").distinct().join(closed.filter("depth > 0"), F.col("term") == F.col("src"))
+    above = closed.filter("depth > 0").select(F.col("src").alias("term"), "anc", "depth")
+    climbs = (split_join(preds.select(*keys, "term").distinct(), above, ["term"], "term")
               .select(*keys, "term", "anc", "depth"))
     return (climbs.join(truths.select("gene", F.col("term").alias("anc")), ["gene", "anc"])
             .groupBy(*keys, "term").agg(F.min(F.struct("depth", F.col("anc").alias("true"))).alias("down")))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from enrichspark.functions.skew import split_join
 from enrichspark.functions.draws import hash32
 from enrichspark.functions.ordering import quantiles
 from enrichspark.operators.ranking import keep_first
@@ -100,7 +101,7 @@ def ceilings(propagated: DataFrame, vocabulary: DataFrame, closed: DataFrame, ic
     size = vocabulary.groupBy(*keys).agg(F.count_distinct("term").alias("n_vocab"))
     masses = truth_mass(propagated, ic)
     pairs = sets.select(*keys, F.col("term").alias("v"), F.explode("anc_set").alias("x"))
-    shared = (pairs.join(propagated.select("gene", F.col("term").alias("t")), F.col("x.anc") == F.col("t"))
+    shared = (split_join(propagated.select("gene", F.col("term").alias("t")), pairs.withColumn("t", F.col("x.anc")), ["t"], "t")
               .groupBy(*keys, "gene", "v").agg(F.array_sort(F.collect_list("x")).alias("hits")))
     gv = (shared.join(sets.withColumnRenamed("term", "v"), keys + ["v"]).join(masses, "gene")
           .withColumn("overlap", _mass(F.col("hits"))).withColumn("mass", _mass(F.col("anc_set")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from enrichspark.functions.skew import split_join
 from enrichspark.functions.exact import hypergeometric_tail, neg_log10
 from enrichspark.operators.vocabulary import broad_vocabulary
 from enrichspark.session import spread
@@ -53,7 +54,7 @@ def transfer_rank(weights: DataFrame, assoc: DataFrame, propagated: DataFrame, k
     """
     own = propagated.select(F.col("gene").alias(target), F.col("term").alias("c")).withColumn("_c", F.lit(1))
     has_c = F.col("_c").isNotNull()
-    sums = (weights.join(own, [target, "c"], "left").join(assoc, "c").groupBy(*keys, "term").agg(
+    sums = (split_join(weights.join(own, [target, "c"], "left"), assoc, ["c"], "c", source=weights).groupBy(*keys, "term").agg(
         F.sum(F.col("w") * F.col("s")).alias("all"),
         F.sum(F.col("w") * F.when(has_c, F.col("s10")).otherwise(F.col("s00"))).alias("without"),
         F.sum(F.col("w") * F.when(has_c, F.col("s11")).otherwise(F.col("s01"))).alias("with")))
@@ -77,7 +78,7 @@ def transfer_explain(weights: DataFrame, assoc: DataFrame, propagated: DataFrame
     best = weights.withColumn("c_rank", F.row_number().over(wc)).filter(F.col("c_rank") <= top_c)
     own_c = propagated.select("gene", F.col("term").alias("c")).withColumn("_c", F.lit(1))
     own_t = propagated.select("gene", "term").withColumn("_t", F.lit(1))
-    rows = (best.join(own_c, ["gene", "c"], "left").join(assoc, "c").join(own_t, ["gene", "term"], "left"))
+    rows = (split_join(best.join(own_c, ["gene", "c"], "left"), assoc, ["c"], "c", source=weights).join(own_t, ["gene", "term"], "left"))
     c, t = F.col("_c").isNotNull(), F.col("_t").isNotNull()
     s = (F.when(c & t, F.col("s11")).when(c, F.col("s10")).when(t, F.col("s01")).otherwise(F.col("s00")))
     wt = Window.partitionBy(*keys, "c").orderBy(F.round("assoc", 9).desc(), "term")

@@ -11,19 +11,20 @@ from enrichspark.plans.sql import fragment, h32
 N_BOOT = 10_000
 N_GROUP_BOOT = 2_000
 N_STRATUM_BOOT = 300
-BARS = (790015084, 1580030168, 1975037710, 2106706890, 2139624185, 2146207644, 2147304887)
 
 
 def boot_sql(source: str, keys: str, value: str, n_boot: int, seed: int = 0) -> str:
-    """Bootstrap means of source(keys, gene, value) per boot."""
-    u = "xor(x2, x2 >> 16)"
-    weight = "CASE " + " ".join(f"WHEN {u} < {b} THEN {i}" for i, b in enumerate(BARS)) + f" ELSE {len(BARS)} END"
+    """Bootstrap means of source(keys, gene, value) per boot, one row per draw."""
+    def mixed(a: str, b: str, c: str) -> str:
+        return f"""
+  SELECT *, xor(y, y >> 16) {c} FROM (SELECT *, (xor(x, x >> 13) * 69621 + {b}) % 2147483647 y FROM (
+    SELECT *, (xor({a}, {b}) * 48271 + 11) % 2147483647 x FROM"""
     return f"""
-SELECT {keys}, boot, sum({weight} * v) / nullif(sum({weight}), 0) AS mean FROM (
-  SELECT {keys}, boot, v, (xor(x1, x1 >> 13) * 69621 + b) % 2147483647 x2 FROM (
-    SELECT {keys}, boot, v, b, (xor(h, b) * 48271 + 11) % 2147483647 x1 FROM (
-      SELECT {keys}, boot, {value} AS v, {h32(f"'{seed}'", 'gene')} % 2147483647 h, (CAST(boot AS BIGINT) * 1664525) % 2147483647 b
-      FROM ({source}), (SELECT unnest(range(1, {n_boot} + 1)) boot))))
+SELECT {keys}, boot, sum(vs[draw % n + 1]) / any_value(n) AS mean FROM ({mixed('own', 'slot', 'draw')} (
+  SELECT {keys}, boot, n, vs, own, unnest(range(n)) * 22695477 % 2147483647 slot FROM ({mixed('h', 'b', 'own')} (
+    SELECT {keys}, n, vs, h, boot, CAST(boot AS BIGINT) * 1664525 % 2147483647 b FROM (
+      SELECT {keys}, list({value} ORDER BY gene) vs, count(*) n, {h32(f"'{seed}'", keys)} % 2147483647 h FROM ({source}) WHERE {value} IS NOT NULL GROUP BY {keys}),
+      (SELECT unnest(range(1, {n_boot} + 1)) boot)))))))))
 GROUP BY {keys}, boot"""
 
 
@@ -543,13 +544,18 @@ def _(m):
 
 
 @query("ks_two_sample", """
-WITH s AS (SELECT max(abs(a / na - b / nb)) statistic, any_value(na) na, any_value(nb) nb FROM (
+WITH RECURSIVE s AS (SELECT CAST(max(abs(a * nb - b * na)) AS BIGINT) gap, any_value(na) n, any_value(nb) m FROM (
   SELECT sum(count(*) FILTER (done)) OVER (ORDER BY breadth) a, sum(count(*) FILTER (NOT done)) OVER (ORDER BY breadth) b,
-    CAST((SELECT count(*) FROM c_universe WHERE done) AS DOUBLE) na, CAST((SELECT count(*) FROM c_universe WHERE NOT done) AS DOUBLE) nb
-  FROM c_universe GROUP BY breadth))
-SELECT round(statistic, 6) statistic, CAST(na AS BIGINT) n_done, CAST(nb AS BIGINT) n_missing,
-  round(least(1.0, greatest(0.0, list_sum(list_transform(range(1, 101), lambda j: (CASE WHEN j % 2 = 1 THEN 2.0 ELSE -2.0 END)
-    * exp(-2.0 * j * j * statistic * statistic * na * nb / (na + nb)))))), 6) p FROM s""")
+    (SELECT count(*) FROM c_universe WHERE done) na, (SELECT count(*) FROM c_universe WHERE NOT done) nb
+  FROM c_universe GROUP BY breadth)),
+walk AS (
+  SELECT CAST(0 AS BIGINT) t, n, m, gap, list_transform(range(n + 1), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) f, 0.0::DOUBLE p FROM s
+  UNION ALL SELECT t + 1, n, m, gap,
+    list_transform(range(n + 1), lambda i: CASE WHEN abs(i * m - (t + 1 - i) * n) < gap THEN g[i + 1] ELSE 0.0 END),
+    p + list_sum(list_transform(range(n + 1), lambda i: CASE WHEN abs(i * m - (t + 1 - i) * n) < gap THEN 0.0 ELSE g[i + 1] END))
+  FROM (SELECT *, list_transform(range(n + 1), lambda i: (CASE WHEN i > 0 THEN f[i] * (n - i + 1) ELSE 0.0 END
+      + f[i + 1] * greatest(m - (t - i), 0)) / (n + m - t)) g FROM walk WHERE t < n + m))
+SELECT round(gap / (CAST(n AS DOUBLE) * m), 6) statistic, n n_done, m n_missing, round(least(1.0, p), 6) p FROM walk WHERE t = n + m""")
 def _(m):
     return rounded(coverage.ks_two_sample(universe(m), "breadth"))
 

@@ -7,7 +7,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from enrichspark.functions.corrections import adjust_large, benjamini_hochberg, bonferroni, holm
-from enrichspark.functions.draws import hash32, mix, poisson_weight
+from enrichspark.functions.draws import hash32, mix
+from enrichspark.functions.resample import mixed
 from enrichspark.functions.ordering import average_ranks, cumulative, global_rank, quantiles
 from enrichspark.functions.text import distance_bin, normalise
 
@@ -63,11 +64,9 @@ def test_average_ranks(spark):
 
 def test_draws(spark):
     assert spark.range(1).select(hash32(0, 7, 3) % 100).first()[0] == 67
-    u = (hash32("g", F.col("id")) % 2147483647)
-    w = spark.range(200).select(F.explode(F.sequence(F.lit(1), F.lit(200))).alias("b"), u.alias("h")).select(
-        poisson_weight(mix(F.col("h"), F.col("b").cast("long") * 1664525 % 2147483647)).alias("w"))
-    r = w.agg(F.avg("w").alias("m"), F.variance("w").alias("v")).first()
-    assert r["m"] == pytest.approx(1, abs=0.03) and r["v"] == pytest.approx(1, abs=0.05)
+    pairs = spark.range(300).select((hash32("g", F.col("id")) % 2147483647).alias("a"), (F.col("id") * 1664525 % 2147483647).alias("b"))
+    got = pairs.select("a", "b", mix(F.col("a"), F.col("b")).alias("x")).collect()
+    assert [r.x for r in got] == mixed(np.array([r.a for r in got]), np.array([r.b for r in got])).tolist()
 
 
 def test_text_functions(spark):
