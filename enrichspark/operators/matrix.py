@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from enrichspark.functions.ordering import global_rank
+
 CELL_TYPES, ROWS = "cell_types", "rows"
 
 
@@ -35,11 +37,11 @@ def expression_summary(obs: DataFrame) -> DataFrame:
 
 
 def rank_by_missing(obs: DataFrame, max_positive_ratio: float | None = None) -> DataFrame:
-    """Genes ordered by missing items, fewest first, optionally without broadly positive ones."""
+    """Genes ranked by missing items, fewest first, optionally without broadly positive ones; equal counts by gene."""
     s = expression_summary(obs).withColumn("positive_ratio", F.col("n_positive") / F.col("n_total"))
     if max_positive_ratio is not None:
         s = s.filter(F.col("positive_ratio") <= max_positive_ratio)
-    return s.orderBy("n_missing", "gene")
+    return global_rank(s, ["n_missing", "gene"])
 
 
 def rollup_items(obs: DataFrame) -> DataFrame:

@@ -72,13 +72,13 @@ def _(m):
 
 @query("extract_subgraph", """
 WITH asked AS (SELECT DISTINCT l_partkey + CASE WHEN l_quantity = 1 THEN 1000000000 ELSE 0 END id
-               FROM lineitem WHERE l_discount = 0.1),
+               FROM lineitem),
 reach AS (SELECT id, id AS found FROM asked UNION SELECT a.id, w.anc FROM asked a JOIN p_walk_isa w ON w.src = a.id)
 SELECT found AS id, label, coalesce(status, 'NOT_FOUND') status, bool_or(r.id = found) requested
 FROM reach r LEFT JOIN p_terms t ON t.id = found GROUP BY 1, 2, 3""")
 def _(m):
     shifted = F.col("l_partkey") + F.when(F.col("l_quantity") == 1, 1000000000).otherwise(0)
-    asked = m.table("lineitem").filter("l_discount = 0.1").select(shifted.alias("id")).distinct()
+    asked = m.table("lineitem").select(shifted.alias("id")).distinct()
     return dag.extract_subgraph(asked, _part_terms(m), dag.closure(m.part_edges, ("is_a",), 4))
 
 
@@ -106,14 +106,15 @@ def _(m):
 
 
 @query("resnik_similarity", """
-WITH late AS (SELECT gene k, term FROM t_ann WHERE evidence = 'R'),
-ks AS (SELECT gene k FROM t_truth UNION SELECT k FROM late)
+WITH other AS (SELECT DISTINCT gene - 1 k, term FROM t_ann),
+ks AS (SELECT gene k FROM t_truth UNION SELECT k FROM other)
 SELECT ks.k AS key, round(coalesce(max(ic), 0.0), 6) resnik FROM ks
-LEFT JOIN (SELECT p.gene k, ic FROM t_prop p JOIN (SELECT DISTINCT k, anc FROM late JOIN t_closed ON src = term) q
+LEFT JOIN (SELECT p.gene k, ic FROM t_prop p JOIN (SELECT DISTINCT k, anc FROM other JOIN t_closed ON src = term) q
            ON q.k = p.gene AND q.anc = p.term JOIN t_ic i ON i.term = p.term) s ON s.k = ks.k GROUP BY 1""")
 def _(m):
-    late = m.annotations.filter("evidence = 'R'").select(F.col("gene").alias("key"), "term")
-    return rounded(dag.resnik(m.truths.withColumnRenamed("gene", "key"), late, m.closed, m.ic))
+    """Each gene's truths against all annotations of the next gene."""
+    other = m.annotations.select((F.col("gene") - 1).alias("key"), "term").distinct()
+    return rounded(dag.resnik(m.truths.withColumnRenamed("gene", "key"), other, m.closed, m.ic))
 
 
 @query("ontology_related_pairs", """

@@ -37,10 +37,10 @@ def _(m):
 
 
 @query("rank_by_missing", f"""
-SELECT gene, n_missing, round(n_positive / n_total, 6) positive_ratio FROM ({SUMMARY})
+SELECT gene, n_missing, round(n_positive / n_total, 6) positive_ratio, row_number() OVER (ORDER BY n_missing, gene) AS rank FROM ({SUMMARY})
 WHERE n_positive / n_total <= 0.07""")
 def _(m):
-    return rounded(matrix.rank_by_missing(m.obs, 0.07).select("gene", "n_missing", "positive_ratio"))
+    return rounded(matrix.rank_by_missing(m.obs, 0.07).select("gene", "n_missing", "positive_ratio", "rank"))
 
 
 @query("rollup_cell_types", "SELECT gene, CAST(ct AS BIGINT) ct, CAST(max(value) AS BIGINT) AS value FROM t_obs GROUP BY gene, ct")

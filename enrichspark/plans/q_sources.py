@@ -33,13 +33,7 @@ def write_matrix(m):
 SELECT gene AS supplier, tissue, CAST(ct AS BIGINT) ct, CAST(value AS BIGINT) AS value FROM t_obs WHERE value IS NOT NULL""")
 def _(m):
     path = write_matrix(m)
-    head = m.spark.read.text(path).filter(F.col("value").startswith("index\t"))
-    header = head.select(F.posexplode(F.split("value", "\t")).alias("position", "gene")).filter("position > 0").select(
-        (F.col("position") - 1).alias("position"), "gene")
-    lines = m.spark.read.text(path).filter(~F.col("value").startswith("index\t"))
-    parts = F.split("value", "\t")
-    cells = lines.select(parts[0].alias("item"), F.slice(parts, 2, F.size(parts)).alias("cells"))
-    long = matrix.unpivot_matrix(cells, header).filter("value IS NOT NULL")
+    long = matrix.unpivot_matrix(tables.read_matrix(m.spark, path), tables.matrix_header(m.spark, path)).filter("value IS NOT NULL")
     supplier, tissue = matrix.parse_pair(F.col("item"))
     return rounded(long.select(supplier.cast("bigint").alias("supplier"), tissue.alias("tissue"),
                                F.col("gene").cast("bigint").alias("ct"), "value"))
@@ -48,13 +42,7 @@ def _(m):
 @query("matrix_header", """
 SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS BIGINT) AS position, CAST(n_nationkey + 26 AS VARCHAR) gene FROM nation""")
 def _(m):
-    line = m.table("nation").select(F.col("n_nationkey") + 26).orderBy("n_nationkey")
-    path = _path(m, "header")
-    text = "\t".join(["index"] + [str(r[0]) for r in line.collect()])  # 25 header names
-    body = m.obs.select(F.concat_ws("\t", "item", F.coalesce(F.col("value").cast("string"), F.lit(""))).alias("value"))
-    m.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path + "/a")
-    body.write.text(path + "/b")
-    return rounded(tables.matrix_header(m.spark, path + "/a"))
+    return rounded(tables.matrix_header(m.spark, write_matrix(m)))
 
 
 def write_obo(m):
@@ -73,9 +61,16 @@ def write_obo(m):
                         F.when(F.col("p_size") == 1, F.lit("is_obsolete: true")), F.lit(""))
     path = _path(m, "obo")
     m.table("part").select(lines.alias("value")).write.text(path)
+    head = F.concat(F.lit("format-version: 1.2\ndata-version: releases/"), F.count("*"), F.lit("\n"))
+    m.table("part").agg(head.alias("value")).write.mode("append").text(path)
     return path
 
 
+@query("read_version", "SELECT 'releases/' || count(*) AS version FROM part")
+def _(m):
+    return ontology.read_version(m.spark, write_obo(m))
+
+
 def stanzas(m):
     return ontology.read_stanzas(m.spark, write_obo(m))
 
@@ -212,16 +207,35 @@ def _(m):
     return m.spark.read.schema("condition string, n bigint").json(path)
 
 
+@query("report_markdown", """
+WITH r AS (SELECT condition, count(*) n, avg(score) AS mean FROM e_runs GROUP BY 1)
+SELECT CAST(0 AS BIGINT) line, '| condition | n | mean |' AS text UNION ALL SELECT 1, '|---|---|---|'
+UNION ALL SELECT 1 + row_number() OVER (ORDER BY condition), '| ' || condition || ' | ' || n || ' | ' || printf('%.4f', mean) || ' |' FROM r""")
+def _(m):
+    """A small report as the lines of its Markdown."""
+    from enrichspark.plans.q_compare import event_runs
+    rows = event_runs(m).groupBy("condition").agg(F.count("*").alias("n"), F.avg("score").alias("mean")).orderBy("condition")
+    lines = reports.markdown(rows).splitlines()  # as many as there are conditions, refused beyond 200
+    return rounded(m.spark.createDataFrame(list(enumerate(lines)), "line long, text string"))
+
+
 @query("content_hash", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def _(m):
     return tables.content_hash(m.table("documents"), "doc_id", "text")
 
 
-@query("table_hash", """
-SELECT CAST(sum(CAST('0x' || substr(md5(d || '|' || e || '|' || l_orderkey || '|' || l_partkey || '|' || q || '|' || l_returnflag || '|' || l_suppkey), 1, 15) AS BIGINT)) AS VARCHAR) AS hash,
-  count(*) AS n FROM (SELECT *, CAST(round(l_discount * 100) AS BIGINT) d, CAST(round(l_extendedprice * 100) AS BIGINT) e, CAST(l_quantity AS BIGINT) q FROM lineitem)""")
+CENTS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+LINE_COLUMNS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *CENTS, "l_returnflag", "l_linestatus", "l_shipdate")
+
+
+def _field_sql(c: str) -> str:
+    v = f"CAST(CAST(round({c} * 100) AS BIGINT) AS VARCHAR)" if c in CENTS else f"CAST({c} AS VARCHAR)"
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE length({v}) || ':' || {v} END"
+
+
+@query("table_hash", f"""
+SELECT CAST(sum(CAST('0x' || substr(md5({' || '.join(_field_sql(c) for c in sorted(LINE_COLUMNS))}), 1, 15) AS BIGINT)) AS VARCHAR) AS hash, count(*) AS n FROM lineitem""")
 def _(m):
-    return tables.table_hash(m.table("lineitem").select(
-        F.round(F.col("l_discount") * 100).cast("long").alias("a_discount"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("b_price"),
-        F.col("l_orderkey").alias("c_order"), F.col("l_partkey").alias("d_part"), F.col("l_quantity").cast("long").alias("e_quantity"),
-        F.col("l_returnflag").alias("f_flag"), F.col("l_suppkey").alias("g_supplier")))
+    """All columns of the line items; amounts as whole hundredths, whose text is the same everywhere."""
+    cents = [F.round(F.col(c) * 100).cast("long").alias(c) if c in CENTS else F.col(c) for c in LINE_COLUMNS]
+    return tables.table_hash(m.table("lineitem").select(*cents))

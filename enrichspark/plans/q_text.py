@@ -65,17 +65,17 @@ def _(m):
 
 
 @query("blinding_scan", """
-WITH f AS (SELECT DISTINCT conv_id, lower(word) term FROM (
-  SELECT conv_id, unnest(string_split(text, ' ')) word FROM conversations WHERE turn = 0) WHERE length(word) >= 3),
-h AS (SELECT c.conv_id, c.turn, term FROM conversations c JOIN f USING (conv_id)
-  WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9])\\Q' || term || '\\E($|[^A-Za-z0-9])'))
+WITH f AS (SELECT conv_id, lower(word) term, min(turn) since FROM (
+  SELECT conv_id, turn, unnest(string_split(text, ' ')) word FROM conversations) WHERE length(word) >= 3 GROUP BY 1, 2),
+h AS (SELECT c.conv_id, c.turn, term FROM conversations c JOIN f ON f.conv_id = c.conv_id AND c.turn > since
+  WHERE contains(lower(text), term) AND regexp_matches(text, '(?i)(^|[^A-Za-z0-9])\\Q' || term || '\\E($|[^A-Za-z0-9])'))
 SELECT c.conv_id, c.turn, coalesce(string_agg(term, '~' ORDER BY term), '') hits, count(term) = 0 ok
 FROM conversations c LEFT JOIN h ON h.conv_id = c.conv_id AND h.turn = c.turn GROUP BY 1, 2""")
 def _(m):
+    """Words of earlier turns that come back in a turn."""
     c = m.table("conversations")
-    words = (c.filter("turn = 0").select("conv_id", F.explode(F.split("text", " ")).alias("term"))
-             .select("conv_id", F.lower("term").alias("term")).distinct())
-    out = text.blinding_scan(c, words, ["conv_id"], 3)
+    words = c.select("conv_id", "turn", F.explode(F.split("text", " ")).alias("term")).select("conv_id", "turn", F.lower("term").alias("term"))
+    out = text.blinding_scan(c, words, ["conv_id", "turn"], 3, "turn")
     return out.select("conv_id", "turn", F.array_join(F.array_sort("hits"), "~").alias("hits"), "ok")
 
 

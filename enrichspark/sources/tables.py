@@ -4,23 +4,32 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _first_line(spark: SparkSession, path: str) -> DataFrame:
+    """(value): the first line of the first file of a path, by name; of the files only the list is read."""
+    files = spark.read.format("binaryFile").load(path).filter("length > 0").agg(F.min("path")).first()[0]
+    if files is None:
+        raise ValueError(f"no file with content at {path}")
+    return spark.read.text(files).limit(1)
+
+
 def matrix_header(spark: SparkSession, path: str) -> DataFrame:
-    """(position, gene) from the first line alone; position follows file order."""
-    first = spark.read.text(path).limit(1)
-    return (first.select(F.posexplode(F.split("value", "\t")).alias("position", "gene")).filter("position > 0")
+    """(position, gene) from the first line alone; position follows file order, from 0."""
+    return (_first_line(spark, path).select(F.posexplode(F.split("value", "\t")).alias("position", "gene")).filter("position > 0")
             .withColumn("position", F.col("position") - 1))
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(item, cells) of a wide tab-separated matrix as text, so that no plan has a column per gene."""
-    head = spark.read.text(path).limit(1).scalar()
-    lines = spark.read.text(path).filter(F.col("value") != head)
-    parts = F.split("value", "\t")
-    return lines.select(parts[0].alias("item"), F.slice(parts, 2, F.size(parts)).alias("cells"))
+    """(item, cells) of a wide tab-separated matrix as text, so that no plan has a column per gene.
+
+    The path may hold several files; the header stands in the first one by name, and a line that repeats it is a header too.
+    """
+    head = _first_line(spark, path).scalar()
+    parts = F.split("value", "\t", -1)
+    return spark.read.text(path).filter(F.col("value") != head).select(parts[0].alias("item"), F.slice(parts, 2, F.size(parts)).alias("cells"))
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
@@ -72,10 +81,13 @@ def content_hash(rows: DataFrame, key: str, content: str) -> DataFrame:
 def table_hash(df: DataFrame) -> DataFrame:
     """One hash of a table's rows, whatever their order or partitioning: the sum of 60 bits of each row's md5, with the row count.
 
-    A row's text is its columns in order of name, as text, joined by '|', null as \\N. Equal rows add up, so that repeated rows
-    change the hash.
+    A row's text is its columns in order of name, each as its length in characters, a colon and its text, null as a bare minus, so that no two
+    different rows give the same text. Equal rows add up, so that repeated rows change the hash.
     """
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in sorted(df.columns)])
+    def field(c: str) -> Column:
+        v = F.col(f"`{c}`").cast("string")
+        return F.when(v.isNull(), "-").otherwise(F.concat(F.length(v).cast("string"), F.lit(":"), v))
+    text = F.concat(F.lit(""), *[field(c) for c in sorted(df.columns)])
     bits = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.sum(bits).cast("decimal(38,0)").cast("string").alias("hash"), F.count("*").alias("n"))
 

@@ -81,3 +81,46 @@ def test_answers_beyond_the_limit_are_counted(spark):
         out = names.resolve_predictions(answers, index, cands, "key", "constrained", max_predictions=limit)
         d = names.resolution_diagnostics(out, "key").first()
         assert (d.n_raw, d.n_valid, d.n_invalid, d.n_beyond) == (4, valid, 0, beyond)
+
+
+def test_table_hash_tells_fields_apart(spark):
+    from enrichspark.sources.tables import table_hash
+    one = lambda *r: table_hash(spark.createDataFrame([r], "a string, b string")).first().hash
+    hashes = [one("a|b", "c"), one("a", "b|c"), one(None, "x"), one("-", "x"), one("\\N", "x"), one("", "x"), one("1:a", ""), one("1:", "a")]
+    assert len(set(hashes)) == len(hashes)
+
+
+def test_wide_matrix_over_several_files(spark, tmp_path):
+    """5,000 columns, the header in the first file only, blank last cells and an empty file."""
+    from enrichspark.operators import matrix
+    from enrichspark.sources import tables
+    genes = [f"g{i}" for i in range(5000)]
+    cell = lambda r, i: ("1", "0", "")[(r * 7 + i) % 3]
+    lines = [f"x{r}\t" + "\t".join(cell(r, i) for i in range(5000)) for r in range(12)]
+    (tmp_path / "part-0").write_text("")
+    (tmp_path / "part-1").write_text("index\t" + "\t".join(genes) + "\n" + "\n".join(lines[:5]) + "\n")
+    (tmp_path / "part-2").write_text("\n".join(lines[5:]) + "\n")
+    head = tables.matrix_header(spark, str(tmp_path))
+    assert [r.gene for r in head.orderBy("position").collect()] == genes
+    long = matrix.unpivot_matrix(tables.read_matrix(spark, str(tmp_path)), head)
+    got = {(r.item, r.gene): r.value for r in long.filter("item IN ('x0', 'x3', 'x11')").collect()}
+    assert len(got) == 15000 and all(got[f"x{r}", f"g{i}"] == {"1": 1, "0": 0, "": None}[cell(r, i)] for r in (0, 3, 11) for i in range(0, 5000, 37))
+    assert long.count() == 60000
+
+
+def test_blinding_against_every_pair(spark):
+    import random
+    import re
+    rng = random.Random(3)
+    words = ["Alpha", "beta-2", "IL 6", "don't", "ñandú", "¿?!", "a.b.c.d e", "gene", "Gene", "x(y", "2"]
+    texts = [(i % 4, i // 4, "".join(rng.choice([*words, " ", "-", "x", ", "]) + rng.choice([" ", "", "."]) for _ in range(rng.randrange(9)))) for i in range(48)]
+    forbidden = [(k, rng.choice(words), rng.randrange(12)) for k in range(4) for _ in range(9)]
+    got = text.blinding_scan(spark.createDataFrame(texts, "k int, turn int, text string"), spark.createDataFrame(forbidden, "k int, term string, turn int"), ["k", "turn"], 2, "turn").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        first = {}
+        for k, t, at in forbidden:
+            if k == r.k and len(t) >= 2:
+                first[t] = min(at, first.get(t, at))
+        want = sorted(t for t, at in first.items() if at < r.turn and re.search(f"(?<![A-Za-z0-9]){re.escape(t)}(?![A-Za-z0-9])", r.text, re.I | re.A))
+        assert (r.hits, r.ok) == (want, not want), (r, want)
