@@ -141,15 +141,21 @@ def gene_properties(summary: DataFrame, matches: DataFrame, homogeneity: DataFra
             .join(tops.select("gene", "f1_top1"), "gene", "left").join(families, "gene", "left"))
 
 
-def gene_table(genes: DataFrame, first: DataFrame, second: DataFrame, ks: tuple[int, ...] = (1, 3, 10)) -> DataFrame:
-    """match_at_k and exact_at_k of two arms per gene; each arm is (gene, rank, kind). Genes without predictions get 0."""
+def gene_table(genes: DataFrame, first: DataFrame, second: DataFrame, answers: DataFrame, ks: tuple[int, ...] = (1, 3, 10)) -> DataFrame:
+    """Per gene and arm: predictions by kind, match_at_k, exact_at_k, any_match and any_exact; n_duplicate of its answers.
+
+    Each arm is (gene, rank, kind), answers is (gene, n_raw, n_valid, n_invalid) with one row a gene; what is neither valid nor invalid is a
+    repeat, never less than 0. Genes without predictions or answers get 0.
+    """
     out = genes.select("gene")
     for name, arm in (("first", first), ("second", second)):
-        flags = [F.max(F.when((F.col("kind") != "no_match") & (F.col("rank") <= k), 1).otherwise(0)).alias(f"{name}_match_at_{k}") for k in ks]
-        flags += [F.max(F.when((F.col("kind") == "exact") & (F.col("rank") <= k), 1).otherwise(0)).alias(f"{name}_exact_at_{k}") for k in ks]
-        per = arm.groupBy("gene").agg(F.count("*").alias(f"{name}_n"), *flags)
-        out = out.join(per, "gene", "left")
-    return out.fillna(0)
+        match, exact = F.col("kind") != "no_match", F.col("kind") == "exact"
+        flags = [F.max(F.when(hit & (F.col("rank") <= k), 1).otherwise(0)).alias(f"{name}_{word}_at_{k}") for word, hit in (("match", match), ("exact", exact)) for k in ks]
+        flags += [F.max(F.when(hit, 1).otherwise(0)).alias(f"{name}_any_{word}") for word, hit in (("match", match), ("exact", exact))]
+        kinds = [F.count_if(F.col("kind") == k).alias(f"{name}_n_{k}") for k in ("exact", "upward", "downward", "no_match")]
+        out = out.join(arm.groupBy("gene").agg(F.count("*").alias(f"{name}_n"), *kinds, *flags), "gene", "left")
+    repeats = answers.select("gene", F.greatest(F.col("n_raw") - F.col("n_valid") - F.col("n_invalid"), F.lit(0)).alias("n_duplicate"))
+    return out.join(repeats, "gene", "left").fillna(0)
 
 
 def funnel(per_gene: DataFrame) -> DataFrame:

@@ -161,20 +161,31 @@ SELECT gene, term FROM (SELECT gene, term, row_number() OVER (PARTITION BY gene
 WHERE unit = 'rows')""", "gene"))
 
 
-@query("gene_table", "SELECT s_suppkey gene, " + ", ".join(
-    f"coalesce({n}, 0) {n}" for arm in ("first", "second") for n in
-    [f"{arm}_n"] + [f"{arm}_{w}_at_{k}" for w in ("match", "exact") for k in (1, 3, 10)]) + " FROM supplier " + " ".join(f"""
-LEFT JOIN (SELECT gene, count(*) {arm}_n, {', '.join(f"CAST(max(CASE WHEN kind <> 'no_match' AND rank <= {k} THEN 1 ELSE 0 END) AS BIGINT) {arm}_match_at_{k}" for k in (1, 3, 10))},
-  {', '.join(f"CAST(max(CASE WHEN kind = 'exact' AND rank <= {k} THEN 1 ELSE 0 END) AS BIGINT) {arm}_exact_at_{k}" for k in (1, 3, 10))}
-  FROM {src} GROUP BY 1) {arm} ON {arm}.gene = s_suppkey""" for arm, src in (
-      ("first", "(SELECT m.gene, kind, rank FROM t_match m JOIN t_rank_ora r ON r.gene = m.gene AND r.term = m.term AND r.unit = 'cell_types')"),
-      ("second", "(SELECT m.gene, kind, rank FROM t_second_match m JOIN (SELECT gene, term, row_number() OVER (PARTITION BY gene ORDER BY pow(10, round(log10(CASE WHEN p < 1e-300 THEN 1e-300 ELSE p END), 9)), term) AS rank FROM t_ora WHERE unit = 'rows') r ON r.gene = m.gene AND r.term = m.term)"))))
+def _arm_sql(arm: str, source: str) -> str:
+    flags = [(f"{arm}_{w}_at_{k}", f"{c} AND rank <= {k}") for w, c in (("match", "kind <> 'no_match'"), ("exact", "kind = 'exact'")) for k in (1, 3, 10)]
+    flags += [(f"{arm}_any_match", "kind <> 'no_match'"), (f"{arm}_any_exact", "kind = 'exact'")]
+    kinds = ", ".join(f"count(*) FILTER (kind = '{k}') {arm}_n_{k}" for k in ("exact", "upward", "downward", "no_match"))
+    return (f" LEFT JOIN (SELECT gene, count(*) {arm}_n, {kinds}, "
+            + ", ".join(f"CAST(max(CASE WHEN {c} THEN 1 ELSE 0 END) AS BIGINT) {n}" for n, c in flags) + f" FROM {source} GROUP BY 1) {arm} ON {arm}.gene = s_suppkey")
+
+
+GENE_COLUMNS = [f"{arm}_{c}" for arm in ("first", "second") for c in
+                ("n", "n_exact", "n_upward", "n_downward", "n_no_match", *(f"{w}_at_{k}" for w in ("match", "exact") for k in (1, 3, 10)), "any_match", "any_exact")]
+
+
+@query("gene_table", "SELECT s_suppkey gene, " + ", ".join(f"coalesce({n}, 0) {n}" for n in [*GENE_COLUMNS, "n_duplicate"]) + " FROM supplier "
+       + _arm_sql("first", "(SELECT m.gene, kind, rank FROM t_match m JOIN t_rank_ora r ON r.gene = m.gene AND r.term = m.term AND r.unit = 'cell_types')")
+       + _arm_sql("second", "(SELECT m.gene, kind, rank FROM t_second_match m JOIN (SELECT gene, term, row_number() OVER (PARTITION BY gene ORDER BY pow(10, round(log10(CASE WHEN p < 1e-300 THEN 1e-300 ELSE p END), 9)), term) AS rank FROM t_ora WHERE unit = 'rows') r ON r.gene = m.gene AND r.term = m.term)")
+       + " LEFT JOIN (SELECT gene, CAST(sum(n_duplicate) AS BIGINT) n_duplicate FROM e_runs GROUP BY 1) d ON d.gene = s_suppkey")
 def _(m):
     from enrichspark.operators.ranking import significant_rank
+    from enrichspark.plans.q_compare import event_runs
     first = matching.classify(predictions(m), m.truths, m.closed)
     rows = m.enriched.filter("unit = 'rows'").select("gene", "term", stable_p().alias("p"))
     second = matching.classify(significant_rank(rows, "p", 1.1).drop("p"), m.truths, m.closed)
-    return rounded(profile.gene_table(m.table("supplier").select(F.col("s_suppkey").alias("gene")), first, second))
+    answers = event_runs(m).groupBy("gene").agg(F.sum(F.col("n_valid") + F.col("n_invalid") + F.col("n_duplicate")).alias("n_raw"),
+                                                F.sum("n_valid").alias("n_valid"), F.sum("n_invalid").alias("n_invalid"))
+    return rounded(profile.gene_table(m.table("supplier").select(F.col("s_suppkey").alias("gene")), first, second, answers))
 
 
 @query("funnel", """
