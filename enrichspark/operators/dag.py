@@ -17,40 +17,84 @@ def closure(edges: DataFrame, relations: tuple[str, ...] = PROPAGATION, max_dept
             nodes: DataFrame | None = None, hops: int = 4) -> DataFrame:
     """(src, anc, depth): every ancestor with its shortest distance, the node itself at depth 0.
 
-    Only pairs found in the last round are extended, several hops per round. Each round is written out,
-    so the plan stays short and a lost executor costs one round. A node that is only ever a parent
-    is its own single ancestor.
+    The first hops are single steps in one plan. Then the reach doubles with each round: a pair further apart than L, but
+    not than 2 L, has a node at distance L on its shortest path, so pairs at exactly L meet those up to L and nothing else is
+    joined again. Each round is written out, so the plan stays short and a lost executor costs one round. A node that is
+    only ever a parent is its own single ancestor.
     """
     e = edges.filter(F.col("rel").isin(*relations)).select("child", "parent").distinct()
-    if nodes is None:
-        nodes = e.select(F.col("child").alias("node")).union(e.select("parent")).distinct()
-    start = nodes.select(F.col(nodes.columns[0]).alias("src"), F.col(nodes.columns[0]).alias("anc"),
-                         F.lit(0).alias("depth")).distinct()
-    if max_depth == 0:
-        return start
-    one_round = max_depth is not None and max_depth <= hops
-    if not one_round:
-        start = materialize(start, "closure")
-    reached, frontier, depth = start, start, 0
+    ends = e.select(F.col("child").alias("node")).union(e.select("parent")).distinct()
+    deeper = max_depth is None or max_depth > hops
+    asked = None if nodes is None else nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
+    # beyond the first hops every node on a path needs its own reach, whichever nodes are asked
+    start = ends if asked is None else ends.union(asked).distinct() if deeper else asked
+    start = start.select(F.col("node").alias("src"), F.col("node").alias("anc"), F.lit(0).alias("depth"))
+    step, found = start, [start]
+    for i in range(hops if deeper else max_depth):
+        step = (step.join(e, step["anc"] == e["child"]).select("src", F.col("parent").alias("anc")).distinct()
+                .withColumn("depth", F.lit(i + 1)))
+        found.append(step)
+    near = reduce(DataFrame.unionByName, found).groupBy("src", "anc").agg(F.min("depth").alias("depth"))
+    if not deeper:
+        return near
+    reached, depth = materialize(near, "closure"), hops
     while max_depth is None or depth < max_depth:
-        n = hops if max_depth is None else min(hops, max_depth - depth)
-        step, found = frontier, []
-        for i in range(n):
-            step = (step.join(e, step["anc"] == e["child"])
-                    .select("src", F.col("parent").alias("anc")).distinct()
-                    .withColumn("depth", F.lit(depth + i + 1)))
-            found.append(step)
-        new = (reduce(DataFrame.unionByName, found).groupBy("src", "anc").agg(F.min("depth").alias("depth"))
-               .join(reached.select("src", "anc"), ["src", "anc"], "left_anti"))
-        depth += n
-        if one_round:
-            return reached.unionByName(new)
-        new = materialize(new, "closure")
-        frontier = new.filter(F.col("depth") == depth)
-        reached = reached.unionByName(new)
+        frontier = reached.filter(F.col("depth") == depth)
         if frontier.isEmpty():
             break
-    return reached
+        further = depth if max_depth is None else min(depth, max_depth - depth)
+        onward = (reached.filter(F.col("depth").between(1, further))
+                  .select(F.col("src").alias("_mid"), F.col("anc").alias("_to"), F.col("depth").alias("_more")))
+        far = (frontier.join(onward, F.col("anc") == F.col("_mid")).groupBy("src", F.col("_to").alias("anc"))
+               .agg((depth + F.min("_more")).alias("depth")))
+        new = far.join(reached.select("src", "anc"), ["src", "anc"], "left_anti")
+        reached = reached.unionByName(materialize(new, "closure"))
+        depth += further
+    return reached if asked is None else reached.join(asked, F.col("src") == F.col("node"), "left_semi")
+
+
+def extend_closure(closed: DataFrame, edges: DataFrame, relations: tuple[str, ...] = PROPAGATION,
+                   max_depth: int | None = None) -> DataFrame:
+    """closed(src, anc, depth) after edges have been added to its graph, without computing it anew.
+
+    closed holds all its nodes as sources; with max_depth it is a closure limited to that depth, and so is the result.
+    Chains of added edges, with old paths between them, are joined end to end, twice as many edges a round, and only those
+    that beat the old distance of their ends go on. What they shorten is met once with the old paths before and after. The
+    graph must stay free of cycles; nodes that only the added edges name become their own ancestors.
+    """
+    e = materialize(edges.filter(F.col("rel").isin(*relations)).select("child", "parent").distinct(), "added")
+    ends = e.select(F.col("child").alias("src")).union(e.select("parent")).distinct()
+    fresh = ends.join(closed.filter("depth = 0").select("src"), "src", "left_anti")
+    old = closed.select("src", "anc", "depth").unionByName(
+        fresh.select("src", F.col("src").alias("anc"), F.lit(0).cast(closed.schema["depth"].dataType).alias("depth")))
+
+    def better(paths: DataFrame) -> DataFrame:
+        """The shortest of paths(src, anc, depth) between two nodes, where it is shorter than the old distance."""
+        if max_depth is not None:
+            paths = paths.filter(F.col("depth") <= max_depth)
+        paths = paths.groupBy("src", "anc").agg(F.min("depth").cast(old.schema["depth"].dataType).alias("depth"))
+        before = old.select("src", "anc", F.col("depth").alias("_old"))
+        return (paths.join(before, ["src", "anc"], "left").filter(F.col("_old").isNull() | (F.col("depth") < F.col("_old")))
+                .select("src", "anc", "depth"))
+
+    def then(a: DataFrame, b: DataFrame) -> DataFrame:
+        b = b.select(F.col("src").alias("_mid"), F.col("anc").alias("_to"), F.col("depth").alias("_more"))
+        return a.join(b, F.col("anc") == F.col("_mid")).select("src", F.col("_to").alias("anc"), (F.col("depth") + F.col("_more")).alias("depth"))
+
+    between = materialize(old.join(e.select(F.col("parent").alias("src")).distinct(), "src", "left_semi")
+                          .join(e.select(F.col("child").alias("anc")).distinct(), "anc", "left_semi"), "between")
+    chains = materialize(better(e.select(F.col("child").alias("src"), F.col("parent").alias("anc"), F.lit(1).alias("depth"))), "chains")
+    size = lambda c: tuple(c.agg(F.count("*"), F.sum("depth")).first())
+    had = size(chains)
+    while had[0]:
+        chains = materialize(better(chains.unionByName(then(then(chains, between), chains))), "chains")
+        now = size(chains)
+        if now == had:
+            break
+        had = now
+    entered = better(then(old, chains))
+    changed = materialize(better(then(entered, old)), "changed")
+    return old.join(changed.select("src", "anc"), ["src", "anc"], "left_anti").unionByName(changed)
 
 
 def propagate(terms: DataFrame, closed: DataFrame, keys: list[str]) -> DataFrame:

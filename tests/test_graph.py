@@ -26,6 +26,54 @@ def test_depth_limit_and_relations(graph):
     assert depths(isa3, 50) == {50: 0, 25: 1, 12: 2, 6: 3}
 
 
+def test_asked_nodes_beyond_the_first_hops(spark, graph, closed):
+    nodes = spark.createDataFrame([(50,), (24,), (99,)], "node int")
+    want = sorted([r for r in rows(closed, "src", "anc", "depth") if r[0] in (50, 24)] + [(99, 99, 0)])
+    assert rows(dag.closure(graph, nodes=nodes, hops=1), "src", "anc", "depth") == want
+
+
+def long_graph(spark):
+    """A chain of 40 nodes with some shortcuts."""
+    e = [(k, k - 1, "is_a") for k in range(2, 41)] + [(30, 12, "part_of"), (12, 3, "is_a"), (40, 31, "is_a")]
+    return spark.createDataFrame(e, "child int, parent int, rel string")
+
+
+def shortest(edges, limit=99):
+    """Distances by breadth first search."""
+    up = {}
+    for c, p in edges:
+        up.setdefault(c, set()).add(p)
+    out = []
+    for s in {x for e in edges for x in e}:
+        seen, ring, d = {s: 0}, {s}, 0
+        while ring and d < limit:
+            d += 1
+            ring = {p for n in ring for p in up.get(n, ())} - set(seen)
+            seen.update(dict.fromkeys(ring, d))
+        out += [(s, a, n) for a, n in seen.items()]
+    return sorted(out)
+
+
+def test_long_paths_double(spark):
+    g = long_graph(spark)
+    want = shortest(rows(g, "child", "parent"))
+    for hops in (1, 3, 4):
+        assert rows(dag.closure(g, hops=hops), "src", "anc", "depth") == want
+    assert rows(dag.closure(g, hops=2, max_depth=7), "src", "anc", "depth") == shortest(rows(g, "child", "parent"), 7)
+
+
+def test_added_edges_give_the_closure_of_the_whole_graph(spark, graph):
+    long = long_graph(spark)
+    for g, part, limit in ((graph, "child % 3 = 0", None), (graph, "parent <= 2", 6), (long, "child % 2 = 0", None), (long, "true", None),
+                           (long, "child in (12, 30)", 6)):
+        added = g.filter(part)
+        again = added.union(g.filter("child = 5"))  # repeated edges, and one that is there already
+        got = dag.extend_closure(dag.closure(g.filter(f"NOT ({part})"), max_depth=limit), again, max_depth=limit)
+        assert rows(got, "src", "anc", "depth") == shortest(rows(g, "child", "parent"), limit or 99), (part, limit)
+    same = dag.extend_closure(dag.closure(graph), graph.limit(0))
+    assert rows(same, "src", "anc", "depth") == shortest(rows(graph, "child", "parent"))
+
+
 def test_resnik_and_propagation(spark, closed):
     truths = spark.createDataFrame([("g1", 4), ("g2", 6), ("g3", 12)], "gene string, term int")
     from enrichspark.operators.scoring import information_content
