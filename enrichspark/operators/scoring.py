@@ -185,32 +185,70 @@ def constant_prior(propagated: DataFrame, dev: DataFrame, vocabulary: DataFrame,
                    k: int = 3) -> DataFrame:
     """(rank, term): the fixed list that maximises mean F1 over the development genes, chosen greedily.
 
-    One aggregation over genes x vocabulary per step; only the winning term returns to the driver.
+    F1 is linear in the overlap once the predicted mass is known, so a term's score is the gain over its postings (the genes
+    that carry an ancestor it would newly cover) plus what the list so far gives at that mass. The latter falls with the mass and
+    is convex in it: sums at fixed points bound it for every term, and only terms that can still win are summed
+    exactly. After a pick only genes and postings with a newly covered ancestor change. Among equals the smallest id wins.
     """
-    sets = reachable_sets(vocabulary, closed, ic, [])
-    every = sets.agg(F.array_sort(F.collect_list(F.struct("term", "anc_set"))).alias("v")).scalar()
-    genes = materialize(propagated.join(dev.select("gene"), "gene", "left_semi").join(ic, "term").groupBy("gene")
-                        .agg(F.sum("ic").alias("truth_mass"),
-                             F.collect_list(F.when(F.col("ic") > 0, F.struct(F.col("term").alias("anc"), "ic"))).alias("own")), "prior")
     spark = propagated.sparkSession
-    chosen: list = []
-    have, best = F.array().cast(sets.schema["anc_set"].dataType), -1.0
+    reach = materialize(vocabulary.select("term").distinct().join(closed.select(F.col("src").alias("term"), "anc").distinct(), "term")
+                        .join(ic.filter("ic > 0").select(F.col("term").alias("anc"), "ic"), "anc"), "reach")
+    own = materialize(propagated.join(dev.select("gene").distinct(), "gene", "left_semi").join(ic, "term")
+                      .select("gene", F.col("term").alias("anc"), "ic"), "own")
+    genes = materialize(own.groupBy("gene").agg(F.sum("ic").alias("truth_mass"), F.lit(0.0).alias("overlap")), "genes")
+    n = max(genes.count(), 1)
+    postings = materialize(split_join(own.select("gene", "anc"), reach, ["anc"], "anc").groupBy("term", "gene")
+                           .agg(F.sum("ic").alias("gain")).join(genes.select("gene", "truth_mass"), "gene"), "postings")
+    chosen, covered, best = [], 0.0, -1.0
     for _ in range(k):
-        union = F.array_union(F.col("v.anc_set"), F.col("have"))
-        f = f1(_mass(F.array_intersect(union, F.col("own"))), _mass(union), F.col("truth_mass"))
-        top = (spread(genes, "gene").withColumn("have", have).withColumn("v", F.explode(every))
-               .groupBy(F.col("v.term").alias("term")).agg(F.avg(f).alias("score"))
-               .orderBy(F.round("score", 10).desc(), "term").first())
+        mass = reach.groupBy("term").agg(F.sum("ic").alias("mass"))
+        won = (postings.join(mass, "term").groupBy("term")
+               .agg(F.sum(2 * F.col("gain") / (covered + F.col("mass") + F.col("truth_mass"))).alias("won")))
+        scored = mass.join(won, "term", "left").select("term", "mass", (F.coalesce("won", F.lit(0.0)) / n).alias("score"))
+        if chosen:
+            scored = _with_kept(materialize(scored, "scored"), genes.filter("overlap > 0"), covered, n)
+        top = scored.orderBy(F.round("score", 10).desc(), "term").first()
         if top is None or top["score"] <= best + 1e-12:
             break
-        best = top["score"]
+        best, covered = top["score"], covered + top["mass"]
         chosen.append(top["term"])
-        picked = sets.filter(F.col("term").isin(*chosen)).select(F.explode("anc_set").alias("x")).distinct()
-        have = picked.agg(F.collect_list("x").alias("x")).scalar()
+        if len(chosen) < k:
+            pick = F.col("term") == F.lit(top["term"])
+            newly = reach.filter(pick).select("anc")
+            gained = postings.filter(pick).select("gene", "gain")
+            # genes without a gain carry none of the newly covered ancestors, so their postings stay as they are
+            shared = own.join(gained.select("gene"), "gene", "left_semi").join(newly, "anc", "left_semi").select("gene", "anc")
+            lost = split_join(shared, reach, ["anc"], "anc").groupBy("term", "gene").agg(F.sum("ic").alias("lost"))
+            genes, postings, reach = (
+                materialize(genes.join(gained, "gene", "left").select("gene", "truth_mass", (F.col("overlap") + F.coalesce("gain", F.lit(0.0))).alias("overlap")), "genes"),
+                materialize(postings.join(lost, ["term", "gene"], "left").withColumn("gain", F.col("gain") - F.coalesce("lost", F.lit(0.0)))
+                            .filter("gain > 1e-12").drop("lost"), "postings"),
+                materialize(reach.join(newly, "anc", "left_anti"), "reach"))
     term_type = vocabulary.schema["term"].dataType.simpleString()
     return spark.createDataFrame([(i + 1, t) for i, t in enumerate(chosen)], f"rank int, term {term_type}")
 
 
+def _with_kept(scored: DataFrame, genes: DataFrame, covered: float, n: int, points: int = 64) -> DataFrame:
+    """scored(term, mass, score) of the terms that may come first, with the mean F1 of genes(truth_mass, overlap) at their mass added."""
+    width = scored.agg(F.max("mass")).first()[0]
+    if width is None:
+        return scored
+
+    def kept(x: Column) -> Column:
+        return F.coalesce(F.sum(2 * F.col("overlap") / (covered + x + F.col("truth_mass"))), F.lit(0.0)) / n
+    grid = genes.agg(F.array(*[kept(F.lit(width * i / points)) for i in range(points + 1)]).alias("y")).first()["y"]
+    at = F.col("mass") / width * points
+    cell = F.least(F.floor(at), F.lit(points - 1)).cast("int")
+    y = F.array(*[F.lit(v) for v in grid])
+    left, right = F.get(y, cell), F.get(y, cell + 1)
+    bounded = scored.withColumns({"_low": F.col("score") + right, "_high": F.col("score") + left + (right - left) * (at - cell)})
+    bar = bounded.agg(F.max("_low")).first()[0]
+    able = bounded.filter(F.col("_high") >= bar - 1e-9).select("term", "mass", "score")
+    masses = able.agg(F.collect_set("mass")).scalar()
+    exact = genes.select("overlap", "truth_mass", F.explode(masses).alias("mass")).groupBy("mass").agg(kept(F.col("mass")).alias("_kept"))
+    return able.join(exact, "mass", "left").select("term", "mass", (F.col("score") + F.coalesce("_kept", F.lit(0.0))).alias("score"))
+
+
 def matched_random_vocabularies(vocabulary: DataFrame, pool: DataFrame, n_draws: int, seed: int,
                                 tolerance: float = 0.25) -> DataFrame:
     """(draw, term): for each vocabulary term a random pool term of similar IC, without reuse in a draw.

@@ -87,6 +87,26 @@ def test_constant_prior_is_the_best_first_term(spark, closed, world):
         assert got[1][1] == min(vocab, key=lambda t: (-round(mean([first, t]), 8), t))
 
 
+def test_constant_prior_is_the_greedy_list(spark, closed, world):
+    """Every step against brute force, with a term that no gene carries and a repeated vocabulary row."""
+    vocab = [4, 6, 9, 10, 12, 15, 20, 24, 30, 36, 48, 50]
+    v = spark.createDataFrame([(t,) for t in vocab + [4]], "term int")
+    for start in (0, 1):
+        held = [g for g in range(start, 60, 2) if g in world["sets"]]
+        dev = spark.createDataFrame([(g,) for g in range(start, 60, 2)], "gene int")
+        got = rows(scoring.constant_prior(world["prop"], dev, v, closed, world["ic"], 5), "rank", "term")
+        chosen, best = [], -1.0
+        for _ in range(5):
+            score = {t: sum(f1(world, g, chosen + [t]) for g in held) / len(held) for t in vocab if t not in chosen}
+            t = min(score, key=lambda t: (-round(score[t], 10), t))
+            if score[t] <= best + 1e-12:
+                break
+            best, chosen = score[t], chosen + [t]
+        assert got == list(enumerate(chosen, 1)) and len(chosen) > 1
+    assert scoring.constant_prior(world["prop"], dev, v.limit(0), closed, world["ic"], 2).count() == 0
+    assert scoring.constant_prior(world["prop"], dev.limit(0), v, closed, world["ic"], 2).count() == 1
+
+
 def test_transfer_leaves_the_gene_out(spark, closed, world):
     """Scores equal those from a table built without the gene."""
     cands = spark.createDataFrame([(4,), (6,), (12,)], "term int")
