@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from enrichspark.functions.draws import hash32
-from enrichspark.functions.ordering import cumulative
+from enrichspark.functions.ordering import cumulative, global_rank
+from enrichspark.session import materialize
 
 
 def pseudobulk(cells: DataFrame, min_cells: int = 50, min_donors: int = 2) -> DataFrame:
@@ -85,6 +86,19 @@ def contaminate(sides: DataFrame, share: float, seed: int) -> DataFrame:
     return rows.filter(keep).select("gene", "ct", (F.col("side") == "negative").alias("swapped"))
 
 
+def mismatched(pairs: DataFrame, order: list[str], group: str, left: str, right: str, n: int) -> DataFrame:
+    """(left, right) of different groups: each row's left with the right of the n rows after its place, round the end.
+
+    order must identify a row of pairs; rows of its own group are left out. n sets the size of the null: all mismatches
+    would be the square of the table.
+    """
+    ranked = materialize(global_rank(pairs, order, "_r"), "pairs")
+    total = ranked.agg(F.count("*").alias("n")).scalar()
+    far = (ranked.select(F.col(group).alias("_g"), left, "_r").withColumn("_n", total).withColumn("_s", F.explode(F.sequence(F.lit(1), F.lit(n))))
+           .select("_g", left, ((F.col("_r") + F.col("_s") - 1) % F.col("_n") + 1).alias("_r")))
+    return far.join(ranked.select("_r", group, right), "_r").filter(F.col(group) != F.col("_g")).select(left, right)
+
+
 def null_calibration(observed: DataFrame, null: DataFrame) -> DataFrame:
     """z, percentile and empirical p of observed(key, value) against null(value).
 

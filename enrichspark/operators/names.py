@@ -91,29 +91,40 @@ def classify_invalid(texts: DataFrame, terms: DataFrame, synonyms: DataFrame, mi
     return rows.withColumn("class", cls).withColumn("nearest", nearest).select("text", "class", "nearest")
 
 
-def near_names(asked: DataFrame, named: DataFrame, min_jaccard: float) -> DataFrame:
+def near_names(asked: DataFrame, named: DataFrame, min_jaccard: float, split_above: int = 256) -> DataFrame:
     """(name, _near): the id of the most similar name by word overlap, at least min_jaccard, per asked name.
 
-    Two word sets that similar always share one of their few rarest words, and their sizes differ by no more than
-    the similarity allows, so candidates meet on a rare word and a size; no candidate is lost.
+    The sizes of two word sets fix how many words they must share. Ordered by rarity, the first shared word then stands so early
+    in both that enough words follow it, and a second one, where two are needed, no more than a place later. Names meet
+    on both sizes and that first word; a word of more than split_above names meets together with the next shared word, so that
+    common words make no large groups. No candidate is lost.
     """
     def split(df):
         return df.select("key", F.explode(F.array_distinct(F.split("name", " "))).alias("token"))
     freq = split(named).groupBy("token").agg(F.count("*").alias("f"))
 
     def profile(df):
-        sets = (split(df).join(freq, "token", "left").groupBy("key")
-                .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "token"))).alias("_t")))
-        size = F.size("_t")
-        return sets.select("key", F.transform("_t", lambda x: x["token"]).alias("tokens"),
-                           F.transform(F.slice("_t", F.lit(1), (size - F.ceil(size * min_jaccard) + 1).cast("int")),
-                                       lambda x: x["token"]).alias("prefix"))
-    n = F.size("tokens")
-    low, high = F.ceil(n * min_jaccard - 1e-9).cast("int"), F.floor(n / min_jaccard + 1e-9).cast("int")
-    a = profile(asked).withColumn("n", F.explode(F.sequence(low, high))).withColumn("meet", F.explode("prefix"))
-    b = (profile(named).join(named.select("key", "id"), "key").withColumn("meet", F.explode("prefix"))
-         .select("meet", n.alias("n"), "id", F.col("tokens").alias("tokens_b")))
-    return (a.join(b, ["meet", "n"])
+        rare_first = F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "token")))
+        return (split(df).join(freq, "token", "left").groupBy("key").agg(rare_first.alias("_t"))
+                .withColumn("tokens", F.transform("_t", lambda x: x["token"])).withColumn("n", F.size("_t")))
+
+    def meets(df, other):
+        """One row per size of the other side and word or pair of words to meet on."""
+        low, high = F.ceil(F.col("n") * min_jaccard - 1e-9).cast("int"), F.floor(F.col("n") / min_jaccard + 1e-9).cast("int")
+        shared = F.ceil((F.col("n") + F.col(other)) * min_jaccard / (1 + min_jaccard) - 1e-9).cast("int")
+
+        def words(x, i):
+            later = F.filter(F.slice("_t", i + 2, F.col("n") - F.col("shared") + 1 - i), lambda y: y["f"] > 0)
+            pairs = F.transform(later, lambda y: F.concat_ws(" ", x["token"], y["token"]))
+            return (F.when(x["f"] == 0, F.array().cast("array<string>")).when((x["f"] > split_above) & (F.col("shared") > 1), pairs)
+                    .otherwise(F.array(x["token"])))
+        first = F.slice("_t", F.lit(1), F.col("n") - F.col("shared") + 1)
+        return (df.withColumn(other, F.explode(F.sequence(low, high))).withColumn("shared", shared)
+                .withColumn("meet", F.explode(F.flatten(F.transform(first, words)))))
+    a = meets(profile(asked), "n_other").select("key", "tokens", "meet", "n", "n_other")
+    b = (meets(profile(named), "n_other").join(named.select("key", "id"), "key")
+         .select("meet", F.col("n_other").alias("n"), F.col("n").alias("n_other"), "id", F.col("tokens").alias("tokens_b")))
+    return (a.join(b, ["meet", "n", "n_other"])
             .select(F.col("key").alias("name"), "id", jaccard(F.col("tokens"), F.col("tokens_b")).alias("j"))
             .filter(F.col("j") >= min_jaccard)
             .groupBy("name").agg(F.min(F.struct((-F.col("j")).alias("o"), "id")).alias("_near")))

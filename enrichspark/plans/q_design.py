@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from enrichspark.functions.ordering import global_rank
 from enrichspark.functions.text import jaccard, normalise
 from enrichspark.operators import design
 from enrichspark.plans.registry import query, rounded
@@ -94,32 +93,30 @@ def _(m):
 
 TOK = "list_distinct(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' '))"
 fragment("d_conv", f"""
-SELECT a.conv_id, {TOK.format('a.text')} ta, {TOK.format('b.text')} tb, row_number() OVER (ORDER BY a.conv_id) r, count(*) OVER () n
-FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND a.turn = 0 AND b.turn = 1""")
+SELECT a.conv_id, a.turn, {TOK.format('a.text')} ta, {TOK.format('b.text')} tb, row_number() OVER (ORDER BY a.turn, a.conv_id) r, count(*) OVER () n
+FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1""")
 fragment("d_null", """
 SELECT round(len(list_intersect(x.ta, y.tb)) / CAST(len(x.ta) + len(y.tb) - len(list_intersect(x.ta, y.tb)) AS DOUBLE), 9) AS value
-FROM d_conv x JOIN (SELECT unnest(range(1, 11)) s) ON TRUE JOIN d_conv y ON y.r = (x.r + s - 1) % x.n + 1""")
+FROM d_conv x JOIN (SELECT unnest(range(1, 11)) s) ON TRUE JOIN d_conv y ON y.r = (x.r + s - 1) % x.n + 1 WHERE y.conv_id <> x.conv_id""")
 
 
 @query("null_calibration", """
-SELECT o.conv_id AS key, o.v AS value, round((o.v - (SELECT avg(value) FROM d_null)) / (SELECT stddev_samp(value) FROM d_null), 4) z,
+SELECT o.conv_id AS key, o.turn, o.v AS value, round((o.v - (SELECT avg(value) FROM d_null)) / (SELECT stddev_samp(value) FROM d_null), 4) z,
   round((SELECT count(*) FROM d_null n WHERE n.value < o.v) / CAST((SELECT count(*) FROM d_null) AS DOUBLE), 4) percentile,
   round(1 - (SELECT count(*) FROM d_null n WHERE n.value < o.v) / CAST((SELECT count(*) FROM d_null) AS DOUBLE), 4) p
-FROM (SELECT conv_id, round(len(list_intersect(ta, tb)) / CAST(len(ta) + len(tb) - len(list_intersect(ta, tb)) AS DOUBLE), 9) v FROM d_conv) o""")
+FROM (SELECT conv_id, turn, round(len(list_intersect(ta, tb)) / CAST(len(ta) + len(tb) - len(list_intersect(ta, tb)) AS DOUBLE), 9) v FROM d_conv) o""")
 def _(m):
-    """Similarity of the two first turns of a conversation, against ten mismatched conversations each."""
+    """Similarity of every two neighbouring turns of a conversation, against ten mismatches each."""
     from enrichspark.session import materialize
 
-    def tokens(turn, name):
-        return (m.table("conversations").filter(F.col("turn") == turn)
-                .select("conv_id", F.array_distinct(F.split(normalise(F.col("text")), " ")).alias(name)))
-    pairs = materialize(global_rank(tokens(0, "ta").join(tokens(1, "tb"), "conv_id"), ["conv_id"], "r"), "pairs")
-    n = pairs.agg(F.count("*").alias("n")).scalar()
-    far = (pairs.select("ta", "r").withColumn("n", n).withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(10))))
-           .select("ta", ((F.col("r") + F.col("s") - 1) % F.col("n") + 1).alias("r")).join(pairs.select("r", "tb"), "r"))
+    turns = m.table("conversations").select("conv_id", "turn", F.array_distinct(F.split(normalise(F.col("text")), " ")).alias("ta"))
+    replies = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ta").alias("tb"))
+    pairs = materialize(turns.join(replies, ["conv_id", "turn"]), "turns")
     sim = F.round(jaccard(F.col("ta"), F.col("tb")), 9).alias("value")
-    out = design.null_calibration(pairs.select(F.col("conv_id").alias("key"), sim), far.select(sim))
-    return out.select("key", "value", *[F.round(c, 4).alias(c) for c in ("z", "percentile", "p")])
+    observed = pairs.select(F.struct("conv_id", "turn").alias("key"), sim)
+    out = design.null_calibration(observed, design.mismatched(pairs, ["turn", "conv_id"], "conv_id", "ta", "tb", 10).select(sim))
+    return out.select(F.col("key.conv_id").alias("key"), F.col("key.turn").alias("turn"), "value",
+                      *[F.round(c, 4).alias(c) for c in ("z", "percentile", "p")])
 
 
 @query("specificity", """

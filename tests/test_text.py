@@ -124,3 +124,32 @@ def test_blinding_against_every_pair(spark):
                 first[t] = min(at, first.get(t, at))
         want = sorted(t for t, at in first.items() if at < r.turn and re.search(f"(?<![A-Za-z0-9]){re.escape(t)}(?![A-Za-z0-9])", r.text, re.I | re.A))
         assert (r.hits, r.ok) == (want, not want), (r, want)
+
+
+def test_no_reworded_name_is_lost(spark):
+    """The nearest name of every asked one against all pairs, with common words that meet by twos."""
+    import random
+    rng = random.Random(5)
+    words = ["of", "cell", "binding"] + [f"w{i}" for i in range(12)]
+    name = lambda: " ".join(rng.choices(words, [8, 6, 4] + [1] * 12, k=rng.randint(1, 7)))
+    named = [(str(i), i, name()) for i in range(300)]
+    asked = sorted({name() for _ in range(300)} | {"", "of", "unheard", "of cell"})
+    a = spark.createDataFrame([(x, x) for x in asked], "key string, name string")
+    b = spark.createDataFrame(named, "key string, id int, name string")
+    for least in (0.75, 0.5, 1.0):
+        want = {}
+        for x in asked:
+            s = set(x.split(" "))
+            best = min(((-len(s & t) / len(s | t), i) for _, i, t in ((k, i, set(n.split(" "))) for k, i, n in named)), default=None)
+            if -best[0] >= least:
+                want[x] = best[1]
+        for split in (2, 256):
+            got = {r["name"]: r["_near"]["id"] for r in names.near_names(a, b, least, split).collect()}
+            assert got == want, (least, split)
+
+
+def test_mismatches_are_of_other_groups(spark):
+    from enrichspark.operators.design import mismatched
+    pairs = spark.createDataFrame([(c, t, f"a{c}{t}", f"b{c}{t}") for c in range(4) for t in range(3)], "c int, t int, x string, y string")
+    got = [(r["x"], r["y"]) for r in mismatched(pairs, ["t", "c"], "c", "x", "y", 4).collect()]
+    assert len(got) == 12 * 3 and len(set(got)) == 36 and all(x[1] != y[1] for x, y in got)
