@@ -84,3 +84,17 @@ def shuffled_baseline(preds: DataFrame, donors: DataFrame) -> DataFrame:
     """A gene's own predictions under each donor's name: (target, gene, place, term, rank), ready to be classified."""
     return (preds.withColumnRenamed("gene", "target")
             .join(donors.select(F.col("gene").alias("target"), F.col("donor").alias("gene"), "place"), "target"))
+
+
+def shuffled_rates(classified: DataFrame, targets: DataFrame, top: int = 3) -> DataFrame:
+    """Per target gene, means over its donors: predictions of each kind, any match, any exact match, any match in the first `top`.
+
+    classified is shuffled_baseline with a kind per row. Targets without predictions or donors keep their row, with nulls.
+    """
+    match, exact = F.col("kind") != "no_match", F.col("kind") == "exact"
+    kinds = {f"shuffled_{k}": F.count_if(F.col("kind") == k) for k in ("exact", "upward", "downward", "no_match")}
+    flags = {"shuffled_any_match": match, "shuffled_any_exact": exact, f"shuffled_match_at_{top}": match & (F.col("rank") <= top)}
+    per = classified.groupBy("target", "place").agg(
+        *[c.alias(n) for n, c in kinds.items()], *[F.max(c.cast("int")).alias(n) for n, c in flags.items()])
+    means = per.groupBy("target").agg(*[F.avg(n).alias(n) for n in (*kinds, *flags)])
+    return targets.select(F.col("gene").alias("target")).join(means, "target", "left")

@@ -25,6 +25,32 @@ def name_index(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
             .filter(F.col("id") == F.col("_other")).select("name", "id"))
 
 
+# fixed values: the fields an answer's text may stand in, after the one asked for, and the list they stand in
+ANSWER_FIELDS = ("go_id", "name", "term", "id")
+ANSWER_LIST = "predictions"
+
+
+def answer_entries(responses: DataFrame, key: str, payload: str, field: str = "name") -> DataFrame:
+    """(key, position, written, confidence) of the entries of each JSON answer, positions from 0.
+
+    An entry is a plain string or an object with its text in `field` or, where that is missing or empty, in one of ANSWER_FIELDS; other
+    entries are skipped and take no position. Only a number counts as confidence. What isn't JSON, or has no such list, gives no rows.
+    """
+    entries = F.from_json(payload, f"{ANSWER_LIST} array<variant>")[ANSWER_LIST]
+
+    def read(v):
+        def of(path, kind):
+            return F.try_variant_get(v, f"$.{path}", kind)
+        plain = F.schema_of_variant(v) == "STRING"
+        kind = F.schema_of_variant(of("confidence", "variant"))
+        number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+        text = F.coalesce(*[F.nullif(of(f, "string"), F.lit("")) for f in dict.fromkeys((field, *ANSWER_FIELDS))])
+        return F.struct(F.when(plain, F.nullif(F.try_variant_get(v, "$", "string"), F.lit(""))).otherwise(text).alias("written"),
+                        F.when(~plain & number, of("confidence", "double")).alias("confidence"))
+    written = F.filter(F.transform(entries, read), lambda e: e["written"].isNotNull())
+    return responses.select(key, F.posexplode(written).alias("position", "_e")).select(key, "position", "_e.written", "_e.confidence")
+
+
 def resolve_predictions(answers: DataFrame, index: DataFrame, candidates: DataFrame, key: str, mode: str = "freeform",
                         id_pattern: str = "(?:GO:)?\\s*(\\d{7})", prefix: str = "GO:", max_predictions: int | None = None) -> DataFrame:
     """Resolved predictions of answers(key, position, written, confidence), position from 0.
@@ -58,11 +84,12 @@ def resolve_predictions(answers: DataFrame, index: DataFrame, candidates: DataFr
 
 
 def resolution_diagnostics(resolved: DataFrame, key: str) -> DataFrame:
-    """Per answer: raw, valid and invalid predictions, valid ones inside the candidate table and their share."""
+    """Per answer: raw, valid and invalid predictions, valid ones inside and outside the candidate table and the share inside."""
     valid = F.col("rank").isNotNull()
     out = resolved.groupBy(key).agg(
         F.count("*").alias("n_raw"), F.count_if(valid).alias("n_valid"), F.count_if(F.col("id").isNull() & ~F.col("beyond")).alias("n_invalid"), F.count_if("beyond").alias("n_beyond"),
-        F.count_if("duplicate").alias("n_duplicate"), F.count_if(valid & F.col("in_table")).alias("n_in_table"))
+        F.count_if("duplicate").alias("n_duplicate"), F.count_if(valid & F.col("in_table")).alias("n_in_table"),
+        F.count_if(valid & ~F.col("in_table")).alias("n_outside_table"))
     return out.withColumn("frac_in_table", F.when(F.col("n_valid") > 0, F.col("n_in_table") / F.col("n_valid")))
 
 

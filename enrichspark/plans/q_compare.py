@@ -156,14 +156,18 @@ SELECT d.gene AS target, d.donor AS gene, d.place, r.term FROM t_donors5 d JOIN
 
 
 @query("shuffled_baseline", """
-SELECT target, round(avg(CASE WHEN kind <> 'no_match' THEN 1.0 ELSE 0.0 END), 6) match_rate,
-  round(avg(CASE WHEN kind = 'exact' THEN 1.0 ELSE 0.0 END), 6) exact_rate FROM t_shuffled_match GROUP BY 1""")
+WITH k AS (SELECT s.target, s.place, kind, kind <> 'no_match' hit, rank FROM t_shuffled_match s
+  JOIN t_rank_ora r ON r.gene = s.target AND r.term = s.term AND unit = 'cell_types'),
+d AS (SELECT target, place, count(*) FILTER (kind = 'exact') e, count(*) FILTER (kind = 'upward') u, count(*) FILTER (kind = 'downward') w,
+  count(*) FILTER (NOT hit) n, max(CASE WHEN hit THEN 1 ELSE 0 END) am, max(CASE WHEN kind = 'exact' THEN 1 ELSE 0 END) ae,
+  max(CASE WHEN hit AND rank <= 3 THEN 1 ELSE 0 END) m3 FROM k GROUP BY 1, 2)
+SELECT s_suppkey target, round(avg(e), 6) shuffled_exact, round(avg(u), 6) shuffled_upward, round(avg(w), 6) shuffled_downward, round(avg(n), 6) shuffled_no_match,
+  round(avg(am), 6) shuffled_any_match, round(avg(ae), 6) shuffled_any_exact, round(avg(m3), 6) shuffled_match_at_3
+FROM supplier LEFT JOIN d ON target = s_suppkey GROUP BY 1""")
 def _(m):
     rows = donors.shuffled_baseline(predictions(m), gene_donors(m, 5))
     kinds = matching.classify(rows, m.truths, m.closed, ["target", "gene", "place"])
-    return rounded(kinds.groupBy("target").agg(
-        F.avg(F.when(F.col("kind") != "no_match", 1.0).otherwise(0.0)).alias("match_rate"),
-        F.avg(F.when(F.col("kind") == "exact", 1.0).otherwise(0.0)).alias("exact_rate")))
+    return rounded(donors.shuffled_rates(kinds, m.table("supplier").select(F.col("s_suppkey").alias("gene"))))
 
 
 # -- samples and splits

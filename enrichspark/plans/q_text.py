@@ -279,12 +279,26 @@ def order_answers(m):
     written = (F.when(n == 0, F.upper(F.replace(label, F.lit(" "), F.lit("-")))).when(n == 1, F.concat("p_name", F.lit("-"), "p_size", F.lit(" "), "p_brand"))
                .when(n == 2, F.concat(F.lit("GO:"), F.lpad(F.col("l_partkey").cast("string"), 7, "0")))
                .when(n == 3, F.concat(F.lit("mystery "), F.col("l_partkey").cast("string"))).otherwise(label))
-    packed = li.groupBy(F.col("l_orderkey").alias("key")).agg(F.to_json(F.struct(F.transform(
-        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", written.alias("name")))),
-        lambda x: F.struct(x["name"].alias("name"), F.lit(0.5).alias("confidence"))).alias("predictions"))).alias("payload"))
-    parsed = F.from_json("payload", "predictions array<struct<name:string,confidence:double>>")["predictions"]
-    return packed.select("key", F.posexplode(parsed).alias("position", "p")).select("key", "position", F.col("p.name").alias("written"),
-                                                                                     F.col("p.confidence").alias("confidence"))
+    # every form an answer may take: objects with the text in several fields, and plain strings
+    fields = [F.when(n == i, F.to_json(F.struct(*cols))) for i, cols in enumerate((
+        (F.lit("").alias("name"), written.alias("id"), F.lit("high").alias("confidence")), (written.alias("name"), F.lit(0.5).alias("confidence")),
+        (written.alias("go_id"), F.lit(1).alias("confidence")), (written.alias("term"),)))]
+    quoted = F.regexp_replace(F.to_json(F.array(written)), r"^\[|\]$", "")
+    entry = F.coalesce(*fields, quoted).alias("entry")
+    packed = li.groupBy(F.col("l_orderkey").alias("key")).agg(F.concat(
+        F.lit('{"predictions": ['),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", entry))), lambda x: x["entry"]), ", "),
+        F.lit("]}")).alias("payload"))
+    return names.answer_entries(packed, "key", "payload")
+
+
+@query("answer_entries", """
+SELECT key, position, written, CASE (SELECT any_value(l_linenumber % 5) FROM (SELECT DISTINCT l_orderkey k, l_linenumber,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 p
+  FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem)) WHERE k = key AND p = position) WHEN 1 THEN 0.5 WHEN 2 THEN 1.0 END::DOUBLE confidence
+FROM n_answers""")
+def _(m):
+    return rounded(order_answers(m))
 
 
 def resolved(m):
@@ -305,6 +319,7 @@ def _(m):
 @query("resolution_diagnostics", """
 SELECT key, count(*) n_raw, count(*) FILTER (id IS NOT NULL AND NOT dup) n_valid, count(*) FILTER (id IS NULL) n_invalid, CAST(0 AS BIGINT) n_beyond, count(*) FILTER (dup) n_duplicate,
   count(*) FILTER (id IS NOT NULL AND NOT dup AND id IN (SELECT p_partkey FROM part WHERE p_size <= 10)) n_in_table,
+  count(*) FILTER (id IS NOT NULL AND NOT dup AND id NOT IN (SELECT p_partkey FROM part WHERE p_size <= 10)) n_outside_table,
   round(count(*) FILTER (id IS NOT NULL AND NOT dup AND id IN (SELECT p_partkey FROM part WHERE p_size <= 10))
     / nullif(CAST(count(*) FILTER (id IS NOT NULL AND NOT dup) AS DOUBLE), 0), 6) frac_in_table FROM n_resolved GROUP BY 1""")
 def _(m):

@@ -153,3 +153,20 @@ def test_mismatches_are_of_other_groups(spark):
     pairs = spark.createDataFrame([(c, t, f"a{c}{t}", f"b{c}{t}") for c in range(4) for t in range(3)], "c int, t int, x string, y string")
     got = [(r["x"], r["y"]) for r in mismatched(pairs, ["t", "c"], "c", "x", "y", 4).collect()]
     assert len(got) == 12 * 3 and len(set(got)) == 36 and all(x[1] != y[1] for x, y in got)
+
+
+def test_entries_of_answers(spark):
+    said = [(1, '{"predictions": ["a", {"name": "b", "confidence": 0.25}, {"name": "", "term": "c", "confidence": "high"}, {"x": 1}, null, 7, {"id": 12, "confidence": 1}, ""]}'),
+            (2, '{"predictions": []}'), (3, "no json"), (4, None), (5, '{"predictions": [{"go_id": "g", "name": "n"}]}'), (6, '{"other": ["a"]}')]
+    df = spark.createDataFrame(said, "key int, payload string")
+    got = sorted((tuple(r) for r in names.answer_entries(df, "key", "payload").collect()), key=str)
+    assert got == [(1, 0, "a", None), (1, 1, "b", 0.25), (1, 2, "c", None), (1, 3, "12", 1.0), (5, 0, "n", None)]
+    assert [r["written"] for r in names.answer_entries(df.filter("key = 5"), "key", "payload", "go_id").collect()] == ["g"]
+
+
+def test_shuffled_rates(spark):
+    from enrichspark.operators.donors import shuffled_rates
+    rows = [(1, 1, 1, "no_match"), (1, 1, 4, "exact"), (1, 2, 1, "upward"), (1, 2, 4, "no_match"), (2, 1, 1, "no_match")]
+    df = spark.createDataFrame(rows, "target int, place int, rank int, kind string")
+    got = {r["target"]: tuple(r)[1:] for r in shuffled_rates(df, spark.createDataFrame([(1,), (2,), (3,)], "gene int")).collect()}
+    assert got == {1: (0.5, 0.5, 0.0, 1.0, 1.0, 0.5, 0.5), 2: (0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0), 3: (None,) * 7}
