@@ -197,7 +197,7 @@ def constant_prior(propagated: DataFrame, dev: DataFrame, vocabulary: DataFrame,
                       .select("gene", F.col("term").alias("anc"), "ic"), "own")
     genes = materialize(own.groupBy("gene").agg(F.sum("ic").alias("truth_mass"), F.lit(0.0).alias("overlap")), "genes")
     n = max(genes.count(), 1)
-    postings = materialize(split_join(own.select("gene", "anc"), reach, ["anc"], "anc").groupBy("term", "gene")
+    postings = materialize(split_join(own.select("gene", "anc"), reach, ["anc"], "anc", source=own.select("anc")).groupBy("term", "gene")
                            .agg(F.sum("ic").alias("gain")).join(genes.select("gene", "truth_mass"), "gene"), "postings")
     chosen, covered, best = [], 0.0, -1.0
     for _ in range(k):
@@ -218,7 +218,7 @@ def constant_prior(propagated: DataFrame, dev: DataFrame, vocabulary: DataFrame,
             gained = postings.filter(pick).select("gene", "gain")
             # genes without a gain carry none of the newly covered ancestors, so their postings stay as they are
             shared = own.join(gained.select("gene"), "gene", "left_semi").join(newly, "anc", "left_semi").select("gene", "anc")
-            lost = split_join(shared, reach, ["anc"], "anc").groupBy("term", "gene").agg(F.sum("ic").alias("lost"))
+            lost = split_join(shared, reach, ["anc"], "anc", source=own.select("anc")).groupBy("term", "gene").agg(F.sum("ic").alias("lost"))
             genes, postings, reach = (
                 materialize(genes.join(gained, "gene", "left").select("gene", "truth_mass", (F.col("overlap") + F.coalesce("gain", F.lit(0.0))).alias("overlap")), "genes"),
                 materialize(postings.join(lost, ["term", "gene"], "left").withColumn("gain", F.col("gain") - F.coalesce("lost", F.lit(0.0)))
@@ -228,7 +228,7 @@ def constant_prior(propagated: DataFrame, dev: DataFrame, vocabulary: DataFrame,
     return spark.createDataFrame([(i + 1, t) for i, t in enumerate(chosen)], f"rank int, term {term_type}")
 
 
-def _with_kept(scored: DataFrame, genes: DataFrame, covered: float, n: int, points: int = 64) -> DataFrame:
+def _with_kept(scored: DataFrame, genes: DataFrame, covered: float, n: int, points: int = 16) -> DataFrame:
     """scored(term, mass, score) of the terms that may come first, with the mean F1 of genes(truth_mass, overlap) at their mass added."""
     width = scored.agg(F.max("mass")).first()[0]
     if width is None:
