@@ -92,6 +92,12 @@ def validity_state(runs: DataFrame) -> DataFrame:
         F.sum("n_duplicate").alias("duplicate"))
 
 
+def validity_values(runs: DataFrame, measures: tuple[str, ...] = ("n_valid", "n_invalid", "n_duplicate")) -> DataFrame:
+    """(measure, value, n_genes): how many genes have each number of valid, invalid and repeated answers."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("bigint").alias("value")) for c in measures])
+    return runs.select(F.explode(pairs).alias("p")).groupBy("p.measure", "p.value").agg(F.count("*").alias("n_genes"))
+
+
 def noise_floor(repeats: DataFrame) -> DataFrame:
     """Mean score per repeat of each condition and the spread between repeats."""
     per = repeats.groupBy("condition", "repeat").agg(F.avg("score").alias("mean"))

@@ -397,6 +397,12 @@ def _(m):
     return rounded(runs.validity_by_condition(r))
 
 
+@query("validity_values", " UNION ALL ".join(
+    f"SELECT '{c}' AS measure, CAST({c} AS BIGINT) AS value, count(*) n_genes FROM e_runs GROUP BY 2" for c in ("n_valid", "n_invalid", "n_duplicate")))
+def _(m):
+    return runs.validity_values(event_runs(m))
+
+
 @query("validity_state", """
 SELECT CASE WHEN n_valid = 0 THEN 'none' WHEN n_invalid = 0 THEN 'all' ELSE 'some' END state, count(*) n_genes,
   CAST(sum(n_valid) AS BIGINT) valid, CAST(sum(n_invalid) AS BIGINT) invalid, CAST(sum(n_duplicate) AS BIGINT) duplicate

@@ -95,6 +95,14 @@ def _(m):
     return text.grouped_list(matrix.positive_items(m.obs).select("gene", "ct", "tissue"), _resolved(m), tissues)
 
 
+@query("unresolved_pairs", """
+SELECT gene, CAST(o.ct AS BIGINT) ct, tissue, FALSE ct_resolved, TRUE tissue_resolved FROM t_obs o LEFT JOIN t_terms ON id = o.ct
+WHERE value = 1 AND coalesce(status, 'x') <> 'OK'""")
+def _(m):
+    tissues = m.tissue_closed.select(F.col("src").alias("id")).distinct().withColumn("resolved", F.lit(True))
+    return rounded(text.unresolved_pairs(matrix.positive_items(m.obs).select("gene", "ct", "tissue"), _resolved(m), tissues))
+
+
 fragment("t_chain", """
 SELECT src, string_agg(CASE WHEN status = 'OK' THEN label ELSE '(unresolved: ' || anc || ')' END, ' -> ' ORDER BY depth, anc) chain
 FROM t_isa3 LEFT JOIN t_terms ON id = anc WHERE depth > 0 AND depth <= 2 GROUP BY 1""")

@@ -170,3 +170,11 @@ def test_shuffled_rates(spark):
     df = spark.createDataFrame(rows, "target int, place int, rank int, kind string")
     got = {r["target"]: tuple(r)[1:] for r in shuffled_rates(df, spark.createDataFrame([(1,), (2,), (3,)], "gene int")).collect()}
     assert got == {1: (0.5, 0.5, 0.0, 1.0, 1.0, 0.5, 0.5), 2: (0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0), 3: (None,) * 7}
+
+
+def test_unresolved_pairs(spark):
+    items = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 1, "b"), (1, 9, None)], "gene int, ct int, tissue string")
+    terms = spark.createDataFrame([(1, "x", True), (2, "y", False)], "id int, label string, resolved boolean")
+    tissues = spark.createDataFrame([("a", "A", True)], "id string, label string, resolved boolean")
+    got = sorted((tuple(r) for r in text.unresolved_pairs(items, terms, tissues).collect()), key=str)
+    assert got == [(1, 1, "b", True, False), (1, 2, "a", False, True), (1, 9, None, False, False)]
