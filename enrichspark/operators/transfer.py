@@ -73,14 +73,19 @@ def transfer_rank(weights: DataFrame, assoc: DataFrame, propagated: DataFrame, k
 
 def transfer_explain(weights: DataFrame, assoc: DataFrame, propagated: DataFrame, keys: list[str],
                      top_c: int = 5, top_t: int = 5) -> DataFrame:
-    """The strongest evidence terms of each gene with their most associated gene-level terms."""
+    """The strongest evidence terms of each gene with their most associated gene-level terms.
+
+    The gene itself is left out of the counts; one without any annotation is in none of them.
+    """
     wc = Window.partitionBy(*keys).orderBy(F.round("w", 9).desc(), "c")
     best = weights.withColumn("c_rank", F.row_number().over(wc)).filter(F.col("c_rank") <= top_c)
     own_c = propagated.select("gene", F.col("term").alias("c")).withColumn("_c", F.lit(1))
     own_t = propagated.select("gene", "term").withColumn("_t", F.lit(1))
-    rows = (split_join(best.join(own_c, ["gene", "c"], "left"), assoc, ["c"], "c", source=weights).join(own_t, ["gene", "term"], "left"))
+    known = propagated.select("gene").distinct().withColumn("_g", F.lit(1))
+    best = best.join(own_c, ["gene", "c"], "left").join(known, "gene", "left")
+    rows = split_join(best, assoc, ["c"], "c", source=weights).join(own_t, ["gene", "term"], "left")
     c, t = F.col("_c").isNotNull(), F.col("_t").isNotNull()
-    s = (F.when(c & t, F.col("s11")).when(c, F.col("s10")).when(t, F.col("s01")).otherwise(F.col("s00")))
+    s = (F.when(F.col("_g").isNull(), F.col("s")).when(c & t, F.col("s11")).when(c, F.col("s10")).when(t, F.col("s01")).otherwise(F.col("s00")))
     wt = Window.partitionBy(*keys, "c").orderBy(F.round("assoc", 9).desc(), "term")
     return (rows.withColumn("assoc", s).filter("assoc > 0").withColumn("t_rank", F.row_number().over(wt))
             .filter(F.col("t_rank") <= top_t).select(*keys, "c", "c_rank", "w", "term", "t_rank", "assoc"))

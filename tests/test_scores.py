@@ -170,3 +170,13 @@ def test_matched_vocabularies_do_not_reuse_terms(spark):
     for d, group in itertools.groupby(got, key=lambda r: r[0]):
         terms = [t for _, t in group]
         assert len(terms) == len(set(terms)) == 5
+
+
+def test_explanations_leave_out_only_annotated_genes(spark, closed, world):
+    """A gene without annotations is in no count, so its associations are those of the whole table."""
+    cands = spark.createDataFrame([(4,), (6,)], "term int")
+    assoc = transfer.associations(world["prop"], world["ic"], cands, 1, 3)
+    w = spark.createDataFrame([(g, c, 2.0) for g in (0, 999) for c in (4, 6)], "gene int, c int, w double")
+    got = transfer.transfer_explain(w, assoc, world["prop"], ["gene"], 5, 50).filter("gene = 999")
+    want = [r for r in rows(assoc, "c", "term", "s") if r[2] > 0]
+    assert rows(got, "c", "term", "assoc") == want
