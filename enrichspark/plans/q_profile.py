@@ -283,9 +283,9 @@ def _(m):
 
 
 @query("empirical_distribution", """
-SELECT f1_top1 AS value, round(cume_dist() OVER (ORDER BY f1_top1), 6) cdf_all,
-  round(sum(h) OVER (ORDER BY f1_top1) / CAST(sum(h) OVER () AS DOUBLE), 6) cdf_hit FROM (
-  SELECT f1_top1, count(*) FILTER (done) h FROM c_universe WHERE f1_top1 IS NOT NULL GROUP BY 1)""")
+SELECT f1_top1 AS value, round(sum(n) OVER (ORDER BY f1_top1) / CAST(sum(n) OVER () AS DOUBLE), 6) cdf_all,
+  round(sum(h) OVER (ORDER BY f1_top1) / CAST(greatest(sum(h) OVER (), 1) AS DOUBLE), 6) cdf_hit FROM (
+  SELECT f1_top1, count(*) n, count(*) FILTER (done) h FROM c_universe WHERE f1_top1 IS NOT NULL GROUP BY 1)""")
 def _(m):
     return rounded(profile.empirical_distribution(universe(m), "f1_top1", "done"))
 
