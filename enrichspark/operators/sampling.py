@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from enrichspark.functions.draws import hash32
 from enrichspark.functions.ordering import global_rank, quantiles
 
+#: Genes of a ring that one window looks at together.
+RING_BLOCK = 1 << 14
+
 
 def run_seed(run_id: Column, seed: int) -> Column:
     """Seed of a run: the first 32 bits of sha256 of its id, xor the global seed."""
@@ -76,27 +79,45 @@ def overlap_rate(sample: DataFrame, obs: DataFrame) -> DataFrame:
 
 
 def distractor_genes(all_genes: DataFrame, annotated: DataFrame, n: int = 3, max_redraws: int = 10,
-                     seed: int = 42, reach: int | None = None) -> DataFrame:
+                     seed: int = 42, reach: int | None = None, block_rows: int = RING_BLOCK) -> DataFrame:
     """(gene, donor, place): the next n annotated genes on a hash ring of all genes.
 
     Genes without terms are passed over and counted; the walk ends after max_redraws of them, so a gene may get
     fewer than n. One shared ring replaces a shuffle per gene: only the next n + max_redraws + 1 ring
-    neighbours of each gene are ever looked at.
+    neighbours of each gene are ever looked at. The ring is cut into blocks, each followed by the neighbours that its last
+    genes look at, so it is shuffled once and neither joined nor broadcast.
     """
     reach = reach or n + max_redraws + 1
-    ring = global_rank(all_genes.select("gene").distinct()
-                       .join(annotated.select("gene").distinct().withColumn("_a", F.lit(1)), "gene", "left")
-                       .withColumn("_h", hash32(seed, "ring", F.col("gene"))), ["_h", "gene"], "_at")
+    flags = (all_genes.select("gene", F.lit(True).alias("_in"), F.lit(False).alias("ok"))
+             .unionByName(annotated.select("gene", F.lit(False).alias("_in"), F.lit(True).alias("ok")))
+             .groupBy("gene").agg(F.max("_in").alias("_in"), (F.max("ok") & F.col("gene").isNotNull()).alias("ok")))
+    ring = global_rank(flags.filter("_in").select("gene", "ok").withColumn("_h", hash32(seed, "ring", F.col("gene"))), ["_h", "gene"], "_at")
     total = ring.agg(F.count("*").alias("n")).scalar()
-    steps = (ring.select("gene", F.col("_at").alias("_from")).withColumn("_n", total)
-             .withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(reach)))).filter(F.col("step") < F.col("_n"))
-             .withColumn("_at", (F.col("_from") + F.col("step") - 1) % F.col("_n") + 1))
-    met = steps.join(ring.select("_at", F.col("gene").alias("donor"), F.col("_a").isNotNull().alias("ok")), "_at")
-    w = Window.partitionBy("gene").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    walked = met.withColumn("_bad", F.sum(F.when(F.col("ok"), 0).otherwise(1)).over(w)) \
-                .withColumn("place", F.sum(F.when(F.col("ok"), 1).otherwise(0)).over(w))
-    return (walked.filter(F.col("ok") & (F.col("place") <= n) & (F.col("_bad") <= max_redraws))
-            .select("gene", "donor", "place", F.col("_bad").alias("redraws")))
+    # places count from 0; the first ones follow the last once more
+    place = F.col("_at") - 1
+    turns = F.when(place < reach, F.array(place, place + F.col("_n"))).otherwise(F.array(place))
+    seen = ring.withColumn("_n", total).select("gene", "ok", "_n", F.explode(turns).alias("_v"))
+    first = F.expr(f"greatest(_v - {reach}, 0) div {block_rows}")
+    last = F.least(F.expr(f"_v div {block_rows}"), F.expr(f"(_n - 1) div {block_rows}"))
+    dealt = seen.filter(first <= last).withColumn("_block", F.explode(F.sequence(first, last)))
+    ahead = Window.partitionBy("_block").orderBy("_v").rowsBetween(1, reach)
+    met = (dealt.withColumn("_next", F.collect_list(F.struct(F.col("gene").alias("donor"), "ok")).over(ahead))
+           .filter(F.col("_v") < F.least(F.col("_n"), (F.col("_block") + 1) * block_rows))
+           .filter(F.col("_v") >= F.col("_block") * block_rows)
+           .select("gene", F.slice("_next", F.lit(1), F.least(F.lit(reach), F.col("_n") - 1).cast("int")).alias("_next")))
+
+    def walk(acc, x):
+        place = acc["place"] + F.when(x["ok"], 1).otherwise(0)
+        redraws = acc["redraws"] + F.when(x["ok"], 0).otherwise(1)
+        hit = F.array(F.struct(x["donor"].alias("donor"), place.alias("place"), redraws.alias("redraws")))
+        kept = F.when(x["ok"] & (place <= n) & (redraws <= max_redraws), F.concat(acc["found"], hit)).otherwise(acc["found"])
+        return F.struct(place.alias("place"), redraws.alias("redraws"), kept.alias("found"))
+
+    kind = dict(all_genes.select("gene").dtypes)["gene"]
+    start = F.struct(F.lit(0).alias("place"), F.lit(0).alias("redraws"),
+                     F.array().cast(f"array<struct<donor:{kind},place:int,redraws:int>>").alias("found"))
+    return (met.select("gene", F.explode(F.aggregate("_next", start, walk)["found"]).alias("x"))
+            .select("gene", "x.donor", "x.place", "x.redraws"))
 
 
 def distractor_terms(donors: DataFrame, terms: DataFrame, top_n: int = 10) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import math
 import random
@@ -180,3 +181,24 @@ def test_explanations_leave_out_only_annotated_genes(spark, closed, world):
     got = transfer.transfer_explain(w, assoc, world["prop"], ["gene"], 5, 50).filter("gene = 999")
     want = [r for r in rows(assoc, "c", "term", "s") if r[2] > 0]
     assert rows(got, "c", "term", "assoc") == want
+
+
+def test_distractors_walk_the_ring_in_blocks(spark):
+    """Blocks of any size give the ring walked gene by gene, also where it closes and where it is shorter than the reach."""
+    for n_genes in (1, 2, 9, 100):
+        genes = spark.createDataFrame([(g,) for g in range(n_genes)] * 2, "gene long")
+        annotated = spark.createDataFrame([(g,) for g in range(0, n_genes + 5, 3)], "gene long")
+        order = [g for _, g in sorted((int(hashlib.md5(f"42|ring|{g}".encode()).hexdigest()[:8], 16), g) for g in range(n_genes))]
+        want = []
+        for i, g in enumerate(order):
+            place = bad = 0
+            for step in range(1, min(15, n_genes)):
+                d = order[(i + step) % n_genes]
+                place, bad = place + (d % 3 == 0), bad + (d % 3 != 0)
+                if d % 3 == 0 and place <= 3 and bad <= 10:
+                    want.append((g, d, place, bad))
+        for block in (16, 1 << 14):
+            got = sampling.distractor_genes(genes, annotated, block_rows=block)
+            assert rows(got, "gene", "donor", "place", "redraws") == sorted(want)
+            plan = got._jdf.queryExecution().optimizedPlan().toString()
+            assert "_at" not in "".join(line for line in plan.splitlines() if "Join" in line and "_pid" not in line)
