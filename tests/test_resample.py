@@ -1,7 +1,10 @@
 """Bootstrap resamples are exact multinomial draws."""
 
+import hashlib
+
 import numpy as np
 import pytest
+from enrichspark.functions import resample
 from enrichspark.functions.resample import _sums, boot_means, share_of_block
 import pyarrow as pa
 
@@ -44,3 +47,24 @@ def test_means_follow_the_rows(spark):
         assert (got[got.k == "b"]["mean"] == 2).all() and (got[got.k == "c"]["mean"] == 5).all()
         x = np.array([i % 7 for i in range(300)])
         assert abs(by.mean()["a"] - x.mean()) < 0.03 and abs(by.std()["a"] - x.std() / 300 ** 0.5) < 0.02
+
+
+def test_resamples_do_not_depend_on_blocks_or_tasks(spark, monkeypatch):
+    """Every block size and every split over tasks gives the means of the plain rule."""
+    n, n_boot = 300, 40
+    df = spark.createDataFrame([("a", i, float(i * i % 11)) for i in range(n)], "k string, gene long, v double")
+    stream = int(hashlib.md5(b"0|a").hexdigest()[:8], 16) % resample.MODULUS
+
+    def mix(a, b):
+        x = ((a ^ b) * 48271 + 11) % 2147483647
+        x = ((x ^ (x >> 13)) * 69621 + b) % 2147483647
+        return x ^ (x >> 16)
+    want = []
+    for boot in range(1, n_boot + 1):
+        own = mix(stream, boot * 1664525 % 2147483647)
+        want.append(sum((i * i % 11) for i in (mix(own, s * 22695477 % 2147483647) % n for s in range(n))) / n)
+    for block, task, batch in ((1 << 21, 1 << 28, 1 << 18), (64, 1 << 28, 128), (7, 2000, 1 << 18)):
+        monkeypatch.setattr(resample, "TASK_DRAWS", task)
+        monkeypatch.setattr(resample, "BATCH", batch)
+        got = boot_means(df, ["k"], "v", "gene", n_boot, 0, block).orderBy("boot").toPandas()
+        assert got.boot.tolist() == list(range(1, n_boot + 1)) and np.allclose(got["mean"], want)
