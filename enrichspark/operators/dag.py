@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from enrichspark.functions.skew import split_join
-from enrichspark.session import materialize
+from enrichspark.session import materialize, wide
 
 PROPAGATION = ("is_a", "part_of")
 
@@ -19,35 +19,47 @@ def closure(edges: DataFrame, relations: tuple[str, ...] = PROPAGATION, max_dept
 
     The first hops are single steps in one plan. Then the reach doubles with each round: a pair further apart than L, but
     not than 2 L, has a node at distance L on its shortest path, so pairs at exactly L meet those up to L and nothing else is
-    joined again. Each round is written out, so the plan stays short and a lost executor costs one round. A node that is
+    joined again. Only the reach of nodes that end such a pair is looked up, which are few beyond the first hops. Each round is
+    written out, so the plan stays short and a lost executor costs one round, and is dealt over tasks by its rows. A node that is
     only ever a parent is its own single ancestor.
     """
     e = edges.filter(F.col("rel").isin(*relations)).select("child", "parent").distinct()
-    ends = e.select(F.col("child").alias("node")).union(e.select("parent")).distinct()
     deeper = max_depth is None or max_depth > hops
+    if deeper:
+        e = materialize(e, "edges")
+        n_edges = e.count()
+    ends = e.select(F.col("child").alias("node")).union(e.select("parent")).distinct()
     asked = None if nodes is None else nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
     # beyond the first hops every node on a path needs its own reach, whichever nodes are asked
     start = ends if asked is None else ends.union(asked).distinct() if deeper else asked
     start = start.select(F.col("node").alias("src"), F.col("node").alias("anc"), F.lit(0).alias("depth"))
     step, found = start, [start]
     for i in range(hops if deeper else max_depth):
-        step = (step.join(e, step["anc"] == e["child"]).select("src", F.col("parent").alias("anc")).distinct()
-                .withColumn("depth", F.lit(i + 1)))
+        step = step.join(e, step["anc"] == e["child"]).select("src", F.col("parent").alias("anc"))
+        if deeper:
+            step = wide(step, n_edges * (i + 2), "src")
+        step = step.distinct().withColumn("depth", F.lit(i + 1))
         found.append(step)
-    near = reduce(DataFrame.unionByName, found).groupBy("src", "anc").agg(F.min("depth").alias("depth"))
+    near = reduce(DataFrame.unionByName, found)
     if not deeper:
-        return near
+        return near.groupBy("src", "anc").agg(F.min("depth").alias("depth"))
+    near = wide(near, n_edges * 2 * hops, "src").groupBy("src", "anc").agg(F.min("depth").alias("depth"))
     reached, depth = materialize(near, "closure"), hops
     while max_depth is None or depth < max_depth:
         frontier = reached.filter(F.col("depth") == depth)
         if frontier.isEmpty():
             break
         further = depth if max_depth is None else min(depth, max_depth - depth)
-        onward = (reached.filter(F.col("depth").between(1, further))
+        ends = frontier.select(F.col("anc").alias("src")).distinct()
+        onward = (reached.filter(F.col("depth").between(1, further)).join(ends, "src", "left_semi")
                   .select(F.col("src").alias("_mid"), F.col("anc").alias("_to"), F.col("depth").alias("_more")))
+        onward = materialize(onward, "onward")
+        rows = 4 * reached.count()
         far = (frontier.join(onward, F.col("anc") == F.col("_mid")).groupBy("src", F.col("_to").alias("anc"))
+               .agg(F.min("_more").alias("_more")))
+        far = (wide(far, rows, "src", "anc").groupBy("src", "anc")
                .agg((depth + F.min("_more")).alias("depth")))
-        new = far.join(reached.select("src", "anc"), ["src", "anc"], "left_anti")
+        new = far.join(wide(reached.select("src", "anc"), rows, "src", "anc"), ["src", "anc"], "left_anti")
         reached = reached.unionByName(materialize(new, "closure"))
         depth += further
     return reached if asked is None else reached.join(asked, F.col("src") == F.col("node"), "left_semi")

@@ -106,3 +106,13 @@ def test_status_of_unknown_terms(spark):
     ids = spark.createDataFrame([(1,), (2,), (3,), (4,)], "id int")
     assert rows(dag.resolve_terms(ids, terms), "id", "status", "resolved") == [
         (1, "OK", True), (2, "OK", False), (3, "OBSOLETE", False), (4, "NOT_FOUND", False)]
+
+
+def test_closure_in_many_tasks(spark, graph, closed, monkeypatch):
+    """Rows set the number of tasks, whatever the session's number of partitions, and change no result."""
+    from enrichspark import session
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 20)
+    assert session.wide(graph, 400, "child").rdd.getNumPartitions() == 20 and session.wide(graph, 20, "child") is graph
+    key = lambda df: sorted(map(tuple, df.select("src", "anc", "depth").collect()))
+    assert key(dag.closure(graph)) == key(closed)
+    assert key(dag.closure(graph, hops=1)) == key(closed)
