@@ -1,12 +1,14 @@
 """Set-counts-and-sizes correction: the null distribution of the smallest p over random item sets.
 
-All sets of items are bit masks over the item grid of a unit. A simulation is one random order of all items, kept as the masks of its
-prefixes; whatever a universe holds, its first n items are the shortest prefix with n bits of it, found by counting bits
-of log2(grid) prefixes, and a term's overlap is one more count. A universe thus costs a mask, not an order of its own.
+Sets of items are bit masks over the item grid of a unit. A simulation is one random order of all items, and its first n items in a universe
+are the set drawn from it, whatever the universe. Orders are made once; a block of universes meets all orders of its unit, and numpy counts
+the overlaps with the terms for all simulations of a universe at once.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,10 @@ from enrichspark.functions.draws import hash32
 from enrichspark.functions.exact import hypergeometric_tail
 from enrichspark.session import materialize, spread
 
-#: Simulations whose orders share a row.
-CHUNK = 50
+#: Cases of universe and number of items that meet a copy of the orders together.
+CASES = 512
+#: Simulations times items that are held at once.
+CELLS = 1 << 22
 
 
 def item_grid(units: DataFrame, carriers: DataFrame) -> DataFrame:
@@ -24,11 +28,11 @@ def item_grid(units: DataFrame, carriers: DataFrame) -> DataFrame:
     return materialize(items.withColumn("bit", F.row_number().over(Window.partitionBy("unit").orderBy("item")) - 1), "grid")
 
 
-def _mask(words: int, over: Window | None = None) -> Column:
-    """The rows' bits as an array of 64-bit words: an aggregate, or a running one over a window."""
+def _mask(words: int) -> Column:
+    """The rows' bits as an array of 64-bit words, an aggregate."""
     own = F.expr("shiftleft(1L, bit % 64)")
     parts = [F.bit_or(F.when(F.expr(f"bit div 64 = {w}"), own)) for w in range(words)]
-    return F.array(*[F.coalesce(p.over(over) if over is not None else p, F.lit(0).cast("long")) for p in parts])
+    return F.array(*[F.coalesce(p, F.lit(0).cast("long")) for p in parts])
 
 
 def _both(x: str, y: str, words: int) -> str:
@@ -36,30 +40,66 @@ def _both(x: str, y: str, words: int) -> str:
     return "(" + " + ".join(f"bit_count({x}[{w}] & {y}[{w}])" for w in range(words)) + ")"
 
 
-def _words(grid: DataFrame) -> tuple[int, int]:
+def _words(grid: DataFrame) -> int:
     last = grid.agg(F.max("bit")).first()[0]
-    return (0 if last is None else last // 64 + 1), (0 if last is None else last + 1)
+    return 0 if last is None else last // 64 + 1
 
 
 def universes(units: DataFrame, grid: DataFrame) -> DataFrame:
     """(unit, gene, universe, n_items, n): the mask of a gene's called items, their number, and how many are positive."""
-    words, _ = _words(grid)
+    words = _words(grid)
     called = units.filter(F.col("value").isNotNull()).join(grid.drop("ct"), ["unit", "item"])
     return called.groupBy("unit", "gene").agg(_mask(max(1, words)).alias("universe"), F.count("*").alias("n_items"),
                                               F.count_if(F.col("value") == 1).alias("n"))
 
 
-def random_orders(grid: DataFrame, n_simulations: int, seed: int, words: int) -> DataFrame:
-    """(unit, chunk, orders): per simulation the masks of the first 1, 2, ... items of its random order."""
+def random_orders(grid: DataFrame, n_simulations: int, seed: int) -> DataFrame:
+    """(unit, sim, bits): the items' bits in the random order of each simulation."""
     sims = grid.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(n_simulations))))
-    w = Window.partitionBy("unit", "sim").orderBy(hash32(seed, F.col("sim"), F.col("item")), "item")
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    prefixes = sims.select("unit", "sim", F.row_number().over(w).alias("place"), _mask(words, running).alias("mask"))
-    per_sim = (prefixes.groupBy("unit", "sim").agg(F.array_sort(F.collect_list(F.struct("place", "mask"))).alias("x"))
-               .select("unit", "sim", F.expr("transform(x, e -> e.mask)").alias("x")))
-    return (per_sim.groupBy("unit", F.expr(f"(sim - 1) div {CHUNK}").cast("int").alias("chunk"))
-            .agg(F.array_sort(F.collect_list(F.struct("sim", "x"))).alias("o"))
-            .select("unit", "chunk", F.expr("transform(o, e -> e.x)").alias("orders")))
+    place = F.struct(hash32(seed, F.col("sim"), F.col("item")).alias("h"), "item", "bit")
+    return sims.groupBy("unit", "sim").agg(F.array_sort(F.collect_list(place)).alias("o")).select("unit", "sim", F.expr("transform(o, x -> x.bit)").alias("bits"))
+
+
+def _bits(words: np.ndarray, size: int) -> np.ndarray:
+    """Rows of 64-bit words as rows of bits."""
+    return np.unpackbits(np.ascontiguousarray(words, "<i8").view(np.uint8), axis=-1, count=size, bitorder="little")
+
+
+def _smallest(place: np.ndarray, universe: np.ndarray, n: int, held: np.ndarray, tails: list[list[float]]) -> np.ndarray:
+    """Per simulation the smallest p of the terms, given each item's place (simulations x items) and the terms' items (terms x items)."""
+    items = np.flatnonzero(universe)
+    mine = held[:, items].T.astype(np.float64)
+    tables, out = [np.array(t) for t in tails], np.empty(len(place))
+    step = max(1, CELLS // len(items))
+    for lo in range(0, len(place), step):
+        own = place[lo:lo + step, items]
+        first = own <= np.partition(own, n - 1, axis=1)[:, n - 1:n]
+        overlap = (first.astype(np.float64) @ mine).astype(np.intp)
+        out[lo:lo + step] = np.minimum.reduce([t[k] for t, k in zip(tables, overlap.T)])
+    return out
+
+
+def _quantile(x: np.ndarray, alpha: float) -> float:
+    """Linear interpolation between the two nearest values."""
+    at = (len(x) - 1) * alpha
+    lo, hi = int(np.floor(at)), int(np.ceil(at))
+    x = np.partition(x, [lo, hi])
+    return float(x[lo] if lo == hi else (hi - at) * x[lo] + (at - lo) * x[hi])
+
+
+def _block_thresholds(alpha: float):
+    def run(cases: pa.Table, orders: pa.Table) -> pa.Table:
+        rows = cases.select(["universe", "n", "terms"]).to_pylist()
+        found = []
+        if rows:
+            bits = orders["bits"].combine_chunks().flatten().to_numpy().reshape(orders.num_rows, -1)
+            place = np.argsort(bits, axis=1).astype(np.int32)
+            for r in rows:
+                held = _bits(np.array([t["held"] for t in r["terms"]]), place.shape[1])
+                least = _smallest(place, _bits(np.array(r["universe"]), place.shape[1]), r["n"], held, [t["tail"] for t in r["terms"]])
+                found.append(_quantile(least, alpha))
+        return cases.select(["unit", "universe", "n"]).append_column("threshold", pa.array(found, pa.float64()))
+    return run
 
 
 def null_thresholds(genes: DataFrame, grid: DataFrame, carriers: DataFrame, min_term_size: int = 3,
@@ -67,9 +107,9 @@ def null_thresholds(genes: DataFrame, grid: DataFrame, carriers: DataFrame, min_
     """(unit, universe, n, threshold): alpha quantile of the smallest p over random sets of n items of the universe.
 
     Work follows distinct (universe, n) times simulations. The terms of a universe travel as masks with their tails of p by overlap: as
-    many as the vocabulary holds. A universe without a term of min_term_size items has no row.
+    many as the vocabulary holds. A universe without a term of min_term_size items has no row. A task holds the orders of one unit.
     """
-    words, most = _words(grid)
+    words = _words(grid)
     if not words:
         return genes.select("unit", "universe", "n", F.lit(None).cast("double").alias("threshold")).limit(0)
     asked = materialize(genes.filter("n > 0").select("unit", "universe", "n_items", "n").distinct(), "asked")
@@ -83,17 +123,11 @@ def null_thresholds(genes: DataFrame, grid: DataFrame, carriers: DataFrame, min_
              .agg(F.array_sort(F.collect_list(F.struct("k", "p"))).alias("t")).withColumn("tail", F.expr("transform(t, e -> e.p)")).drop("t"))
     terms = (held.join(tails, ["n_items", "term_size", "n"]).groupBy("unit", "universe", "n")
              .agg(F.collect_list(F.struct("held", "tail")).alias("terms")))
-    orders = materialize(random_orders(grid, n_simulations, seed, words), "orders")
-    chunks = -(-n_simulations // CHUNK)
-    cases = terms.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    steps = ", ".join(str(1 << s) for s in range(most.bit_length() - 1, -1, -1))
-    # the longest prefix with fewer than n items of the universe; the next item is the n-th
-    short = (f"aggregate(array({steps}), 0, (lo, s) -> IF(lo + s <= size(o) AND "
-             f"{_both('element_at(o, least(lo + s, size(o)))', 'universe', words)} < n, lo + s, lo))")
-    smallest = f"array_min(transform(terms, t -> t.tail[{_both('first', 't.held', words)}]))"
-    per_sim = f"transform(orders, o -> element_at(transform(array(o[{short}]), first -> {smallest}), 1))"
-    found = spread(cases, "unit", "chunk", "universe", "n").join(orders, ["unit", "chunk"]).select("unit", "universe", "n", F.explode(F.expr(per_sim)).alias("min_p"))
-    q = found.groupBy("unit", "universe", "n").agg(F.percentile("min_p", F.lit(alpha)).alias("threshold"))
+    blocks = max(1, -(-asked.count() // CASES))
+    orders = materialize(random_orders(grid, n_simulations, seed), "orders").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cases = terms.withColumn("block", F.pmod(F.xxhash64("universe", "n"), F.lit(blocks)).cast("int"))
+    q = (spread(cases, "unit", "block").groupBy("unit", "block").cogroup(spread(orders, "unit", "block").groupBy("unit", "block"))
+         .applyInArrow(_block_thresholds(alpha), "unit string, universe array<bigint>, n bigint, threshold double"))
     tiny = 2.2250738585072014e-308  # smallest normal double, a fixed value
     return q.withColumn("threshold", F.when(F.col("threshold") > 0, F.col("threshold")).otherwise(tiny))
 

@@ -55,3 +55,18 @@ def test_universe_without_terms(spark):
     out = simulate.apply_thresholds(rows, genes, null).first()
     assert out.threshold == 0.05 and abs(out.p_gscs - 0.04) < 1e-12 and out.significant
     assert simulate.null_thresholds(genes.limit(0), grid.limit(0), carriers).count() == 0
+
+
+def test_simulations_of_a_universe_in_slabs(monkeypatch):
+    rng = np.random.default_rng(3)
+    place = np.argsort(rng.random((40, 90)), axis=1)
+    universe, held = rng.random(90) < 0.6, rng.random((5, 90)) < 0.3
+    held &= universe
+    tails = [np.sort(rng.random(91))[::-1].tolist() for _ in held]
+    want = []
+    for row in place:
+        first = sorted(np.flatnonzero(universe), key=lambda i: row[i])[:7]
+        want.append(min(t[h[first].sum()] for t, h in zip(tails, held)))
+    for cells in (1 << 22, 100):  # all simulations at once, and one or two at a time
+        monkeypatch.setattr(simulate, "CELLS", cells)
+        assert np.array_equal(simulate._smallest(place, universe, 7, held, tails), want)
