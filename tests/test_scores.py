@@ -76,6 +76,23 @@ def test_floor_is_the_mean_over_drawn_sets(spark, closed, world):
         assert got[g] == pytest.approx(sum(f1(world, g, t) for t in drawn.values()) / 40)
 
 
+def test_floor_is_the_same_in_several_blocks(spark, closed, world, monkeypatch):
+    v = spark.createDataFrame([(t,) for t in (4, 6, 9, 10, 12)], "term int")
+    whole = dict(rows(scoring.floor_at_k(world["prop"], v, closed, world["ic"], 3, 40, 1), "gene", "floor"))
+    monkeypatch.setattr(scoring, "FLOOR_ROWS", 50)
+    assert world["prop"].count() > 100
+    assert dict(rows(scoring.floor_at_k(world["prop"], v, closed, world["ic"], 3, 40, 1), "gene", "floor")) == pytest.approx(whole)
+    none = scoring.floor_at_k(world["prop"], v.limit(0), closed, world["ic"], 3, 40, 1)
+    assert {r.floor for r in none.collect()} == {None}
+
+
+def test_ceilings_of_several_vocabularies(spark, closed, world):
+    vocab = {1: [4, 6, 9], 2: [10, 12, 15, 20]}
+    v = spark.createDataFrame([(d, t) for d, ts in vocab.items() for t in ts], "draw int, term int")
+    got = {(r["draw"], r["gene"]): r["f1_top1"] for r in scoring.ceilings(world["prop"], v, closed, world["ic"], ["draw"]).collect()}
+    assert got == pytest.approx({(d, g): max(f1(world, g, [t]) for t in ts) for d, ts in vocab.items() for g in world["sets"]})
+
+
 def test_constant_prior_is_the_best_first_term(spark, closed, world):
     vocab = [4, 6, 9, 10, 12, 15, 20]
     v = spark.createDataFrame([(t,) for t in vocab], "term int")
