@@ -7,18 +7,30 @@ from pyspark.sql import functions as F
 
 from enrichspark.functions.corrections import benjamini_hochberg, bonferroni
 from enrichspark.functions.exact import binomial_two_sided, fisher_two_sided, hypergeometric_tail
-from enrichspark.session import spread
+from enrichspark.session import spread, wide
 
 MIN_FEATURE_COUNT = 20
 MIN_EXCESS = 0.10
 LOW_POWER_RATIO = 0.5
 
 
+def called_features(obs: DataFrame, features: DataFrame) -> DataFrame:
+    """(gene, item, value, kind, term): called observations with each feature of their item.
+
+    Observations are dealt by gene first, into tasks sized by the rows that come of them, so that groups within a gene stay there.
+    """
+    called = obs.filter(F.col("value").isNotNull()).select("gene", "item", "value")
+    return wide(called, _feature_rows(obs, features), "gene").join(features.select("item", "kind", "term"), "item")
+
+
+def _feature_rows(obs: DataFrame, features: DataFrame) -> int:
+    held = features.agg(F.count("*").alias("n"), F.count_distinct("item").alias("items")).first()
+    return obs.count() * held["n"] // max(1, held["items"])
+
+
 def feature_counts(obs: DataFrame, features: DataFrame) -> DataFrame:
     """(gene, kind, term, n_pos, n_neg): items of each feature where the gene is positive or negative."""
-    called = obs.filter(F.col("value").isNotNull()).select("gene", "item", "value")
-    return (called.join(features.select("item", "kind", "term"), "item")
-            .groupBy("gene", "kind", "term")
+    return (called_features(obs, features).groupBy("gene", "kind", "term")
             .agg(F.count_if(F.col("value") == 1).alias("n_pos"), F.count_if(F.col("value") == 0).alias("n_neg")))
 
 
@@ -30,7 +42,8 @@ def _totals(obs: DataFrame) -> DataFrame:
 def fisher_enrichment(obs: DataFrame, features: DataFrame, min_feature_count: int = MIN_FEATURE_COUNT) -> DataFrame:
     """Two-sided exact test of each feature's positive and negative counts against the set sizes."""
     a, b, P, N = (F.col(c) for c in ("n_pos", "n_neg", "all_pos", "all_neg"))
-    tested = spread(feature_counts(obs, features).filter(a + b >= min_feature_count).join(_totals(obs), "gene"), "gene")
+    tested = spread(feature_counts(obs, features).filter(a + b >= min_feature_count).join(_totals(obs), "gene"), "gene",
+                    rows=_feature_rows(obs, features) // max(1, min_feature_count))
     empty_margin = (P == 0) | (N == 0) | (a + b == 0) | (a + b == P + N)
     odds = (F.when(empty_margin, F.lit(None).cast("double"))
             .when((b > 0) & (P - a > 0), a * (N - b) / (b * (P - a))).otherwise(float("inf")))
@@ -53,7 +66,7 @@ def two_factor_enrichment(obs: DataFrame, features: DataFrame, baselines: DataFr
     counted = (feature_counts(obs, features).filter(n >= min_feature_count).join(_totals(obs), "gene")
                .join(baselines.select("kind", "term", "baseline"), ["kind", "term"], "left"))
     rate = F.col("all_pos") / (F.col("all_pos") + F.col("all_neg"))
-    rows = (spread(counted, "gene").withColumn("grand_mean", grand_mean)
+    rows = (spread(counted, "gene", rows=_feature_rows(obs, features) // max(1, min_feature_count)).withColumn("grand_mean", grand_mean)
             .withColumn("tested", F.col("baseline").isNotNull())
             .withColumn("expected", F.when(F.col("tested"), F.when(F.col("grand_mean") > 0, _expected(
                 rate, F.col("baseline"), F.col("grand_mean"))).otherwise(rate)))

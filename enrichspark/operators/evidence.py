@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from enrichspark.functions.corrections import benjamini_hochberg
 from enrichspark.functions.exact import binomial_two_sided
+from enrichspark.operators.enrichment import called_features
 from enrichspark.operators.vocabulary import with_every_term
 from enrichspark.session import spread
 
@@ -32,8 +33,7 @@ def evidence_counts(units: DataFrame, carriers: DataFrame, candidates: DataFrame
 
 def feature_baselines(obs: DataFrame, features: DataFrame, min_genes: int = MIN_GENES_CONTRIBUTING) -> DataFrame:
     """(kind, term, baseline, n_genes): mean over genes of each gene's own positive rate on the feature."""
-    per_gene = (obs.filter(F.col("value").isNotNull()).join(features.select("item", "kind", "term"), "item")
-                .groupBy("gene", "kind", "term").agg(F.avg(F.col("value").cast("double")).alias("rate")))
+    per_gene = called_features(obs, features).groupBy("gene", "kind", "term").agg(F.avg(F.col("value").cast("double")).alias("rate"))
     return (per_gene.groupBy("kind", "term")
             .agg(F.round(F.avg("rate"), 6).alias("baseline"), F.count("*").alias("n_genes"))
             .filter(F.col("n_genes") >= min_genes))

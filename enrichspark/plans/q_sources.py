@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from enrichspark.operators import matrix
 from enrichspark.plans import q_compare, q_stats, q_text  # noqa: F401  their fragments
 from enrichspark.plans.registry import query, rounded
-from enrichspark.session import shared_dir
+from enrichspark.session import shared_dir, wide
 from enrichspark.sources import ontology, reports, tables
 
 
@@ -21,11 +21,11 @@ def write_matrix(m):
     long = m.obs.select(F.concat_ws("|", "gene", "tissue").alias("item"), "ct", "value")
     nations = m.table("nation").select(F.col("n_nationkey") + 26).orderBy("n_nationkey")
     cols = [str(r[0]) for r in nations.collect()]  # 25 header names
-    wide = long.groupBy("item").pivot("ct", [int(c) for c in cols]).agg(F.first("value"))
+    cells = wide(long, m.obs.count(), "item").groupBy("item").pivot("ct", [int(c) for c in cols]).agg(F.first("value"))
     line = F.concat_ws("\t", "item", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in cols])
     head = m.spark.createDataFrame([("\t".join(["index"] + cols),)], "value string").coalesce(1)
     path = _path(m, "matrix")
-    head.unionByName(wide.select(line.alias("value"))).write.text(path)
+    head.unionByName(cells.select(line.alias("value"))).write.text(path)
     return path
 
 
