@@ -2,47 +2,167 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from enrichspark.functions.skew import split_join
-from enrichspark.session import materialize, wide
+from enrichspark.session import ROWS_PER_TASK, materialize, shared_dir, wide
 
 PROPAGATION = ("is_a", "part_of")
+#: Levels that a closure goes through one by one; deeper graphs are closed by doubling.
+LEVELS = 32
+#: With no more edges than these a closure is small, and fewer rounds are worth more than fewer rows.
+FEW_EDGES = 1 << 16
 
 
 def closure(edges: DataFrame, relations: tuple[str, ...] = PROPAGATION, max_depth: int | None = None,
-            nodes: DataFrame | None = None, hops: int = 4) -> DataFrame:
+            nodes: DataFrame | None = None, hops: int = 4, levels: int | None = None) -> DataFrame:
     """(src, anc, depth): every ancestor with its shortest distance, the node itself at depth 0.
 
+    Up to hops edges are single steps in one plan; anything deeper is reach, one row per pair. A node that is only ever a parent is
+    its own single ancestor.
+    """
+    if max_depth is None or max_depth > hops:
+        return unpack(reach(edges, relations, max_depth, nodes, hops, levels))
+    e = edges.filter(F.col("rel").isin(*relations)).select("child", "parent").distinct()
+    start = _ends(e) if nodes is None else nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
+    step = start.select(F.col("node").alias("src"), F.col("node").alias("anc"), F.lit(0).alias("depth"))
+    found = [step]
+    for i in range(max_depth):
+        step = (step.join(e, step["anc"] == e["child"]).select("src", F.col("parent").alias("anc")).distinct()
+                .withColumn("depth", F.lit(i + 1)))
+        found.append(step)
+    return reduce(DataFrame.unionByName, found).groupBy("src", "anc").agg(F.min("depth").alias("depth"))
+
+
+def reach(edges: DataFrame, relations: tuple[str, ...] = PROPAGATION, max_depth: int | None = None,
+          nodes: DataFrame | None = None, hops: int = 4, levels: int | None = None) -> DataFrame:
+    """(src, anc, depth): the closure with one row per node, its ancestors and their distances in two arrays.
+
+    Nodes take the ancestors of their parents level by level, from the roots down, so that a pair moves once per edge. Where that would
+    be too many rounds, in a graph with more levels than given (LEVELS, and none up to FEW_EDGES), it is closed by doubling.
+    """
+    e = materialize(edges.filter(F.col("rel").isin(*relations)).select("child", "parent").distinct(), "edges")
+    asked = None if nodes is None else nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
+    # every node on a path needs its own reach, whichever nodes are asked
+    start = _ends(e) if asked is None else _ends(e).union(asked).distinct()
+    roots = start.join(e.select(F.col("child").alias("node")).distinct(), "node", "left_anti")
+    climbed = _climb(e, roots, max_depth, levels, nodes=start)
+    if climbed is None:
+        climbed = pack(_double(e, start, max_depth, hops))
+    return climbed if asked is None else climbed.join(asked, F.col("src") == F.col("node"), "left_semi")
+
+
+def pack(closed: DataFrame) -> DataFrame:
+    """A closure's pairs as one row per node, smallest ancestor first."""
+    pairs = closed.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("anc", "depth"))).alias("_pairs"))
+    return pairs.select("src", F.col("_pairs.anc").alias("anc"), F.col("_pairs.depth").alias("depth"))
+
+
+def unpack(packed: DataFrame) -> DataFrame:
+    """The pairs (src, anc, depth) of a packed closure."""
+    pairs = packed.select("src", F.explode(F.arrays_zip("anc", "depth")).alias("_pair"))
+    return pairs.select("src", F.col("_pair.anc").alias("anc"), F.col("_pair.depth").alias("depth"))
+
+
+def _ends(e: DataFrame) -> DataFrame:
+    return e.select(F.col("child").alias("node")).union(e.select("parent")).distinct()
+
+
+def _levels(e: DataFrame, start: DataFrame, n_edges: int, most: int) -> DataFrame | None:
+    """(node, level): the most edges on a way from one of start down to each node below it; None beyond so many levels."""
+    step, found = start, []
+    for level in range(most + 1):
+        step = materialize(step, "level")
+        if step.isEmpty():
+            if not found:
+                return None
+            return reduce(DataFrame.unionByName, found).groupBy("node").agg(F.max("level").alias("level"))
+        found.append(step.withColumn("level", F.lit(level)))
+        below = step.join(e, step["node"] == e["parent"]).select(F.col("child").alias("node"))
+        step = wide(below, n_edges, "node").distinct()
+    return None
+
+
+def _climb(e: DataFrame, start: DataFrame, max_depth: int | None, most: int | None, held: DataFrame | None = None,
+           nodes: DataFrame | None = None) -> DataFrame | None:
+    """Packed closure of the nodes start and all below them, level by level, together with the rows of held that are of other nodes.
+
+    Each level is written out with the last level that reads it, so that a node's row is read only while children wait for it. None if
+    there are too many levels, or if not all of nodes hang on start.
+    """
+    spark, n_edges = e.sparkSession, e.count()
+    if most is None:
+        most = LEVELS if n_edges > FEW_EDGES else 0
+    level = _levels(e, start, n_edges, most) if most else None
+    if level is None:
+        return None
+    level = materialize(level, "levels")
+    if nodes is not None and level.count() != nodes.count():
+        return None
+    up = materialize(wide(e, n_edges, "child").join(wide(level.withColumnRenamed("node", "child"), n_edges, "child"), "child"), "up")
+    last = up.groupBy(F.col("parent").alias("node")).agg(F.max("level").alias("last"))
+    marked = materialize(level.join(last, "node", "full"), "marked")
+    todo = marked.filter(F.col("level").isNotNull())
+    n_up = {r["level"]: r["n"] for r in up.groupBy("level").agg(F.count("*").alias("n")).collect()}
+    n_todo = {r["level"]: r["n"] for r in todo.groupBy("level").agg(F.count("*").alias("n")).collect()}
+    folder, paths, length = f"{shared_dir(spark)}/climb-{uuid.uuid4().hex}", [], 1
+    if held is not None:
+        held = held.join(marked.withColumnRenamed("node", "src"), "src", "left").filter(F.col("level").isNull())
+        held = materialize(held.select("src", "anc", "depth", "last"), "held")
+        length = held.agg(F.avg(F.size("anc"))).first()[0] or 1
+    for at in sorted(n_todo):
+        rows = todo.filter(F.col("level") == at).select(
+            F.col("node").alias("src"), F.array("node").alias("anc"), F.array(F.lit(0)).alias("depth"), "last")
+        above = [held] if held is not None else []
+        if paths:
+            above.append(spark.read.schema(schema).parquet(*paths))
+        n_rows = int(length + 2) * n_up.get(at, 0) + n_todo[at]  # about the pairs that move
+        if above and at in n_up:
+            parents = reduce(DataFrame.unionByName, above).filter(F.col("last") >= at)
+            taken = (wide(up.filter(F.col("level") == at).select("child", "parent"), n_rows, "parent")
+                     .join(wide(parents, n_rows, "src"), F.col("parent") == F.col("src"))
+                     .select(F.col("child").alias("src"), "anc", F.transform("depth", lambda d: d + 1).alias("depth"),
+                             F.lit(None).cast("int").alias("last")))
+            rows = rows.unionByName(taken)
+        dealt = wide(rows, n_rows, "src")
+        dealt = rows.repartition("src") if dealt is rows else dealt
+        pairs = (dealt.select("src", "last", F.explode(F.arrays_zip("anc", "depth")).alias("_pair"))
+                 .groupBy("src", F.col("_pair.anc").alias("anc")).agg(F.min("_pair.depth").alias("depth"), F.max("last").alias("last")))
+        if max_depth is not None:
+            pairs = pairs.filter(F.col("depth") <= max_depth)
+        done = (pairs.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("anc", "depth"))).alias("_pairs"), F.max("last").alias("last"))
+                .select("src", F.col("_pairs.anc").alias("anc"), F.col("_pairs.depth").alias("depth"), "last"))
+        schema = done.schema
+        paths.append(f"{folder}/{at}")
+        done.write.parquet(paths[-1])
+        if n_rows > ROWS_PER_TASK:
+            length = max(length, spark.read.schema(schema).parquet(paths[-1]).agg(F.avg(F.size("anc"))).first()[0])
+        else:
+            length += 2
+    climbed = spark.read.schema(schema).parquet(*paths)
+    return (climbed if held is None else climbed.unionByName(held)).drop("last")
+
+
+def _double(e: DataFrame, start: DataFrame, max_depth: int | None, hops: int) -> DataFrame:
+    """The closure's pairs in rounds that follow the logarithm of the depth.
+
     The first hops are single steps in one plan. Then the reach doubles with each round: a pair further apart than L, but
     not than 2 L, has a node at distance L on its shortest path, so pairs at exactly L meet those up to L and nothing else is
     joined again. Only the reach of nodes that end such a pair is looked up, which are few beyond the first hops. Each round is
-    written out, so the plan stays short and a lost executor costs one round, and is dealt over tasks by its rows. A node that is
-    only ever a parent is its own single ancestor.
+    written out, so the plan stays short and a lost executor costs one round, and is dealt over tasks by its rows.
     """
-    e = edges.filter(F.col("rel").isin(*relations)).select("child", "parent").distinct()
-    deeper = max_depth is None or max_depth > hops
-    if deeper:
-        e = materialize(e, "edges")
-        n_edges = e.count()
-    ends = e.select(F.col("child").alias("node")).union(e.select("parent")).distinct()
-    asked = None if nodes is None else nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
-    # beyond the first hops every node on a path needs its own reach, whichever nodes are asked
-    start = ends if asked is None else ends.union(asked).distinct() if deeper else asked
-    start = start.select(F.col("node").alias("src"), F.col("node").alias("anc"), F.lit(0).alias("depth"))
-    step, found = start, [start]
-    for i in range(hops if deeper else max_depth):
+    n_edges = e.count()
+    step = start.select(F.col("node").alias("src"), F.col("node").alias("anc"), F.lit(0).alias("depth"))
+    found = [step]
+    for i in range(hops):
         step = step.join(e, step["anc"] == e["child"]).select("src", F.col("parent").alias("anc"))
-        if deeper:
-            step = wide(step, n_edges * (i + 2), "src")
-        step = step.distinct().withColumn("depth", F.lit(i + 1))
+        step = wide(step, n_edges * (i + 2), "src").distinct().withColumn("depth", F.lit(i + 1))
         found.append(step)
     near = reduce(DataFrame.unionByName, found)
-    if not deeper:
-        return near.groupBy("src", "anc").agg(F.min("depth").alias("depth"))
     near = wide(near, n_edges * 2 * hops, "src").groupBy("src", "anc").agg(F.min("depth").alias("depth"))
     reached, depth = materialize(near, "closure"), hops
     while max_depth is None or depth < max_depth:
@@ -62,24 +182,43 @@ def closure(edges: DataFrame, relations: tuple[str, ...] = PROPAGATION, max_dept
         new = far.join(wide(reached.select("src", "anc"), rows, "src", "anc"), ["src", "anc"], "left_anti")
         reached = reached.unionByName(materialize(new, "closure"))
         depth += further
-    return reached if asked is None else reached.join(asked, F.col("src") == F.col("node"), "left_semi")
+    return reached
 
 
 def extend_closure(closed: DataFrame, edges: DataFrame, relations: tuple[str, ...] = PROPAGATION,
-                   max_depth: int | None = None) -> DataFrame:
-    """closed(src, anc, depth) after edges have been added to its graph, without computing it anew.
+                   max_depth: int | None = None, levels: int | None = None) -> DataFrame:
+    """closed(src, anc, depth) after edges have been added to its graph, as pairs; see extend_reach."""
+    packed = materialize(pack(closed.select("src", "anc", "depth")), "packed")
+    return unpack(extend_reach(packed, edges, relations, max_depth, levels))
 
-    closed holds all its nodes as sources; with max_depth it is a closure limited to that depth, and so is the result.
-    Chains of added edges, with old paths between them, are joined end to end, twice as many edges a round, and only those
-    that beat the old distance of their ends go on. What they shorten is met once with the old paths before and after. The
-    graph must stay free of cycles; nodes that only the added edges name become their own ancestors.
+
+def extend_reach(packed: DataFrame, edges: DataFrame, relations: tuple[str, ...] = PROPAGATION,
+                 max_depth: int | None = None, levels: int | None = None) -> DataFrame:
+    """A packed closure after edges have been added to its graph, without computing it anew.
+
+    packed holds all its nodes as sources; with max_depth it is a closure limited to that depth, and so is the result.
+    Only the children of added edges and the nodes below them change. They take their parents' ancestors level by level; all other
+    nodes keep their rows. With more levels than given the new paths are put together by doubling. The graph must stay free of cycles;
+    nodes that only the added edges name become their own ancestors.
     """
     e = materialize(edges.filter(F.col("rel").isin(*relations)).select("child", "parent").distinct(), "added")
-    ends = e.select(F.col("child").alias("src")).union(e.select("parent")).distinct()
-    fresh = ends.join(closed.filter("depth = 0").select("src"), "src", "left_anti")
-    old = closed.select("src", "anc", "depth").unionByName(
-        fresh.select("src", F.col("src").alias("anc"), F.lit(0).cast(closed.schema["depth"].dataType).alias("depth")))
+    fresh = _ends(e).join(packed.select(F.col("src").alias("node")), "node", "left_anti")
+    old = packed.unionByName(fresh.select(F.col("node").alias("src"), F.array("node").alias("anc"), F.array(F.lit(0)).alias("depth")))
+    before = unpack(packed).filter(F.col("depth") == 1).select(F.col("src").alias("child"), F.col("anc").alias("parent"))
+    every = materialize(before.unionByName(e).distinct(), "edges")
+    start = e.select(F.col("child").alias("node")).distinct()
+    if start.isEmpty():
+        return old
+    climbed = _climb(every, start, max_depth, levels, old)
+    return pack(_chain(unpack(old), e, max_depth)) if climbed is None else climbed
+
 
+def _chain(old: DataFrame, e: DataFrame, max_depth: int | None) -> DataFrame:
+    """The pairs of old with the edges e added.
+
+    Chains of added edges, with old paths between them, are joined end to end, twice as many edges a round, and only those
+    that beat the old distance of their ends go on. What they shorten is met once with the old paths before and after.
+    """
     def better(paths: DataFrame) -> DataFrame:
         """The shortest of paths(src, anc, depth) between two nodes, where it is shorter than the old distance."""
         if max_depth is not None:

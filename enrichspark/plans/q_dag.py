@@ -40,7 +40,7 @@ def _(m):
 def _(m):
     """The closure without the edges of every tenth part, which are added afterwards."""
     added = F.col("child") % 10 == 0
-    return rounded(dag.extend_closure(dag.closure(m.part_edges.filter(~added)), m.part_edges.filter(added)))
+    return rounded(dag.unpack(dag.extend_reach(dag.reach(m.part_edges.filter(~added)), m.part_edges.filter(added))))
 
 
 @query("ancestors_limited", """

@@ -116,3 +116,44 @@ def test_closure_in_many_tasks(spark, graph, closed, monkeypatch):
     key = lambda df: sorted(map(tuple, df.select("src", "anc", "depth").collect()))
     assert key(dag.closure(graph)) == key(closed)
     assert key(dag.closure(graph, hops=1)) == key(closed)
+
+
+def moved(spark, build):
+    """Result rows of build(), and the rows that its stages shuffled."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (found.apply(i) for i in range(found.size()))}
+    before = stages()
+    n = build().count()
+    return n, sum(r for k, r in stages().items() if k not in before)
+
+
+def test_closures_move_few_rows(spark, monkeypatch):
+    """Ancestors travel as one row per node and edge: rows moved stay below the closure's pairs."""
+    monkeypatch.setattr(dag, "FEW_EDGES", 100, raising=False)
+    nodes = spark.range(1, 4001).withColumnRenamed("id", "child")
+    up = lambda by, rel: nodes.filter(F.col("child") >= by).select(
+        "child", F.floor(F.col("child") / by).alias("parent"), F.lit(rel).alias("rel"))
+    g = up(2, "is_a").unionByName(up(3, "part_of"))
+    n, rows_moved = moved(spark, lambda: dag.closure(g))
+    assert n > 100_000 and rows_moved < n
+    closed = dag.closure(g.filter("child % 10 <> 0"))
+    m, rows_moved = moved(spark, lambda: dag.extend_closure(closed, g.filter("child % 10 = 0")))
+    assert m == n and rows_moved < n
+
+
+def test_deep_graphs_are_closed_by_doubling(spark, graph):
+    """More levels than allowed, and nodes that hang on no root, go another way to the same pairs."""
+    for g, levels in ((graph, 9), (long_graph(spark), 3)):
+        want = shortest(rows(g, "child", "parent"))
+        part = dag.closure(g.filter("child % 4 <> 0"), levels=levels)
+        got = dag.extend_closure(part, g.filter("child % 4 = 0"), levels=levels)
+        assert rows(got, "src", "anc", "depth") == want
+    limited = dag.extend_closure(dag.closure(graph.filter("child % 4 <> 0"), max_depth=2, hops=1, levels=9), graph.filter("child % 4 = 0"),
+                                 max_depth=2, levels=9)
+    assert rows(limited, "src", "anc", "depth") == shortest(rows(graph, "child", "parent"), 2)
+    ring = spark.createDataFrame([(1, 2, "is_a"), (2, 1, "is_a"), (3, 1, "is_a"), (5, 4, "is_a")],
+                                 "child int, parent int, rel string")
+    assert rows(dag.closure(ring, levels=3), "src", "anc", "depth") == shortest(rows(ring, "child", "parent"))
