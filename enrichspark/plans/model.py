@@ -156,7 +156,8 @@ class Model:
     @cached_property
     def rates(self) -> DataFrame:
         """Rates over annotated called items, the universe of the corrected statistics."""
-        return matrix.gene_rates(self.units.join(self.carriers.select("ct").distinct(), "ct", "left_semi"))
+        called = self.units.join(self.carriers.select("ct").distinct(), "ct", "left_semi")
+        return materialize(matrix.gene_rates(called), "rates")  # one row per gene and unit, read by most queries
 
     @cached_property
     def evidence(self) -> DataFrame:

@@ -7,6 +7,7 @@ from enrichspark.plans.q_score import SCORE_COLUMNS, classify_sql, model_ceiling
 from enrichspark.plans.q_stats import rank_ora
 from enrichspark.plans.registry import query, rounded
 from enrichspark.plans.sql import fragment, h32
+from enrichspark.session import materialize
 
 N_BOOT = 10_000
 N_GROUP_BOOT = 2_000
@@ -165,7 +166,8 @@ SELECT s_suppkey target, round(avg(e), 6) shuffled_exact, round(avg(u), 6) shuff
   round(avg(am), 6) shuffled_any_match, round(avg(ae), 6) shuffled_any_exact, round(avg(m3), 6) shuffled_match_at_3
 FROM supplier LEFT JOIN d ON target = s_suppkey GROUP BY 1""")
 def _(m):
-    rows = donors.shuffled_baseline(predictions(m), gene_donors(m, 5))
+    # classify reads its rows more than once: written out, so that the ranking and the ring are made once
+    rows = materialize(donors.shuffled_baseline(predictions(m), gene_donors(m, 5)), "donated")
     kinds = matching.classify(rows, m.truths, m.closed, ["target", "gene", "place"])
     return rounded(donors.shuffled_rates(kinds, m.table("supplier").select(F.col("s_suppkey").alias("gene"))))
 

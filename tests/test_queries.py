@@ -65,3 +65,13 @@ def test_stale_table_is_refused(spark, tmp_path):
     assert read_keyed(spark, str(tmp_path / "b"), {"depth": 3}).count() == 3
     with pytest.raises(ValueError):
         read_keyed(spark, str(tmp_path / "b"), {"depth": 4})
+
+
+def test_shuffled_baseline_ranks_once(spark, con):
+    """The rankings and donors under every reading of the borrowed predictions come from written tables."""
+    assert "Aggregate" not in model(spark, SF).rates._jdf.queryExecution().optimizedPlan().toString()
+    df = entry.queries()["shuffled_baseline"](spark, SF)
+    assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+    cur = con.execute(entry.oracle_sql()["shuffled_baseline"])
+    cols = [d[0] for d in cur.description]
+    assert norm([tuple(r) for r in df.collect()], df.columns) == norm(cur.fetchall(), cols)
